@@ -65,8 +65,9 @@ def pick_dims(df: DataFrame, vecs: list[str], *keys: str) -> DataFrame:
     )
 
 
-def moments(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None = None) -> DataFrame:
-    """(keys…, count, mean, m2) by partial + final aggregation; m2 is the sum of squared deviations.
+def moments(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None = None,
+            extra: dict[str, Column] | None = None) -> DataFrame:
+    """(keys…, count, mean, m2, …extra aggregates) by partial + final aggregation; m2 is the sum of squared deviations.
 
     Every map task sends one small buffer per key, so a key holding most rows is no bottleneck.
     """
@@ -77,10 +78,12 @@ def moments(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None
         F.sum(w).alias("count"),
         F.sum(w * w).alias("_w2"),
         Summarizer.metrics("mean", "variance").summary(v, w).alias("_s"),
+        *[c.alias(name) for name, c in (extra or {}).items()],
     )
     back = F.col("count") - F.col("_w2") / F.col("count")
     return grouped.select(
         *keys,
+        *(extra or {}),
         "count",
         vector_to_array("_s.mean").alias("mean"),
         F.transform(vector_to_array("_s.variance"), lambda x: x * back).alias("m2"),
