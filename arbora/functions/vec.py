@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -16,6 +18,11 @@ def doubles(c: str | Column) -> Column:
     return as_col(c).cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row and use it in ``body`` (a lambda would evaluate it per element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def total(c: str | Column) -> Column:
     return F.aggregate(as_col(c), F.lit(0.0), lambda s, v: s + v)
 
@@ -34,8 +41,8 @@ def norm(a: str | Column) -> Column:
 
 def l2_normalize(a: str | Column) -> Column:
     """x / |x|; a zero vector stays zero."""
-    n = norm(a)
-    return F.transform(as_col(a), lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))
+    return let(as_col(a), lambda v: let(norm(v), lambda n: F.transform(
+        v, lambda x: F.when(n > 0, x / n).otherwise(F.lit(0.0)))))
 
 
 def add(a: str | Column, b: str | Column) -> Column:

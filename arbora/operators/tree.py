@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions import gauss as G
-from arbora.functions.vec import merge_moments, moments, total, zeros_like
+from arbora.functions.vec import let, merge_moments, moments, total, zeros_like
 from arbora.operators.topk import SCORE_DECIMALS
 
 LABEL_ALPHA = 1e-8  # fixed value: smoothing of label counts
@@ -47,7 +47,7 @@ def rounded(c) -> Column:
 
 
 def label_shares(lc) -> Column:
-    return F.transform(lc, lambda v: v / total(lc))
+    return let(lc, lambda c: let(total(c), lambda t: F.transform(c, lambda v: v / t)))
 
 
 def add_label(lc, label) -> Column:

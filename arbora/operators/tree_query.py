@@ -12,8 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from arbora.functions import gauss as G
-from arbora.functions.vec import doubles, dot
-from arbora.operators.skew import hot_split_join
+from arbora.functions.vec import doubles, dot, let
 from arbora.operators.topk import (
     CELLS_AT_ONCE,
     QUERY_BLOCK,
@@ -145,8 +144,8 @@ def path_items(tree: ConceptTree, weights: list[float] | None = None) -> DataFra
     n = tree.nodes.withColumn("var", tree.params.var("m2", "count"))
     coef, const = linear_terms(F.col("mean"), F.col("var"), False)
     w = level_weight(F.col("depth"), weights)
-    n = n.select("node_id", "parent_id", "depth", "is_leaf", F.transform(coef, lambda c: c * w).alias("own"),
-                 (const * w).alias("own_const"))
+    n = n.select("node_id", "parent_id", "depth", "is_leaf", 
+                 let(w, lambda f: F.transform(coef, lambda c: c * f)).alias("own"), (const * w).alias("own_const"))
     folded = top_down(tree, n, {"coef": F.col("own"), "const": F.col("own_const")}, {
         "coef": lambda up: F.zip_with(F.col(up), F.col("own"), lambda a, b: a + b),
         "const": lambda up: F.col(up) + F.col("own_const"),

@@ -27,6 +27,7 @@ def get_session(app: str = "arbora", cores: str | int | None = None, shuffle: in
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if cores is not None:
         builder = builder.master(f"local[{cores}]").config("spark.driver.memory", "12g")
