@@ -47,32 +47,32 @@ def ids_of(column) -> np.ndarray:
 
 
 def best_in_block(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per row the k best columns by (score desc, id asc): ids and scores, best first."""
+    """Per row the k best columns by (rounded score desc, id asc): ids and scores, best first."""
     by_id = np.argsort(ids, kind="stable")
     ids, scores = ids[by_id], scores[:, by_id]
-    n = scores.shape[1]
-    if n > k:
-        picked = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-        threshold = np.take_along_axis(scores, picked, axis=1).min(axis=1, keepdims=True)
-        tied = np.flatnonzero((scores >= threshold).sum(axis=1) > k)
+    worst_first = -np.round(scores, SCORE_DECIMALS)
+    if scores.shape[1] > k:
+        cols = np.argpartition(worst_first, k - 1, axis=1)[:, :k]
+        threshold = np.take_along_axis(worst_first, cols, axis=1).max(axis=1, keepdims=True)
+        tied = np.flatnonzero((worst_first <= threshold).sum(axis=1) > k)
         if len(tied):
-            picked[tied] = np.argsort(-scores[tied], axis=1, kind="stable")[:, :k]
-        picked.sort(axis=1)
-        scores, cols = np.take_along_axis(scores, picked, axis=1), picked
+            cols[tied] = np.argsort(worst_first[tied], axis=1, kind="stable")[:, :k]
+        cols.sort(axis=1)
     else:
-        cols = np.broadcast_to(np.arange(n), scores.shape)
-    order = np.argsort(-scores, axis=1, kind="stable")
-    return ids[np.take_along_axis(cols, order, axis=1)], np.take_along_axis(scores, order, axis=1)
+        cols = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
+    order = np.argsort(np.take_along_axis(worst_first, cols, axis=1), axis=1, kind="stable")
+    cols = np.take_along_axis(cols, order, axis=1)
+    return ids[cols], np.take_along_axis(scores, cols, axis=1)
 
 
 def _merge_best(ids_a, scores_a, ids_b, scores_b, k):
     ids, scores = np.concatenate([ids_a, ids_b], axis=1), np.concatenate([scores_a, scores_b], axis=1)
-    order = np.lexsort((ids, -scores), axis=1)[:, :k]
+    order = np.lexsort((ids, -np.round(scores, SCORE_DECIMALS)), axis=1)[:, :k]
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
 def _block_scores(q: np.ndarray, coef: np.ndarray, const: np.ndarray) -> np.ndarray:
-    return np.round(q @ coef.T + const, SCORE_DECIMALS) + 0.0
+    return q @ coef.T + const
 
 
 def _chunks(n_queries: int, n_items: int):
@@ -121,7 +121,7 @@ def topk_linear(
 
 
 def _rank(parts: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("qid").orderBy(F.col("score").desc(), F.col("item_id").asc())
+    w = Window.partitionBy("qid").orderBy(F.round("score", SCORE_DECIMALS).desc(), F.col("item_id").asc())
     return parts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
@@ -210,7 +210,7 @@ def rank_of_target(queries: DataFrame, items: DataFrame) -> DataFrame:
         const = right.column("const").combine_chunks().to_numpy(zero_copy_only=False)
         want, at = ids_of(left.column("target_id")), np.round(ids_of(left.column("target_score")), SCORE_DECIMALS)
         ahead = [
-            ((s := _block_scores(q[c], coef, const)) > at[c, None]).sum(axis=1)
+            ((s := np.round(_block_scores(q[c], coef, const), SCORE_DECIMALS)) > at[c, None]).sum(axis=1)
             + ((s == at[c, None]) & (ids[None, :] < want[c, None])).sum(axis=1)
             for c in _chunks(len(q), len(ids))
         ]

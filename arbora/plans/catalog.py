@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from arbora.plans import source_queries  # noqa: F401
+from arbora.plans import concept_queries, source_queries, vector_queries  # noqa: F401
 from arbora.plans.registry import ORACLES, QUERIES  # noqa: F401
