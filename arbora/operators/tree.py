@@ -244,11 +244,12 @@ def best_operation(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeP
     """(row_id, at, best1, best2, operation, pu): the operation with the highest utility; ties in the order of OPERATIONS."""
     u = operation_utilities(rows, nodes, params)
     options = F.array(*[
-        F.struct(rounded(F.col(f"pu_{op}")).alias("pu"), F.lit(-i).alias("rank"), F.lit(op).alias("op"))
+        F.struct(rounded(F.col(f"pu_{op}")).alias("pu"), F.lit(-i).alias("rank"), F.lit(op).alias("op"),
+                 F.col(f"pu_{op}").alias("exact"))
         for i, op in enumerate(OPERATIONS)])
     top = F.array_max(F.filter(options, lambda o: o["pu"].isNotNull()))
     return u.withColumn("_t", top).select(
-        "row_id", "at", "best1", "best2", "best1_is_leaf", F.col("_t.op").alias("operation"), F.col("_t.pu").alias("pu"))
+        "row_id", "at", "best1", "best2", "best1_is_leaf", F.col("_t.op").alias("operation"), F.col("_t.exact").alias("pu"))
 
 
 # ---- structural edits on the adjacency table: every edit of a kind is applied at once ---------------------------
