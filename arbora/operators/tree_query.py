@@ -293,7 +293,7 @@ def categorize_greedy(tree: ConceptTree, queries: DataFrame, posterior: bool = F
         "node_id", "is_leaf", F.col("count").alias("rn"), F.col("mean").alias("rm"), F.col("var").alias("rv"),
         F.lit(0).alias("_one"))
     cur = x.withColumn("_one", F.lit(0)).join(F.broadcast(root), "_one").select(
-        "qid", "x", "rn", "node_id", "is_leaf", rounded(G.log_prob("x", "rm", "rv")).alias("score"))
+        "qid", "x", "rn", "node_id", "is_leaf", G.log_prob("x", "rm", "rv").alias("score"))
     cur = cur.withColumn("best_id", F.col("node_id")).withColumn("best_score", F.col("score"))
     child = nodes.select(F.col("parent_id").alias("node_id"), F.col("node_id").alias("c_id"),
                          F.col("is_leaf").alias("c_leaf"), F.col("count").alias("cn"), F.col("mean").alias("cm"),
@@ -305,18 +305,18 @@ def categorize_greedy(tree: ConceptTree, queries: DataFrame, posterior: bool = F
         s = G.log_prob("x", "cm", "cv")
         if posterior:
             s = s + F.log("cn") - F.log("rn")
-        pairs = cur.where(~F.col("is_leaf")).join(child, "node_id").withColumn("s", rounded(s))
+        pairs = cur.where(~F.col("is_leaf")).join(child, "node_id").withColumn("s", s)
         # Partial aggregation keeps one child per query and task.
         step = pairs.groupBy("qid").agg(
-            F.min_by(F.struct("c_id", "c_leaf", "s"), F.struct(-F.col("s"), F.col("c_id"))).alias("t"),
+            F.min_by(F.struct("c_id", "c_leaf", "s"), F.struct(-rounded(F.col("s")), F.col("c_id"))).alias("t"),
             F.any_value("best_id").alias("best_id"), F.any_value("best_score").alias("best_score"))
         cur = step.join(x, "qid").join(F.broadcast(root.select("rn")), F.lit(True)) if posterior else step.join(
             x, "qid").withColumn("rn", F.lit(None).cast("double"))
         cur = cur.select("qid", "x", "rn", F.col("t.c_id").alias("node_id"), F.col("t.c_leaf").alias("is_leaf"),
                          F.col("t.s").alias("score"), "best_id", "best_score")
-        better = F.col("score") > F.col("best_score")
+        better = rounded(F.col("score")) > rounded(F.col("best_score"))
         cur = cur.withColumn("best_id", F.when(better, F.col("node_id")).otherwise(F.col("best_id"))).withColumn(
-            "best_score", F.greatest("score", "best_score"))
+            "best_score", F.when(better, F.col("score")).otherwise(F.col("best_score")))
         if tree.depth > LAZY_LEVELS:
             cur = materialize(cur, f"descend{d}")
     last = cur.select(*cur.columns)
@@ -326,11 +326,11 @@ def categorize_greedy(tree: ConceptTree, queries: DataFrame, posterior: bool = F
 
 def basic_level(tree: ConceptTree) -> DataFrame:
     """(leaf_id, basic_id, utility): ancestor-or-self with the highest category utility; ties go to the deeper one."""
-    cu = category_utility(tree.nodes, tree.params).select("node_id", rounded(F.col("category_utility")).alias("cu"))
+    cu = category_utility(tree.nodes, tree.params).select("node_id", F.col("category_utility").alias("cu"))
     n = tree.nodes.select("node_id", "parent_id", "depth", "is_leaf").join(cu, "node_id")
     here = F.struct(F.col("cu").alias("u"), F.col("node_id").alias("id"))
     walked = top_down(tree, n, {"best": here}, {
-        "best": lambda up: F.when(F.col("cu") >= F.col(up)["u"], here).otherwise(F.col(up))})
+        "best": lambda up: F.when(rounded(F.col("cu")) >= rounded(F.col(up)["u"]), here).otherwise(F.col(up))})
     return walked.where("is_leaf").select(
         F.col("node_id").alias("leaf_id"), F.col("best.id").alias("basic_id"), F.col("best.u").alias("utility"))
 
@@ -342,9 +342,10 @@ def best_level(tree: ConceptTree, rows: DataFrame) -> DataFrame:
     up = rows.join(leaf_paths(tree), "leaf_id").select(
         "row_id", "x", F.posexplode("path").alias("depth", "node_id"))
     scored = up.join(n, "node_id").withColumn("_one", F.lit(0)).join(F.broadcast(root), "_one").select(
-        "row_id", "node_id", "depth", rounded(G.log_posterior("x", "mean", "var", "count", "rn")).alias("s"))
-    return scored.groupBy("row_id").agg(
-        F.max_by("node_id", F.struct("s", "depth")).alias("best_id"), F.max("s").alias("log_posterior"))
+        "row_id", "node_id", "depth", G.log_posterior("x", "mean", "var", "count", "rn").alias("s"))
+    best = F.max_by(F.struct("node_id", "s"), F.struct(rounded(F.col("s")), F.col("depth")))
+    return scored.groupBy("row_id").agg(best.alias("b")).select(
+        "row_id", F.col("b.node_id").alias("best_id"), F.col("b.s").alias("log_posterior"))
 
 
 def leaf_topk(tree: ConceptTree, queries: DataFrame, k: int) -> DataFrame:
