@@ -206,16 +206,15 @@ def metrics_by_corpus(spark, sf):
     return _unpivoted(rep.metrics_by_corpus(one, 5, _MODELS, _sizes(spark, sf), ("ndcg",)))
 
 
-@query("scale_table", with_(METRIC_SQL) + """
-    SELECT method, s.corpus_size::VARCHAR || '|recall' AS col, coalesce(min(m.recall)::VARCHAR, '--') AS value
+@query("scale_table", with_(METRIC_SQL, """
+    one AS (SELECT method, corpus_size, recall FROM m WHERE model = 'm1' AND k = 5)""") + """
+    SELECT t.method, s.corpus_size::VARCHAR || '|recall' AS col, coalesce(one.recall::VARCHAR, '--') AS value
     FROM (SELECT DISTINCT corpus_size FROM m WHERE corpus_size <> (SELECT min(corpus_size) FROM m)) s
-    CROSS JOIN (SELECT DISTINCT method FROM m) t LEFT JOIN m USING (method, corpus_size)
-    WHERE m.model = 'm1' AND m.k = 5 GROUP BY method, s.corpus_size""")
+    CROSS JOIN (SELECT DISTINCT method FROM one) t LEFT JOIN one ON one.method = t.method AND one.corpus_size = s.corpus_size""")
 def scale_table(spark, sf):
+    """Sizes the model was not run at show as missing; the smallest size is left out."""
     sizes = _sizes(spark, sf)
-    one = metric_rows(spark, sf).where("model = 'm1'")
-    table = rep.scale_table(one, 5, "m1", sizes, ("recall",), skip=(sizes[0],))
-    return _unpivoted(table).where("value <> '--'")
+    return _unpivoted(rep.scale_table(metric_rows(spark, sf), 5, "m1", sizes, ("recall",), skip=(sizes[0],)))
 
 
 @query("runtime_table", with_(METRIC_SQL) + """

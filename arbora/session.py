@@ -38,15 +38,17 @@ def get_session(app: str = "arbora", cores: str | int | None = None, shuffle: in
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for lineage cuts: the cluster's own setting, else (local mode only) a new folder."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    context = spark.sparkContext
+    configured = (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+                  or context.getCheckpointDir())
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     folder = tempfile.mkdtemp(prefix="arbora-ckpt-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(folder)
-    return spark.sparkContext.getCheckpointDir()
+    context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
 
 
 def materialize(df: DataFrame, name: str = "t") -> DataFrame:
