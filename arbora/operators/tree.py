@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from arbora.functions import gauss as G
 from arbora.functions.vec import let, merge_moments, moments, total, zeros_like
 from arbora.operators.topk import SCORE_DECIMALS
+from arbora.session import spread
 
 LABEL_ALPHA = 1e-8  # fixed value: smoothing of label counts
 # In the order that decides between equal utilities.
@@ -125,7 +126,7 @@ def _child_terms(rows: DataFrame, nodes: DataFrame, params: TreeParams) -> DataF
     parent = nodes.where(~F.col("is_leaf")).select(
         F.col("node_id").alias("at"), F.col("count").alias("pn"), F.col("mean").alias("pm0"), F.col("m2").alias("ps0"),
         *([F.col("lc").alias("pl0")] if labelled else []))
-    r = rows.join(parent, "at").select(
+    r = spread(rows, "row_id").join(parent, "at").select(
         *rows.columns, "pn", G.insert_mean("x", "pm0", "pn").alias("pm"),
         params.var(G.insert_m2("x", "pm0", "ps0", "pn"), F.col("pn") + 1).alias("pv"),
         *([label_shares(add_label(F.col("pl0"), F.col("y"))).alias("pl")] if labelled else []))
@@ -155,8 +156,8 @@ def best_children(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreePa
     """
     terms = _child_terms(rows, nodes, params)
     order = F.struct(rounded(F.col("gain")).alias("g"), F.col("cn").alias("c"))
-    # Partial aggregation keeps the two best and the sum per row before anything is shuffled; fan-outs are bounded
-    # by the builder.
+    # Rows were spread by row_id, so window and sums run where the children were scored; fan-outs are bounded by
+    # the builder.
     w = Window.partitionBy("row_id").orderBy(order.desc(), F.col("child_id").asc())
     ranked = terms.withColumn("r", F.row_number().over(w))
     pick = lambda i, c: F.max(F.when(F.col("r") == i, F.col(c)))

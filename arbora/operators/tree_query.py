@@ -24,9 +24,9 @@ from arbora.operators.topk import (
     topk_linear,
 )
 from arbora.operators.tree import ConceptTree, TreeParams, category_utility, label_shares, rounded
-from arbora.session import materialize
+from arbora.session import materialize, spread
 
-LEAF_BLOCK = 4096
+LEAF_BLOCK = 1024
 LAZY_LEVELS = 3  # deeper trees write each level out, so that no level is computed again
 
 # Default weights per level; levels beyond the list weigh 1.
@@ -252,12 +252,17 @@ def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFr
             kept = (s < after) & inside
             packed = np.take_along_axis(
                 np.where(kept, s, -np.inf), np.argsort(~kept, axis=2, kind="stable"), axis=2)
-            ids = np.broadcast_to(leaf_ids, packed.shape[:2])
-            sort_keys = (ids,) + tuple(-packed[..., d] for d in range(packed.shape[2] - 1, -1, -1))
-            first = np.lexsort(sort_keys, axis=1)[:, :k]
-            rows.append(np.repeat(np.arange(lo, lo + len(s)), first.shape[1]))
-            found.append(leaf_ids[first].reshape(-1))
-            keys.append(np.take_along_axis(packed, first[..., None], axis=1).reshape(-1, packed.shape[2]))
+            # Only leaves whose weakest step reaches the k-th best weakest step can be among the first k.
+            weakest = packed[..., 0]
+            at = max(0, len(leaf_ids) - k)
+            bar = np.partition(weakest, at, axis=1)[:, at]
+            for i in range(len(s)):
+                near = np.flatnonzero(weakest[i] >= bar[i])
+                mine = packed[i, near]
+                first = np.lexsort((leaf_ids[near], *(-mine[:, d] for d in range(mine.shape[1] - 1, -1, -1))))[:k]
+                rows.append(np.full(len(first), lo + i))
+                found.append(leaf_ids[near[first]])
+                keys.append(mine[first])
         key = np.concatenate(keys)
         real = np.isfinite(key)
         offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32))
@@ -288,7 +293,7 @@ def categorize_greedy(tree: ConceptTree, queries: DataFrame, posterior: bool = F
     """
     nodes = tree.nodes.select("node_id", "parent_id", "is_leaf", "count", "mean",
                               tree.params.var("m2", "count").alias("var"))
-    x = queries.select("qid", doubles("qvec").alias("x"))
+    x = spread(queries.select("qid", doubles("qvec").alias("x")), "qid")
     root = nodes.where(F.col("parent_id").isNull()).select(
         "node_id", "is_leaf", F.col("count").alias("rn"), F.col("mean").alias("rm"), F.col("var").alias("rv"),
         F.lit(0).alias("_one"))

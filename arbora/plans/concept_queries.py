@@ -242,19 +242,19 @@ def placed_rows(spark, sf, with_labels: bool = False):
     SELECT row_id, host, best1, best2, {sql6('gain1', 'gain1')}, {sql6('gain2', 'gain2')},
            {sql6('(base - a1 + b1) / n', 'pu_best')} FROM best""")
 def best_children(spark, sf):
-    out = T.best_children(placed_rows(spark, sf), I.fixed_tree(spark, sf).nodes)
+    out = T.best_children(placed_rows(spark, sf), I.stored_tree(spark, sf).nodes)
     return out.select("row_id", F.col("at").alias("host"), "best1", "best2", r6("gain1"), r6("gain2"), r6("pu_best"))
 
 
 @query("pu_insert", with_(*_ALL_OPS[:-1]) + f" SELECT row_id, host, child_id, {sql6('(base - a + b) / n', 'pu')} FROM rk")
 def pu_insert(spark, sf):
-    return T.pu_insert(placed_rows(spark, sf), I.fixed_tree(spark, sf).nodes).select("row_id", F.col("at").alias("host"), "child_id", r6("pu"))
+    return T.pu_insert(placed_rows(spark, sf), I.stored_tree(spark, sf).nodes).select("row_id", F.col("at").alias("host"), "child_id", r6("pu"))
 
 
 def _pu_query(op: str):
     @query(f"pu_{op}", with_(*_ALL_OPS) + f" SELECT row_id, host, best1, {sql6(f'pu_{op}', 'pu')} FROM ops WHERE pu_{op} IS NOT NULL")
     def run(spark, sf):
-        u = T.operation_utilities(placed_rows(spark, sf), I.fixed_tree(spark, sf).nodes)
+        u = T.operation_utilities(placed_rows(spark, sf), I.stored_tree(spark, sf).nodes)
         return u.where(f"pu_{op} is not null").select("row_id", F.col("at").alias("host"), "best1", r6(f"pu_{op}", "pu"))
 
     return run
@@ -271,7 +271,7 @@ pu_new, pu_merge, pu_split = _pu_query("new"), _pu_query("merge"), _pu_query("sp
     SELECT row_id, host, best1, best2, operation, {sql6('pu', 'pu')} FROM o WHERE pu IS NOT NULL
     QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY round(pu, 9) DESC, k) = 1""")
 def best_operation(spark, sf):
-    out = T.best_operation(placed_rows(spark, sf), I.fixed_tree(spark, sf).nodes)
+    out = T.best_operation(placed_rows(spark, sf), I.stored_tree(spark, sf).nodes)
     return out.select("row_id", F.col("at").alias("host"), "best1", "best2", "operation", r6("pu"))
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.functions.vec import moments, zeros_like
-from arbora.operators.tree import LABEL_ALPHA, ConceptTree, TreeParams
+from arbora.operators.tree import ConceptTree, TreeParams
+from arbora.session import materialize
 
 N_LABELS = 10  # labels of the embeddings table are 0…9
 
@@ -45,6 +48,12 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return queries(spark, sf_dir).select("qid", "qvec").join(texts, "qid")
 
 
+def stored_tree(spark: SparkSession, sf_dir: str, with_labels: bool = False) -> ConceptTree:
+    """``fixed_tree`` written out first, for queries that read its nodes several times."""
+    tree = fixed_tree(spark, sf_dir, with_labels)
+    return replace(tree, nodes=materialize(tree.nodes, "tree"))
+
+
 def fixed_tree(spark: SparkSession, sf_dir: str, with_labels: bool = False, params: TreeParams = TreeParams()) -> ConceptTree:
     """root 0 -> label (1 + label) -> label and parity of the id (100000 + 2 label + parity) -> leaf (1000000 + id)."""
     v = vectors(spark, sf_dir).withColumn("label_id", (F.col("label") + 1).cast("bigint")).withColumn(

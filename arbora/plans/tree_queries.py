@@ -125,7 +125,7 @@ def _leaf_row(found):
     SELECT qid, leaf_id - 1000000 AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY key DESC, leaf_id) AS rank
     FROM k QUALIFY rank <= {K}""")
 def tree_topk_bestfirst(spark, sf):
-    tree = I.fixed_tree(spark, sf)
+    tree = I.stored_tree(spark, sf)
     found = tq.tree_topk_bestfirst(tree, _q(spark, sf), K)
     return tq.expand_members(found, tree).select("qid", "doc_id", "rank")
 
@@ -146,13 +146,13 @@ def _path_out(found):
 
 @query("tree_topk_path", _path_sql("1"))
 def tree_topk_path(spark, sf):
-    return _path_out(tq.tree_topk_path(I.fixed_tree(spark, sf), _q(spark, sf), K))
+    return _path_out(tq.tree_topk_path(I.stored_tree(spark, sf), _q(spark, sf), K))
 
 
 @query("level_weights", _path_sql("(CASE depth WHEN 0 THEN 0.5 WHEN 1 THEN 2.0 ELSE 1.0 END)::DOUBLE"))
 def level_weights(spark, sf):
     """Given weights for the first two levels; the others weigh 1."""
-    return _path_out(tq.tree_topk_path(I.fixed_tree(spark, sf), _q(spark, sf), K, [0.5, 2.0]))
+    return _path_out(tq.tree_topk_path(I.stored_tree(spark, sf), _q(spark, sf), K, [0.5, 2.0]))
 
 
 @query("weight_schedule", with_("s AS (SELECT unnest(range(0, 4)) AS level)", """
@@ -221,14 +221,14 @@ l0 AS (SELECT qid, node_id, lp AS s FROM lp WHERE node_id = 0)""",
     b AS (SELECT qid, node_id AS best_id, s FROM a QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, d) = 1)
     SELECT qid, l3.node_id AS leaf_id, {sql6('l3.s', 'leaf_score')}, best_id, {sql6('b.s', 'best_score')} FROM l3 JOIN b USING (qid)""")
 def categorize_greedy(spark, sf):
-    out = tq.categorize_greedy(I.fixed_tree(spark, sf), _q(spark, sf))
+    out = tq.categorize_greedy(I.stored_tree(spark, sf), _q(spark, sf))
     return out.select("qid", "leaf_id", r6("leaf_score"), "best_id", r6("best_score"))
 
 
 @query("categorize_posterior", _descend_sql("(lp.lp + ln(cnt.n) - ln((SELECT count(*) FROM embeddings)))") + f"""
     SELECT qid, node_id AS leaf_id, {sql6('s', 'leaf_score')} FROM l3""")
 def categorize_posterior(spark, sf):
-    out = tq.categorize_greedy(I.fixed_tree(spark, sf), _q(spark, sf), posterior=True)
+    out = tq.categorize_greedy(I.stored_tree(spark, sf), _q(spark, sf), posterior=True)
     return out.select("qid", "leaf_id", r6("leaf_score"))
 
 
@@ -236,7 +236,7 @@ def categorize_posterior(spark, sf):
     SELECT leaf_id, node_id AS basic_id, {sql6('cu', 'utility')} FROM paths JOIN cu USING (node_id)
     QUALIFY row_number() OVER (PARTITION BY leaf_id ORDER BY round(cu, 9) DESC, depth DESC) = 1""")
 def basic_level(spark, sf):
-    return tq.basic_level(I.fixed_tree(spark, sf)).select("leaf_id", "basic_id", r6("utility"))
+    return tq.basic_level(I.stored_tree(spark, sf)).select("leaf_id", "basic_id", r6("utility"))
 
 
 @query("best_level", with_(E, Q, ND, NV, PATHS, lp("q"), """
@@ -246,7 +246,7 @@ def basic_level(spark, sf):
     QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(lp + ln(n), 9) DESC, depth DESC) = 1""")
 def best_level(spark, sf):
     rows = _q(spark, sf).select(F.col("qid").alias("row_id"), F.col("qvec").alias("x"), (F.col("qid") + 1000000).alias("leaf_id"))
-    return tq.best_level(I.fixed_tree(spark, sf), rows).select("row_id", "best_id", r6("log_posterior"))
+    return tq.best_level(I.stored_tree(spark, sf), rows).select("row_id", "best_id", r6("log_posterior"))
 
 
 @query("leaf_topk", with_(E, Q, f"""
@@ -386,7 +386,7 @@ lmg AS (
     FROM best b JOIN nw USING (row_id) JOIN lnw USING (row_id) LEFT JOIN mg USING (row_id) LEFT JOIN lmg USING (row_id)""")
 def label_best_operation(spark, sf):
     """The operation utilities with labels counted in."""
-    u = T.operation_utilities(placed_rows(spark, sf, with_labels=True), I.fixed_tree(spark, sf, with_labels=True).nodes)
+    u = T.operation_utilities(placed_rows(spark, sf, with_labels=True), I.stored_tree(spark, sf, with_labels=True).nodes)
     return u.select("row_id", F.col("at").alias("host"), "best1", "best2", r6("gain1"), r6("pu_best"), r6("pu_new"), r6("pu_merge"))
 
 
@@ -409,7 +409,7 @@ post AS (SELECT qid, node_id, lp AS score FROM lp WHERE node_id = 0 UNION ALL SE
     SELECT qid, leaf_id - 1000000 AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY key DESC, leaf_id) AS rank
     FROM k QUALIFY rank <= {K}""")
 def bestfirst_posterior(spark, sf):
-    return _leaf_row(tq.bestfirst_posterior(I.fixed_tree(spark, sf), I.centroids(spark, sf), K)).select("qid", "doc_id", "rank")
+    return _leaf_row(tq.bestfirst_posterior(I.stored_tree(spark, sf), I.centroids(spark, sf), K)).select("qid", "doc_id", "rank")
 
 
 @query("predict_label_probs", with_(E, CENT, ND, NV, TOPO, lp("cent"), _POST, _LC, """
@@ -418,7 +418,7 @@ def bestfirst_posterior(spark, sf):
     SELECT qid, label, {sql6('sum(exp(w - top)) / sum(sum(exp(w - top))) OVER (PARTITION BY qid)', 'prob')}
     FROM x GROUP BY qid, label""")
 def predict_label_probs(spark, sf):
-    out = tq.predict_label_probs(I.fixed_tree(spark, sf, with_labels=True), I.centroids(spark, sf))
+    out = tq.predict_label_probs(I.stored_tree(spark, sf, with_labels=True), I.centroids(spark, sf))
     return out.select("qid", F.col("label").cast("bigint").alias("label"), r6("prob"))
 
 

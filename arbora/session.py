@@ -63,6 +63,14 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Distribute rows evenly by a unique key before costly per-row work whose results are grouped by that key.
+
+    The rows move once, before they multiply, and the grouping afterwards needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def take_small(df: DataFrame, max_rows: int):
     """The rows as an Arrow table if there are at most ``max_rows``, else None. Moves at most max_rows + 1 rows."""
     table = df.limit(max_rows + 1).toArrow()
