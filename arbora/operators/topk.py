@@ -337,14 +337,16 @@ def topk_ann(
                 [batch.column(0).take(rows), batch.column(1).take(rows).cast(out.field(1).type),
                  pa.array(near.reshape(-1).astype(np.int32))], schema=out)
 
+    probes = unit_q.mapInArrow(nearest_cells, schema)
+    # Queries of a popular cell are split as well; items of a cell nobody asks for drop out.
+    asked = probes.groupBy("cell").count().select(
+        "cell", F.ceil(F.col("count") / F.lit(QUERY_BLOCK)).cast("int").alias("shares"))
     query_blocks = (
-        unit_q.mapInArrow(nearest_cells, schema)
-        .join(F.broadcast(sizes), "cell")
+        probes.join(F.broadcast(sizes), "cell").join(F.broadcast(asked), "cell")
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int"))
     )
-    # Queries of a popular cell are split as well.
-    n_q = F.lit(max(1, math.ceil(queries.count() / QUERY_BLOCK)))
-    query_blocks = query_blocks.withColumn("qb", F.pmod(F.xxhash64("qid"), n_q).cast("int"))
-    item_blocks = item_blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), n_q - 1)))
+    item_blocks = item_blocks.join(F.broadcast(asked), "cell").withColumn(
+        "qb", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
     parts = block_topk(query_blocks, item_blocks, ["cell", "part", "qb"], k)
     return _rank(parts, k).withColumnRenamed("item_id", "doc_id")

@@ -187,15 +187,15 @@ def expand_members(found: DataFrame, tree: ConceptTree) -> DataFrame:
 # ---- best-first search without a heap ---------------------------------------------------------------------------
 
 
-def _leaf_blocks(tree: ConceptTree) -> DataFrame:
-    """(block, leaf_id, path) with blocks of about LEAF_BLOCK leaves that lie next to each other in the tree."""
+def _leaf_blocks(tree: ConceptTree) -> tuple[DataFrame, int]:
+    """(block, leaf_id, path) with blocks of about LEAF_BLOCK leaves that lie next to each other in the tree; how many."""
     paths = leaf_paths(tree).select("leaf_id", F.slice("path", 2, 1_000_000).alias("path"))
     blocks = -(-paths.count() // LEAF_BLOCK)
     if blocks <= 1:
-        return paths.withColumn("block", F.lit(0))
+        return paths.withColumn("block", F.lit(0)), 1
     key = F.concat_ws("/", F.transform("path", lambda p: F.lpad(p.cast("string"), 24, " ")))
     ranged = paths.withColumn("_k", key).repartitionByRange(blocks, "_k")
-    return materialize(ranged.select("leaf_id", "path", F.spark_partition_id().alias("block")), "leaf_blocks")
+    return materialize(ranged.select("leaf_id", "path", F.spark_partition_id().alias("block")), "leaf_blocks"), blocks
 
 
 def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFrame:
@@ -205,7 +205,7 @@ def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFr
     that list, descending, is the order in which a max-heap search pops them. Each block of leaves scores the
     nodes above it once per query, and keeps k.
     """
-    leaves = _leaf_blocks(tree)
+    leaves, n_blocks = _leaf_blocks(tree)
     stats = tree.nodes.withColumn("var", tree.params.var("m2", "count"))
     coef, const = linear_terms(F.col("mean"), F.col("var"), True)
     above = leaves.select("block", F.explode("path").alias("node_id")).distinct().join(
@@ -215,10 +215,9 @@ def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFr
     tile = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb")
     side = leaves.select("block", tile, "leaf_id", "path").unionByName(
         above.select("block", tile, "node_id", "coef", "const"), allowMissingColumns=True)
-    blocks = leaves.select("block").distinct()
-    # One row per block and query block; the join key is the query block.
-    asked = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).join(
-        blocks.select(F.col("block").alias("to_block"), tile), "qb")
+    # Every block has to see every query; the copies are made where the queries lie.
+    asked = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn(
+        "to_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
     id_type = tree.nodes.schema["node_id"].dataType
     schema = T.StructType([q.schema["qid"], T.StructField("leaf_id", id_type),
                            T.StructField("key", T.ArrayType(T.DoubleType()))])

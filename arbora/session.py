@@ -26,6 +26,9 @@ def get_session(app: str = "arbora", cores: str | int | None = None, shuffle: in
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.execution.arrow.maxBytesPerBatch", str(SMALL_TABLE_BYTES))
+        # Vector moments are kept per key while a task aggregates; the default gives up hashing after 128 keys.
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "1024")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
