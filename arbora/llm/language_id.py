@@ -224,6 +224,21 @@ def document_probabilities(model: Model, raw: np.ndarray, offsets: np.ndarray) -
     return np.divide(sums, total, out=np.zeros_like(sums), where=total > 0)
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
+def judge(model: Model, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the best label (as many as there are labels if none applies) and its probability, for each text."""
+    letters = has_letter(texts)
+    best, score = np.full(len(texts), len(model.labels)), np.zeros(len(texts))
+    if model.labels and letters.any():
+        shares = document_probabilities(model, *text_bytes(texts))
+        best = np.where(letters, shares.argmax(1), best)
+        score = np.where(letters, np.minimum(shares.max(1), 1.0), 0.0)
+    return best, score
+
+
 def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score (probability of that language; 0 for ``und``).
 
@@ -236,14 +251,7 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch):
-                texts = piece.column("text")
-                has_letter = pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(
-                    zero_copy_only=False)
-                best, score = np.full(len(texts), len(labels) - 1), np.zeros(len(texts))
-                if model.labels and has_letter.any():
-                    shares = document_probabilities(model, *text_bytes(texts))
-                    best = np.where(has_letter, shares.argmax(1), best)
-                    score = np.where(has_letter, np.minimum(shares.max(1), 1.0), 0.0)
+                best, score = judge(model, piece.column("text"))
                 yield pa.record_batch([piece.column("id"), pa.array(labels[best], pa.string()), pa.array(score)],
                                       schema=schema)
 
@@ -251,6 +259,27 @@ def predict_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", tex
     return rows.mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_recognised(docs: DataFrame, model: Model, min_score: float = 0.3, text_col: str = "text") -> DataFrame:
+    """``docs`` without rows that are ``und`` or whose best language has less than ``min_score``; columns as they were.
+
+    With a model without labels all rows with a letter stay. Rows stay where they are: each is judged in the task that reads it, with all its columns at hand.
+    """
+    schema, columns = docs.schema, docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = columns.index(text_col)
+            texts = batch.column(at).cast(pa.string())
+            keep = [np.zeros(0, bool)]
+            for piece in pieces(pa.record_batch([texts], names=["text"])):
+                best, score = judge(model, piece.column("text"))
+                known = (best < len(model.labels)) & (score >= min_score)
+                keep.append(known if model.labels else has_letter(piece.column("text")))
+            yield batch.filter(pa.array(np.concatenate(keep)))
+
+    return docs.mapInArrow(run, schema)
+
+
 def fold(id_col: str = "doc_id"):
     """Remainder of the CRC of the id as text; documents with remainder 2 are held out of training."""
     return F.crc32(F.col(id_col).cast("string")) % 4
