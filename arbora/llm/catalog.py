@@ -1,4 +1,4 @@
 """All queries of this subpackage; importing the modules registers them."""
 
-from arbora.llm import bpe, exact_dedup, jaccard_join, language_id, mixing, personal_data, unit_dedup  # noqa: F401
+from arbora.llm import bpe, exact_dedup, jaccard_join, language_id, licenses, mixing, personal_data, unit_dedup  # noqa: F401
 from arbora.llm.common import ORACLES, QUERIES  # noqa: F401
