@@ -167,9 +167,10 @@ def _vectors(blocks: list[Block], cache: dict) -> np.ndarray:
                 cache.clear()
             cache[b.path] = v
         out[i, :PATH_DIMS] = v
-        out[i, -EXTRA:] = (np.log1p(count[i]) / 5, b.linked / max(1, len(b.text)),
-                           sum(map(b.text.count, ".,;!?")) / max(1, count[i]), i / n)
-    out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = bag / np.maximum(1, np.sqrt(np.maximum(count, 1)))[:, None]
+        out[i, -EXTRA:] = (min(2.0, np.log1p(count[i]) / 5), b.linked / max(1, len(b.text)),
+                           sum(map(b.text.count, ".,;!?")) / max(1, len(b.text)) * 10, i / n)
+    # Unit length, so a very long block weighs no more than a short one.
+    out[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = bag / np.maximum(1, np.sqrt((bag * bag).sum(1)))[:, None]
     return out
 
 

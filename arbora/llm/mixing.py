@@ -57,6 +57,7 @@ def _round_block(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
             continue
         if drift and to_come[i]:
             shifted = min(1.0, max(0.0, p[i] - drift / to_come[i]))
+            shifted = shifted if EPS < shifted < 1 - EPS else float(round(shifted))
             drift += (shifted - p[i]) * size[i]
             p[i] = shifted
         if at >= 0 and EPS < p[i] < 1 - EPS:
@@ -173,11 +174,11 @@ def mix_sources(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), share:
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as the mix takes it, columns as they were. Ids must not repeat."""
-    id_col = options.get("id_col", "doc_id")
-    taken = mix_sources(docs, **options).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    return docs.join(taken.withColumnRenamed("copies", "_copies"), docs[id_col].eqNullSafe(F.col("_id"))).select(
-        *[docs[c] for c in docs.columns], F.col("_copies")).withColumn(
-        "_time", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).drop("_copies", "_time")
+    taken = mix_sources(docs, **options).where("copies > 0").select("doc_id", "copies")
+    # The whole row travels as one value, so no column of it can clash.
+    rows = docs.select(docs[options.get("id_col", "doc_id")].cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    met = rows.join(taken, rows["doc_id"].eqNullSafe(taken["doc_id"])).select("row", "copies")
+    return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 @register("op2_mix_sources")

@@ -28,6 +28,9 @@ from arbora.session import materialize
 ORDER = 5
 #: Bits of a hash in the model: at most 2 ** 22 entries of 8 bytes for n-grams and as many for contexts, per order.
 HASH_BITS = 22
+#: N-grams of this order and longer that occur once give their whole count to the back-off and are not stored:
+#: otherwise a text would be predicted from what it alone has said.
+ONCE_FROM = 3
 #: A band reaches so many times the width of the middle half beyond its quartiles.
 REACH = 3.0
 #: Scores are compared in steps of 1 / BINS bit per byte.
@@ -161,7 +164,7 @@ def _order_table(grams: DataFrame, k: int, lower: DataFrame | None) -> tuple[Dat
     # One row per language.
     discounts = grams.groupBy("lang").agg(*of).select(F.col("lang").alias("_lang"), *[discount(i) for i in (1, 2, 3)])
     rows = rows.join(F.broadcast(discounts), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
-    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    d = F.when(F.col("n") == 1, F.lit(1.0) if k >= ONCE_FROM else F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     ctx = Window.partitionBy("lang", "ctx")  # at most 256 rows
     rows = rows.withColumn("d", d).withColumn("all", F.sum("n").over(ctx)).withColumn(
         "gamma", F.sum("d").over(ctx) / F.col("all"))
@@ -190,7 +193,8 @@ def fit_kneser_ney(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     parts, lower = [], None
     for k in range(1, ORDER + 1):
         lower, back = _order_table(grams[k], k, lower)
-        parts.append(lower.select("lang", "gram", F.lit(k).alias("k"), F.log("p").alias("v"), F.col("n").cast("double")))
+        stored = lower.where("n > 1") if k >= ONCE_FROM else lower
+        parts.append(stored.select("lang", "gram", F.lit(k).alias("k"), F.log("p").alias("v"), F.col("n").cast("double")))
         parts.append(back.select("lang", "gram", F.lit(-k).alias("k"), "v", F.col("n").cast("double")))
     whole = parts[0]
     for part in parts[1:]:
