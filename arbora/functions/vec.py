@@ -31,10 +31,6 @@ def dot(a: str | Column, b: str | Column) -> Column:
     return total(F.zip_with(as_col(a), as_col(b), lambda x, y: x * y))
 
 
-def l2sq(a: str | Column, b: str | Column) -> Column:
-    return total(F.zip_with(as_col(a), as_col(b), lambda x, y: (x - y) * (x - y)))
-
-
 def norm(a: str | Column) -> Column:
     return F.sqrt(total(F.transform(as_col(a), lambda x: x * x)))
 

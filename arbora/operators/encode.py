@@ -12,7 +12,6 @@ from arbora.functions.vec import l2_normalize
 Encoder = Callable[[DataFrame], DataFrame]
 _ENCODERS: dict[str, Encoder] = {}
 
-MAX_TOKENS = 512  # fixed value: model inputs end here when an encoder truncates
 
 
 def register_encoder(name: str, encoder: Encoder) -> None:
@@ -35,7 +34,7 @@ def encode_dual(queries: DataFrame, passages: DataFrame, query_encoder: str, pas
 
 
 def hashing_encoder(dim: int = 256) -> Encoder:
-    """Signed feature hashing of lower-cased words over the whole text, unit length.
+    """Feature hashing of lower-cased words over the whole text, counts damped by a logarithm, unit length.
 
     Runs in the JVM with built-in functions only; a text's words become counts per bucket inside its own row, so
     there is no shuffle and no vocabulary.
@@ -63,12 +62,17 @@ def pool_cls(tokens: DataFrame) -> DataFrame:
 
 def pool_mean(tokens: DataFrame, use_mask: bool = True) -> DataFrame:
     """Masked mean of the token states: sum(h * mask) / max(sum(mask), 1e-9). Sums combine before the shuffle."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
     w = F.col("mask").cast("double") if use_mask else F.lit(1.0)
-    cells = tokens.select("doc_id", w.alias("w"), F.posexplode("hidden").alias("d", "h"))
-    sums = cells.groupBy("doc_id", "d").agg(
-        (F.sum(F.col("h") * F.col("w")) / F.greatest(F.sum("w"), F.lit(1e-9))).alias("value"))
-    return sums.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("d", "value"))).alias("z")).select(
-        "doc_id", F.transform("z", lambda z: z["value"]).alias("vec"))
+    weighed = tokens.select("doc_id", w.alias("w"), array_to_vector(
+        F.transform("hidden", lambda h: h.cast("double") * w)).alias("h"))
+    # One shuffle of one vector per task and document.
+    sums = weighed.groupBy("doc_id").agg(
+        vector_to_array(Summarizer.metrics("sum").summary(F.col("h"))["sum"]).alias("s"),
+        F.greatest(F.sum("w"), F.lit(1e-9)).alias("w"))
+    return sums.select("doc_id", F.transform("s", lambda v: v / F.col("w")).alias("vec"))
 
 
 def check_dim(vectors: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -256,29 +258,53 @@ def best_operation(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeP
 # ---- structural edits on the adjacency table: every edit of a kind is applied at once ---------------------------
 
 
-def _leaf_rows(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """rows(new_id, parent_id, depth, x, n) as leaf node rows."""
-    return rows.select(
+def _merged(parts: DataFrame, keys: list[str], alpha: float) -> DataFrame:
+    """Moments, and label counts if the parts have them, of all rows that share ``keys`` (the first one identifies)."""
+    merged = merge_moments(parts.drop("lc"), keys)
+    if "lc" not in parts.columns:
+        return merged
+    # Every part carries alpha once per label; the sum shall too.
+    bare = array_to_vector(F.transform("lc", lambda c: c - F.lit(alpha)))
+    summed = parts.groupBy(keys[0]).agg(vector_to_array(Summarizer.metrics("sum").summary(bare)["sum"]).alias("_lc"))
+    return merged.join(summed, keys[0]).withColumn("lc", F.transform("_lc", lambda c: c + F.lit(alpha))).drop("_lc")
+
+
+def _leaf_labels(rows: DataFrame, nodes: DataFrame, alpha: float) -> DataFrame:
+    """rows with ``lc`` if the tree has labels: alpha per label and the row's count at its label ``y`` (null: none)."""
+    if "lc" not in nodes.columns:
+        return rows
+    n_labels = nodes.agg(F.max(F.size("lc"))).first()[0] or 0
+    y = F.col("y") if "y" in rows.columns else F.lit(None)
+    counts = F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)), lambda i: F.lit(alpha) + F.when(
+        i == y, F.col("n").cast("double")).otherwise(0.0)) if n_labels else F.array().cast("array<double>")
+    return rows.withColumn("lc", counts)
+
+
+def _leaf_rows(rows: DataFrame, nodes: DataFrame, alpha: float) -> DataFrame:
+    """rows(new_id, parent_id, depth, x, n[, y]) as leaf node rows."""
+    return _leaf_labels(rows, nodes, alpha).select(
         "new_id", "parent_id", "depth", F.lit(True).alias("is_leaf"), F.col("n").cast("double").alias("count"),
-        F.col("x").alias("mean"), zeros_like("x").alias("m2")).withColumnRenamed("new_id", "node_id")
+        F.col("x").alias("mean"), zeros_like("x").alias("m2"), *[c for c in nodes.columns if c == "lc"]
+    ).withColumnRenamed("new_id", "node_id")
 
 
-def op_new(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Attach rows(new_id, parent_id, x, n) as leaves; statistics of ancestors are the caller's (``add_to_ancestors``)."""
+def op_new(nodes: DataFrame, rows: DataFrame, alpha: float = LABEL_ALPHA) -> DataFrame:
+    """Attach rows(new_id, parent_id, x, n[, y]) as leaves; statistics of ancestors are the caller's
+    (``add_to_ancestors``). In a tree with label counts ``y`` is the row's label index."""
     depth = nodes.select(F.col("node_id").alias("parent_id"), (F.col("depth") + 1).alias("depth"))
-    return nodes.unionByName(_leaf_rows(rows.join(depth, "parent_id"), nodes))
+    return nodes.unionByName(_leaf_rows(rows.join(depth, "parent_id"), nodes, alpha))
 
 
-def op_merge(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def op_merge(nodes: DataFrame, pairs: DataFrame, alpha: float = LABEL_ALPHA) -> DataFrame:
     """pairs(at, best1, best2, new_id): both children move under a new node holding their merged statistics.
 
     ``depth`` below is stale afterwards (see ``refresh_depth``).
     """
     moved = pairs.select("new_id", "at", F.explode(F.array("best1", "best2")).alias("node_id"))
-    parts = nodes.join(moved, "node_id").select("new_id", "at", "depth", "count", "mean", "m2")
-    fresh = merge_moments(parts, ["new_id", "at", "depth"]).select(
-        F.col("new_id").alias("node_id"), F.col("at").alias("parent_id"), "depth", F.lit(False).alias("is_leaf"),
-        "count", "mean", "m2")
+    sums = ["count", "mean", "m2", *[c for c in nodes.columns if c == "lc"]]
+    parts = nodes.join(moved, "node_id").select("new_id", "at", "depth", *sums)
+    fresh = _merged(parts, ["new_id", "at", "depth"], alpha).select(
+        F.col("new_id").alias("node_id"), F.col("at").alias("parent_id"), "depth", F.lit(False).alias("is_leaf"), *sums)
     kept = nodes.join(moved.select("node_id", F.col("new_id").alias("_p")), "node_id", "left").withColumn(
         "parent_id", F.coalesce("_p", "parent_id")).drop("_p")
     return kept.unionByName(fresh)
@@ -291,35 +317,41 @@ def op_split(nodes: DataFrame, gone: DataFrame) -> DataFrame:
     return kept.withColumn("parent_id", F.coalesce("_up", "parent_id")).select(*nodes.columns)
 
 
-def op_fringe(nodes: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows(leaf_id, inner_id, new_id, x, n): put an inner node above each leaf that meets another vector.
+def op_fringe(nodes: DataFrame, rows: DataFrame, alpha: float = LABEL_ALPHA) -> DataFrame:
+    """rows(leaf_id, inner_id, new_id, x, n[, y]): put an inner node above each leaf that meets another vector.
 
     The inner node takes the leaf's place and holds the leaf and all its new rows.
     """
     inner_ids = rows.select("leaf_id", "inner_id").distinct()
+    sums = ["count", "mean", "m2", *[c for c in nodes.columns if c == "lc"]]
     old = nodes.join(inner_ids, nodes.node_id == inner_ids.leaf_id)
-    parts = old.select("inner_id", "parent_id", "depth", "count", "mean", "m2")
-    new_parts = rows.join(old.select("inner_id", "parent_id", "depth"), "inner_id").select(
-        "inner_id", "parent_id", "depth", F.col("n").cast("double").alias("count"), F.col("x").alias("mean"),
-        zeros_like("x").alias("m2"))
-    inner = merge_moments(parts.unionByName(new_parts), ["inner_id", "parent_id", "depth"]).select(
-        F.col("inner_id").alias("node_id"), "parent_id", "depth", F.lit(False).alias("is_leaf"), "count", "mean", "m2")
+    parts = old.select("inner_id", "parent_id", "depth", *sums)
+    new_parts = _leaf_labels(rows, nodes, alpha).join(old.select("inner_id", "parent_id", "depth"), "inner_id").withColumns(
+        {"count": F.col("n").cast("double"), "mean": F.col("x"), "m2": zeros_like("x")}).select(
+        "inner_id", "parent_id", "depth", *sums)
+    inner = _merged(parts.unionByName(new_parts), ["inner_id", "parent_id", "depth"], alpha).select(
+        F.col("inner_id").alias("node_id"), "parent_id", "depth", F.lit(False).alias("is_leaf"), *sums)
     pushed = (
         nodes.join(inner_ids.withColumnRenamed("leaf_id", "node_id"), "node_id", "left")
         .withColumn("depth", F.col("depth") + F.when(F.col("inner_id").isNotNull(), 1).otherwise(0))
         .withColumn("parent_id", F.coalesce("inner_id", "parent_id")).select(*nodes.columns)
     )
     depth = inner.select(F.col("node_id").alias("inner_id"), (F.col("depth") + 1).alias("depth"))
-    leaves = _leaf_rows(rows.join(depth, "inner_id").withColumn("parent_id", F.col("inner_id")), nodes)
+    leaves = _leaf_rows(rows.join(depth, "inner_id").withColumn("parent_id", F.col("inner_id")), nodes, alpha)
     return pushed.unionByName(inner).unionByName(leaves)
 
 
-def add_to_ancestors(nodes: DataFrame, added: DataFrame) -> DataFrame:
-    """added(node_id, count, mean, m2): merge these sums into the nodes named."""
+def add_to_ancestors(nodes: DataFrame, added: DataFrame, alpha: float = LABEL_ALPHA) -> DataFrame:
+    """added(node_id, count, mean, m2[, lc]): merge these sums into the nodes named. A tree with label counts keeps
+    them; ``lc`` of the added sums carries alpha per label like any other."""
     keys = ["node_id", "parent_id", "depth", "is_leaf"]
-    extra = nodes.select(*keys).join(added, "node_id")
-    touched = merge_moments(
-        nodes.join(added.select("node_id"), "node_id", "left_semi").select(*keys, "count", "mean", "m2")
-        .unionByName(extra.select(*keys, "count", "mean", "m2")), keys)
-    return nodes.join(added.select("node_id"), "node_id", "left_anti").select(*keys, "count", "mean", "m2").unionByName(
-        touched)
+    labelled = "lc" in nodes.columns
+    sums = ["count", "mean", "m2", *["lc"] * labelled]
+    if labelled and "lc" not in added.columns:
+        blank = nodes.select("node_id", F.transform("lc", lambda c: F.lit(alpha)).alias("lc"))
+        added = added.join(blank, "node_id")
+    extra = nodes.select(*keys).join(added, "node_id").select(*keys, *sums)
+    touched = _merged(
+        nodes.join(added.select("node_id"), "node_id", "left_semi").select(*keys, *sums).unionByName(extra), keys, alpha)
+    return nodes.join(added.select("node_id"), "node_id", "left_anti").select(*keys, *sums).unionByName(
+        touched.select(*keys, *sums))

@@ -38,19 +38,19 @@ DEFAULT_LEVEL_WEIGHTS = [1.0, 1.0, 1.0, 1.0, 1.0, 1.0]
 
 def weight_schedule(kind: str, max_depth: int = 10, **kw) -> list[float]:
     """Weights per level: constant(value), linear(start, end, direction), quadratic(start_n), exponential(base)."""
-    levels = range(max_depth)
-    if kind == "constant":
-        return [float(kw.get("value", 1.0)) for _ in levels]
-    if kind == "linear":
-        first, last = kw.get("start", 1.0), kw.get("end", 1.0)
-        if kw.get("direction", "increase") == "decrease":
-            first, last = last, first
-        return [float(first + (last - first) * i / max(1, max_depth - 1)) for i in levels]
-    if kind == "quadratic":
-        return [1.0 / max(1, n * n) for n in (kw.get("start_n", 1) + i for i in levels)]
-    if kind == "exponential":
-        return [float(kw.get("base", 0.5) ** i) for i in levels]
-    raise ValueError(f"unknown weight schedule: {kind}")
+    ends = [kw.get("start", 1.0), kw.get("end", 1.0)]
+    if kw.get("direction", "increase") == "decrease":
+        ends.reverse()
+    level = np.arange(max_depth, dtype=float)
+    table = {
+        "constant": np.full(max_depth, kw.get("value", 1.0), dtype=float),
+        "linear": np.linspace(*ends, max_depth) if max_depth > 1 else np.full(max_depth, float(ends[0])),
+        "quadratic": np.maximum(1.0, (level + kw.get("start_n", 1)) ** 2) ** -1,
+        "exponential": float(kw.get("base", 0.5)) ** level,
+    }
+    if kind not in table:
+        raise ValueError(f"unknown weight schedule: {kind}")
+    return table[kind].tolist()
 
 
 def level_weight(depth: Column, weights: list[float] | None) -> Column:

@@ -57,25 +57,48 @@ def _sum_gram(parts: DataFrame) -> DataFrame:
     ).select("i", "n", "total", vector_to_array("_s.sum").alias("row"))
 
 
+def _centred(vectors: DataFrame, vec: str) -> tuple[DataFrame, np.ndarray | None]:
+    """The vectors minus their mean, and that mean (D numbers on the driver; None for an empty table).
+
+    Sums of squares far from the origin leave no digits for the variance, hence a pass for the mean comes first.
+    """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
+    x = vectors.select(doubles(vec).alias("vec"))
+    mean = x.agg(Summarizer.mean(array_to_vector("vec")).alias("m")).first()["m"] if not x.isEmpty() else None
+    if mean is None:
+        return x, None
+    center = mean.toArray()
+    at = F.array(*[F.lit(float(v)) for v in center]) if len(center) <= 64 else F.from_json(
+        F.lit("[" + ",".join(repr(float(v)) for v in center) + "]"), "array<double>")
+    return x.select(F.zip_with("vec", at, lambda a, b: a - b).alias("vec")), center
+
+
 def covariance(vectors: DataFrame, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, float]:
     """(mean, sample covariance, n); D rows of D numbers come to the driver."""
-    rows = _sum_gram(_gram_rows(vectors.select(doubles(vec).alias("vec")))).toPandas().sort_values("i")
+    x, center = _centred(vectors, vec)
+    rows = _sum_gram(_gram_rows(x)).toPandas().sort_values("i")
     n = float(rows["n"].iloc[0])
-    mean = rows["total"].to_numpy() / n
+    rest = rows["total"].to_numpy() / n  # what rounding has left of the mean
     gram = np.stack(rows["row"].to_numpy())
-    cov = (gram - n * np.outer(mean, mean)) / (n - 1)
-    return mean, (cov + cov.T) / 2, n
+    cov = (gram - n * np.outer(rest, rest)) / (n - 1)
+    return center + rest, (cov + cov.T) / 2, n
 
 
 def cov_matrix(vectors: DataFrame, vec: str = "vec") -> DataFrame:
     """(i, j, mean_i, cov), dimensions counted from 1; stays distributed."""
-    g = _sum_gram(_gram_rows(vectors.select(doubles(vec).alias("vec"))))
+    x, center = _centred(vectors, vec)
+    g = _sum_gram(_gram_rows(x))
     # D rows, so the mean vector is a bounded broadcast.
-    means = g.select(F.col("i").alias("j"), (F.col("total") / F.col("n")).alias("mean_j"))
-    cells = g.select("i", "n", (F.col("total") / F.col("n")).alias("mean_i"), F.posexplode("row").alias("j", "g"))
-    return cells.join(F.broadcast(means), "j").select(
-        (F.col("i") + 1).cast("bigint").alias("i"), (F.col("j") + 1).cast("bigint").alias("j"), "mean_i",
-        ((F.col("g") - F.col("n") * F.col("mean_i") * F.col("mean_j")) / (F.col("n") - 1)).alias("cov"))
+    means = g.select(F.col("i").alias("j"), (F.col("total") / F.col("n")).alias("rest_j"))
+    cells = g.select("i", "n", (F.col("total") / F.col("n")).alias("rest_i"), F.posexplode("row").alias("j", "g"))
+    base = vectors.sparkSession.createDataFrame(
+        [(k, float(v)) for k, v in enumerate(center if center is not None else [])], "i int, center double")
+    return cells.join(F.broadcast(means), "j").join(F.broadcast(base), "i").select(
+        (F.col("i") + 1).cast("bigint").alias("i"), (F.col("j") + 1).cast("bigint").alias("j"),
+        (F.col("center") + F.col("rest_i")).alias("mean_i"),
+        ((F.col("g") - F.col("n") * F.col("rest_i") * F.col("rest_j")) / (F.col("n") - 1)).alias("cov"))
 
 
 def corr_matrix(vectors: DataFrame, vec: str = "vec") -> DataFrame:

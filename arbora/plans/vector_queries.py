@@ -30,6 +30,13 @@ def cov_matrix(spark, sf):
     return wh.cov_matrix(I.vectors(spark, sf)).select("i", "j", r6("mean_i"), r6("cov"))
 
 
+@query("cov_matrix_far", with_(E, _COV) + f" SELECT i, j, {sql6('mean_i + 1e6', 'mean_i')}, {sql6('cov', 'cov')} FROM c")
+def cov_matrix_far(spark, sf):
+    """The same vectors a million away from the origin: the variances must not change."""
+    far = I.vectors(spark, sf).select("doc_id", F.transform("vec", lambda x: x + F.lit(1e6)).alias("vec"))
+    return wh.cov_matrix(far).select("i", "j", r6("mean_i"), r6("cov"))
+
+
 def _moments_of(df):
     """Mean and covariance of a transformed table, rounded to four decimals."""
     mean, cov, n = wh.covariance(df)

@@ -43,24 +43,38 @@ def examples(spark, positives, size=4):
     return spark.createDataFrame(rows, "ex_id bigint, query string, passages struct<passage_text array<string>, is_selected array<int>>")
 
 
-@pytest.mark.parametrize("positives,subset,target", [(set(range(0, 50, 2)), 40, 5), (set(range(50)), 30, 5), ({3, 7}, 100, 5), (set(), 25, 5), (set(range(50)), 10_000, 4)])
-def test_passages_follow_the_scan(spark, positives, subset, target):
-    """Against a plain loop over the examples."""
-    corpus, filler, asked = [], [], []
-    for i in range(50):
-        texts = [f"p{i}.{j}" for j in range(4)]
-        if i in positives and len(asked) < target:
-            asked.append((f"q{i}", f"p{i}.1"))
-            corpus += texts
-        elif len(corpus) < subset:
-            filler += texts
-        else:
-            break
+def taken(spark, positives, subset, target):
     got = ds.src_passages(examples(spark, positives), subset, target).collect()
-    texts = {r["text"] for r in got if r["role"] == "corpus"}
-    assert {(r["text"], r["target_text"]) for r in got if r["role"] == "query"} == set(asked)
-    assert set(corpus) <= texts <= set(corpus) | set(filler)
-    assert len(texts) == len(corpus) + min(len(filler), max(0, subset - len(corpus)))
+    return ({r["text"] for r in got if r["role"] == "corpus"},
+            {(r["text"], r["target_text"]) for r in got if r["role"] == "query"})
+
+
+def passages_of(*examples_):
+    return {f"p{i}.{j}" for i in examples_ for j in range(4)}
+
+
+def test_passages_of_targets_come_first_and_filler_completes(spark):
+    corpus, asked = taken(spark, {1, 3, 5}, 20, 2)
+    assert asked == {("q1", "p1.1"), ("q3", "p3.1")}
+    assert passages_of(1, 3) <= corpus and len(corpus) == 20
+    # 0, 2, 4, 5, … are filler: the targets' own passages never fill the corpus beyond their share
+    assert len(corpus - passages_of(1, 3)) == 12
+
+
+def test_passages_stop_where_the_corpus_is_full(spark):
+    """Every example is positive: two targets make eight passages, more than the six asked for, so the third ends it."""
+    corpus, asked = taken(spark, set(range(50)), 6, 2)
+    assert corpus == passages_of(0, 1) and len(asked) == 2
+
+
+def test_passages_without_any_target(spark):
+    corpus, asked = taken(spark, set(), 25, 5)
+    assert asked == set() and len(corpus) == 25 and corpus <= passages_of(*range(50))
+
+
+def test_passages_use_all_examples_if_the_corpus_never_fills(spark):
+    corpus, asked = taken(spark, {7}, 10_000, 5)
+    assert corpus == passages_of(*range(50)) and asked == {("q7", "p7.1")}
 
 
 def test_unpivot_falls_back_to_a_text_column(spark):

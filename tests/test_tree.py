@@ -158,3 +158,38 @@ def test_store_skips_a_batch_seen_before(spark, tmp_path):
     store.append(vectors(spark, clusters(10, seed=2), 100), 1)
     assert store.latest() == 1
     check(store.load(), 40)
+
+
+def test_label_counts_survive_every_edit(spark):
+    """Counts per label after each of the four operations, against plain addition."""
+    from arbora.operators import tree as tr
+
+    alpha = 1e-8
+    nodes = spark.createDataFrame(
+        [("r", None, 0, False, 4.0, [0.5], [1.0], [3.0, 1.0]), ("a", "r", 1, True, 1.0, [0.0], [0.0], [1.0, 0.0]),
+         ("b", "r", 1, False, 2.0, [0.5], [0.5], [1.0, 1.0]), ("c", "r", 1, True, 1.0, [1.0], [0.0], [1.0, 0.0]),
+         ("d", "b", 2, True, 1.0, [0.0], [0.0], [0.0, 1.0]), ("e", "b", 2, True, 1.0, [1.0], [0.0], [1.0, 0.0])],
+        "node_id string, parent_id string, depth int, is_leaf boolean, count double, mean array<double>, m2 array<double>,"
+        " lc array<double>").withColumn("lc", F.transform("lc", lambda c: c + F.lit(alpha)))
+
+    def labels(df):
+        assert df.columns == nodes.columns
+        return {r["node_id"]: [round(v, 6) for v in r["lc"]] for r in df.collect()}
+
+    new = spark.createDataFrame([("n", "b", [0.2], 3, 1), ("m", "r", [0.3], 2, None)],
+                                "new_id string, parent_id string, x array<double>, n int, y int")
+    got = labels(tr.op_new(nodes, new))
+    assert got["n"] == [0.0, 3.0] and got["m"] == [0.0, 0.0] and got["r"] == [3.0, 1.0]
+    merged = tr.op_merge(nodes, spark.createDataFrame([("r", "a", "b", "x")], "at string, best1 string, best2 string, new_id string"))
+    assert labels(merged)["x"] == [2.0, 1.0]
+    split = tr.op_split(nodes, spark.createDataFrame([("b",)], "node_id string"))
+    assert "b" not in labels(split) and labels(split)["d"] == [0.0, 1.0]
+    fringe = tr.op_fringe(nodes, spark.createDataFrame(
+        [("a", "i", "n1", [2.0], 1, 1), ("a", "i", "n2", [3.0], 2, 0)],
+        "leaf_id string, inner_id string, new_id string, x array<double>, n int, y int"))
+    got = labels(fringe)
+    assert got["i"] == [3.0, 1.0] and got["n1"] == [0.0, 1.0] and got["n2"] == [2.0, 0.0] and got["a"] == [1.0, 0.0]
+    added = spark.createDataFrame([("r", 2.0, [0.1], [0.0], [2.0 + alpha, alpha])],
+                                  "node_id string, count double, mean array<double>, m2 array<double>, lc array<double>")
+    assert labels(tr.add_to_ancestors(nodes, added))["r"] == [5.0, 1.0]
+    assert labels(tr.add_to_ancestors(nodes, added.drop("lc")))["r"] == [3.0, 1.0]

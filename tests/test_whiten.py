@@ -64,3 +64,26 @@ def test_correlation_is_clipped(spark):
     c = wh.corr_matrix(frame(spark, np.hstack([base, base * 2, -base])))
     assert c.agg(F.max("corr"), F.min("corr")).first()[0] <= 1.0
     assert c.where("i = 1 and j = 3").first()["corr"] == pytest.approx(-1.0)
+
+
+def test_covariance_far_from_the_origin(spark):
+    """Digits of the variance survive any offset; an uncentred sum of squares would lose them all."""
+    x = np.random.default_rng(4).standard_normal((500, 3)) * 1e-2
+    for offset in (0.0, 1e6, -1e8):
+        far = x + offset
+        mean, cov, n = wh.covariance(frame(spark, far))
+        assert n == 500 and np.allclose(mean, far.mean(axis=0), rtol=1e-12)
+        assert np.allclose(cov, np.cov(far.T), rtol=1e-6, atol=1e-10)
+        cells = {(r["i"], r["j"]): r["cov"] for r in wh.cov_matrix(frame(spark, far)).collect()}
+        assert all(abs(cells[i + 1, j + 1] - cov[i, j]) < 1e-12 for i in range(3) for j in range(3))
+
+
+def test_permutation_changes_every_dimension(spark):
+    """A column's values stay, their places do not, and the dimensions move on their own."""
+    x = np.random.default_rng(5).standard_normal((400, 4))
+    out = rows(wh.permute_columns(frame(spark, x)))
+    assert np.array_equal(np.sort(out, axis=0), np.sort(x, axis=0))
+    row_of = [{v: i for i, v in enumerate(x[:, d])} for d in range(4)]
+    places = [np.array([row_of[d][v] for v in out[:, d]]) for d in range(4)]
+    assert all((out[:, d] != x[:, d]).mean() > 0.9 for d in range(4))
+    assert all((places[a] == places[b]).mean() < 0.1 for a in range(4) for b in range(a))
