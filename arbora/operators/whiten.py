@@ -5,6 +5,7 @@ Only D x D matrices (D = vector length) ever reach the driver.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,7 +24,10 @@ _PARTIAL = "i int, n double, total double, row array<double>"
 
 
 def _gram_rows(df: DataFrame, transform=None) -> DataFrame:
-    """Per task and dimension i: row count, sum of x_i, and row i of the sum of x xT (of f(x) xT if given)."""
+    """Per task and dimension i: row count, sum of x_i, and row i of the sum of x xT.
+
+    ``transform`` may give (left, extra, right) for x: then the sum of extra, and of left rightT.
+    """
     out = to_arrow_schema(df.sparkSession.createDataFrame([], _PARTIAL).schema)
 
     def partial(batches):
@@ -32,9 +36,9 @@ def _gram_rows(df: DataFrame, transform=None) -> DataFrame:
             if batch.num_rows == 0:
                 continue
             x = matrix(batch.column(0))
-            left, extra = (x, x) if transform is None else transform(x)
+            left, extra, right = (x, x, x) if transform is None else transform(x)
             s = extra.sum(axis=0) if s is None else s + extra.sum(axis=0)
-            g = left.T @ x if g is None else g + left.T @ x
+            g = left.T @ right if g is None else g + left.T @ right
             n += len(x)
         if g is not None:
             d = len(g)
@@ -160,6 +164,7 @@ class LinearModel:
     mean: np.ndarray
     matrix: np.ndarray
     eps: float = WHITEN_EPS
+    converged: bool = True  # of iterative fits
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
@@ -243,47 +248,130 @@ def _decorrelate(w: np.ndarray) -> np.ndarray:
     return (vectors / np.sqrt(np.maximum(values, 1e-12))) @ vectors.T @ w
 
 
+class _Mixer:
+    """Anderson acceleration of a fixed-point iteration: the next point is the combination of the last images whose
+    combined step is smallest."""
+
+    def __init__(self, memory: int = 8):
+        self.memory, self.images, self.steps, self.best = memory, [], [], np.inf
+
+    def next(self, point: np.ndarray, image: np.ndarray) -> np.ndarray:
+        step = (image - point).ravel()
+        size = float(np.linalg.norm(step))
+        if size > 2 * self.best:  # the combination led away: go on from here without the past
+            self.images, self.steps = [], []
+        self.best = min(self.best, size)
+        self.images = [*self.images, image.ravel()][-self.memory:]
+        self.steps = [*self.steps, step][-self.memory:]
+        if len(self.steps) < 2:
+            return image
+        turns = np.diff(np.stack(self.steps), axis=0).T
+        share = np.linalg.lstsq(turns, step, rcond=1e-8)[0]
+        return (image.ravel() - np.diff(np.stack(self.images), axis=0).T @ share).reshape(image.shape)
+
+
+def _unmix(z: DataFrame, w: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, int]:
+    """A fixed point may be a saddle: two sources halved between two components. There the contrast (with the sign
+    ``kind`` of each component) is convex along the rotation of the pair; such pairs are turned by 45 degrees.
+    Returns the new rotation and the number of pairs turned."""
+    shared = z.sparkSession.sparkContext.broadcast(w)
+
+    def curvature_terms(x):
+        y = x @ shared.value.T
+        g = np.tanh(y)
+        return 1.0 - g * g, g * y, y * y
+
+    rows = _sum_gram(_gram_rows(z, curvature_terms)).toPandas().sort_values("i")
+    shared.unpersist()
+    n = rows["n"].to_numpy()
+    half = kind[:, None] * (np.stack(rows["row"].to_numpy()) / n[:, None] - (rows["total"].to_numpy() / n)[:, None])
+    curvature = np.tril(half + half.T, -1)
+    w, free, turned = w.copy(), set(range(len(w))), 0
+    for a, b in sorted(zip(*np.nonzero(curvature > 1e-4)), key=lambda pair: -curvature[pair]):
+        if {a, b} <= free:
+            free -= {a, b}
+            w[a], w[b] = (w[a] + w[b]) / np.sqrt(2.0), (w[a] - w[b]) / np.sqrt(2.0)
+            turned += 1
+    return w, turned
+
+
 def ica_fit(vectors: DataFrame, vec: str = "vec", n_components: int | float = 256, max_iter: int = 5000,
             tol: float = 1e-3, seed: int = 0, eps: float = WHITEN_EPS) -> LinearModel:
     """Symmetric fixed-point ICA (tanh) on whitened components, one Spark pass per iteration.
 
-    The start is seeded. Components are put in a fixed order and sign (by kurtosis, largest loading positive),
-    because the method itself leaves both open.
+    Iterations are combined (``_Mixer``), which reaches a fixed point in a fraction of the passes; one that is a saddle
+    is left again (``_unmix``). The model says whether the tolerance was reached; a warning is given if not. The start is seeded. Components are put in a
+    fixed order and sign (by kurtosis, largest loading positive), because the method itself leaves both open.
     """
     white = pca_whiten_fit(vectors, vec, n_components, eps)
     z = materialize(transform(white, vectors.select(doubles(vec).alias("vec"))), "ica")
     d = len(white.matrix)
     w = _decorrelate(np.random.default_rng(seed).standard_normal((d, d)))
+    mixer, converged = _Mixer(), False
     for _ in range(max_iter):
         shared = z.sparkSession.sparkContext.broadcast(w)
 
         def tanh_terms(x):
             g = np.tanh(x @ shared.value.T)
-            return g, 1.0 - g * g
+            return g, 1.0 - g * g, x
 
         rows = _sum_gram(_gram_rows(z, tanh_terms)).toPandas().sort_values("i")
         n = rows["n"].to_numpy()
         fresh = _decorrelate(np.stack(rows["row"].to_numpy()) / n[:, None] - (rows["total"].to_numpy() / n)[:, None] * w)
-        moved = np.abs(np.abs(np.einsum("ij,ij->i", fresh, w)) - 1.0).max()
-        w = fresh
+        turned = np.einsum("ij,ij->i", fresh, w)
         shared.unpersist()
-        if moved < tol:
-            break
+        if np.abs(np.abs(turned) - 1.0).max() < tol:
+            means = np.stack(rows["row"].to_numpy()) / n[:, None]
+            kind = np.sign(np.einsum("ij,ij->i", means, w) - rows["total"].to_numpy() / n)
+            w, mixed = _unmix(z, fresh, kind)
+            converged = not mixed
+            if converged:
+                break
+            mixer = _Mixer()
+            continue
+        w = _decorrelate(mixer.next(w, fresh * np.where(turned < 0, -1.0, 1.0)[:, None]))
+    if not converged:
+        warnings.warn(f"ICA did not reach {tol} in {max_iter} passes", stacklevel=2)
     w_shared = z.sparkSession.sparkContext.broadcast(w)
 
     def fourth_powers(x):
         s = x @ w_shared.value.T
-        return s, s**4
+        return s, s**4, x
 
     tails = _sum_gram(_gram_rows(z, fourth_powers)).toPandas().sort_values("i")
     order = np.argsort(-(tails["total"] / tails["n"]).to_numpy(), kind="stable")
     w = w[order]
     peak = np.abs(w).argmax(axis=1)
     w = w * np.sign(w[np.arange(d), peak])[:, None]
-    return LinearModel("ica", white.mean, w @ white.matrix, eps)
+    return LinearModel("ica", white.mean, w @ white.matrix, eps, converged)
 
 
 def whiten_scope(corpus: DataFrame, queries: DataFrame, with_queries: bool) -> DataFrame:
     """Rows a whitening model is fitted on: corpus and queries (passages) or the corpus alone (pairs)."""
     c = corpus.select("vec")
     return c.unionByName(queries.select("vec")) if with_queries else c
+
+
+def ica_restlessness(sources: DataFrame, vec: str = "vec") -> DataFrame:
+    """(component, turn): squared angle by which one more fixed-point step would turn each component.
+
+    With M = E[tanh(y) yT] − diag(E[1 − tanh²(y)]) and s the signs of its diagonal, M[i,j]·s[j] is symmetric at a fixed
+    point; its difference over |M[i,i]| + |M[j,j]| is the angle between components i and j that is still to go.
+    """
+    def terms(x):
+        g = np.tanh(x)
+        return g, 1.0 - g * g, x
+
+    m = _sum_gram(_gram_rows(sources.select(doubles(vec).alias("vec")), terms)).select(
+        "i", F.transform("row", lambda v: v / F.col("n")).alias("row"), (F.col("total") / F.col("n")).alias("slope"))
+    cells = m.select("i", "slope", F.posexplode("row").alias("j", "v")).withColumn(
+        "v", F.col("v") - F.when(F.col("i") == F.col("j"), F.col("slope")).otherwise(0.0))
+    # D rows: a bounded broadcast.
+    own = cells.where("i = j").select(F.col("i").alias("k"), F.col("v").alias("own"))
+    pairs = cells.alias("a").join(cells.alias("b"), (F.col("a.i") == F.col("b.j")) & (F.col("a.j") == F.col("b.i"))).select(
+        F.col("a.i").alias("i"), F.col("a.j").alias("j"), F.col("a.v").alias("there"), F.col("b.v").alias("back"))
+    for end in "ij":
+        pairs = pairs.join(F.broadcast(own.select(F.col("k").alias(end), F.col("own").alias(f"own_{end}"))), end)
+    gap = F.col("there") * F.signum("own_j") - F.col("back") * F.signum("own_i")
+    angle = gap / (F.abs("own_i") + F.abs("own_j"))
+    return pairs.groupBy(F.col("i").alias("component")).agg(F.sum(angle * angle).alias("turn"))

@@ -148,19 +148,19 @@ def method_diff(spark, sf):
     GROUP BY method, k""")
 def run_benchmark(spark, sf):
     """Every method of the widest bundle answers every query; the scores themselves are in ``run_benchmark_metrics``."""
-    m = bm.run_benchmark(I.corpus(spark, sf), I.asked(spark, sf), 10, "extra", ica_iterations=10)
+    m = bm.run_benchmark(I.corpus(spark, sf), I.asked(spark, sf), 10, "extra")
     return m.where("recall >= 0 and mrr <= recall and avg_latency_ms > 0").select("method", "k", "n_queries")
 
 
 @query("run_benchmark_metrics")
 def run_benchmark_metrics(spark, sf):
-    m = bm.run_benchmark(I.corpus(spark, sf), I.asked(spark, sf), 10, "paths", ica_iterations=10)
+    m = bm.run_benchmark(I.corpus(spark, sf), I.asked(spark, sf), 10, "paths")
     return m.select("method", "k", "recall", "mrr", "ndcg_ref", "ndcg", "n_queries")
 
 
 @query("run_subtree_report")
 def run_subtree_report(spark, sf):
-    metrics, subtrees = bm.run_subtree_report(I.corpus(spark, sf), I.asked(spark, sf), 10, ica_iterations=10)
+    metrics, subtrees = bm.run_subtree_report(I.corpus(spark, sf), I.asked(spark, sf), 10)
     shape = subtrees.groupBy("grandparent_id").agg(F.count("*").alias("leaves"), (F.max("batch") + 1).alias("batches"))
     return shape.select(F.col("grandparent_id").alias("part"), F.col("leaves").cast("double").alias("a"), F.col("batches").cast("double").alias("b")).unionByName(
         metrics.select(F.concat(F.lit("recall@"), "k").alias("part"), F.col("recall").alias("a"), F.col("mrr").alias("b")))

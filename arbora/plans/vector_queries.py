@@ -12,8 +12,6 @@ from arbora.operators.skew import dedupe_leaves
 from arbora.plans import inputs as I
 from arbora.plans.registry import E, LISTS, Q, query, r6, sql6, with_
 
-ICA_ITERATIONS = 25
-
 # Means and mean products first, so that no row pair carries more than two dimensions.
 _COV = """
 mu AS (SELECT d, avg(v) AS mu FROM e GROUP BY d),
@@ -123,13 +121,22 @@ def pca_zca_transform(spark, sf):
 def ica_fit(spark, sf):
     """Whatever rotation ICA finds, the output is white."""
     v = I.vectors(spark, sf).select("doc_id", "vec")
-    return _moments_of(wh.transform(wh.ica_fit(v, n_components=64, max_iter=ICA_ITERATIONS), v))
+    return _moments_of(wh.transform(wh.ica_fit(v, n_components=64), v))
+
+
+@query("ica_converged", "SELECT count(*) AS components, 0::BIGINT AS restless FROM (SELECT unnest(range(0, max(len(embedding)))) FROM embeddings)")
+def ica_converged(spark, sf):
+    """Only a rotation that one more step would leave alone passes: a rotation as such is white, but not at rest."""
+    v = I.vectors(spark, sf).select("doc_id", "vec")
+    turns = wh.ica_restlessness(wh.transform(wh.ica_fit(v, n_components=64), v))
+    # Twice the squared angle at which the fit stops.
+    return turns.agg(F.count("*").alias("components"), F.count(F.when(F.col("turn") > 4e-3, 1)).alias("restless"))
 
 
 @query("ica_transform")
 def ica_transform(spark, sf):
     v = I.vectors(spark, sf).select("doc_id", "vec")
-    out = wh.transform(wh.ica_fit(v, n_components=0.96, max_iter=ICA_ITERATIONS), v)
+    out = wh.transform(wh.ica_fit(v, n_components=0.96), v)
     return V.dims(out, "vec", "doc_id").select("doc_id", "dim", r6("value"))
 
 

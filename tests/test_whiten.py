@@ -87,3 +87,21 @@ def test_permutation_changes_every_dimension(spark):
     places = [np.array([row_of[d][v] for v in out[:, d]]) for d in range(4)]
     assert all((out[:, d] != x[:, d]).mean() > 0.9 for d in range(4))
     assert all((places[a] == places[b]).mean() < 0.1 for a in range(4) for b in range(a))
+
+
+def test_combined_steps_reach_the_same_fixed_point(spark):
+    """A plain iteration in numpy, many passes, against the combined one; a fit cut short says so."""
+    rng = np.random.default_rng(6)
+    x = rng.laplace(size=(800, 5)) @ rng.standard_normal((5, 5))
+    table = frame(spark, x)
+    model = wh.ica_fit(table, n_components=5, tol=1e-9)
+    assert model.converged
+    white = wh.pca_whiten_fit(table, n_components=5)
+    z, w = (x - white.mean) @ white.matrix.T, wh._decorrelate(np.random.default_rng(0).standard_normal((5, 5)))
+    for _ in range(500):
+        g = np.tanh(z @ w.T)
+        w = wh._decorrelate(g.T @ z / len(z) - (1 - g * g).mean(0)[:, None] * w)
+    match = np.abs((w @ white.matrix) @ np.linalg.pinv(model.matrix))
+    assert np.allclose(np.sort(match, axis=1)[:, -1], 1, atol=1e-3) and np.allclose(np.sort(match, axis=1)[:, :-1], 0, atol=1e-2)
+    with pytest.warns(UserWarning):
+        assert not wh.ica_fit(table, n_components=5, max_iter=1).converged
