@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # A key is hot from this share of all rows on, so there are never more than 1 / HOT_SHARE hot keys
 # and the hot side of a split join has a proven bound.
 HOT_SHARE = 0.001
+# Ranges of a running sum: about so many rows each, as long as their totals stay a small table.
+ROWS_PER_RANGE = 50_000
+MAX_RANGES = 8192
 
 
 def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int,
@@ -29,15 +32,16 @@ def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str
 
 
 def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], keys: list[str] | None = None,
-                buckets: int = 256) -> DataFrame:
+                buckets: int | None = None) -> DataFrame:
     """Add, per entry, the running sum of ``sums[name]`` over all rows before this one in ``order`` (unique bigint),
     over the whole table or per ``keys``.
 
     A window over the whole table, or over a key holding much of it, would run in one task. Here the order is cut
-    at sampled quantiles, the sums run inside each range, and the totals of the ranges before (at most
-    ``buckets`` rows per key) are added.
+    at approximate quantiles, the sums run inside each range, and the totals of the ranges before (at most
+    ``buckets`` rows per key) are added. The number of ranges follows the number of rows.
     """
     keys = keys or []
+    buckets = buckets or min(MAX_RANGES, max(16, df.count() // ROWS_PER_RANGE))
     cuts = df.select(
         F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10000).alias("c")).first()["c"]
     bounds = F.array(*[F.lit(c) for c in sorted(set(cuts or []))]).cast("array<bigint>")

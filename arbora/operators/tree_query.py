@@ -189,7 +189,7 @@ def expand_members(found: DataFrame, tree: ConceptTree) -> DataFrame:
 
 def _leaf_blocks(tree: ConceptTree) -> tuple[DataFrame, int]:
     """(block, leaf_id, path) with blocks of about LEAF_BLOCK leaves that lie next to each other in the tree; how many."""
-    paths = leaf_paths(tree).select("leaf_id", F.slice("path", 2, 1_000_000).alias("path"))
+    paths = leaf_paths(tree).select("leaf_id", F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))).alias("path"))
     blocks = -(-paths.count() // LEAF_BLOCK)
     if blocks <= 1:
         return paths.withColumn("block", F.lit(0)), 1

@@ -11,8 +11,6 @@ from arbora.functions.vec import moments, zeros_like
 from arbora.operators.tree import ConceptTree, TreeParams
 from arbora.session import materialize
 
-N_LABELS = 10  # labels of the embeddings table are 0…9
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -59,18 +57,21 @@ def fixed_tree(spark: SparkSession, sf_dir: str, with_labels: bool = False, para
     v = vectors(spark, sf_dir).withColumn("label_id", (F.col("label") + 1).cast("bigint")).withColumn(
         "half_id", F.lit(100000) + F.col("label") * 2 + F.col("doc_id") % 2).withColumn(
         "leaf_id", F.col("doc_id") + 1000000)
+    # The vocabulary is what the table has: labels are numbered from 0.
+    top = v.agg(F.max("label")).first()[0] if with_labels else None
+    n_labels = 0 if top is None else int(top) + 1
     up = F.explode(F.array(
         F.struct(F.lit(0).cast("bigint").alias("node_id"), F.lit(None).cast("bigint").alias("parent_id"), F.lit(0).alias("depth")),
         F.struct(F.col("label_id").alias("node_id"), F.lit(0).cast("bigint").alias("parent_id"), F.lit(1).alias("depth")),
         F.struct(F.col("half_id").alias("node_id"), F.col("label_id").alias("parent_id"), F.lit(2).alias("depth"))))
     counts = {"lc": F.array(*[F.sum(F.when(F.col("label") == i, 1.0).otherwise(0.0)) + F.lit(params.alpha)
-                              for i in range(N_LABELS)])} if with_labels else {}
+                              for i in range(n_labels)])} if with_labels else {}
     inner = moments(v.select("vec", "label", up.alias("n")).select("vec", "label", "n.*"),
                     ["node_id", "parent_id", "depth"], extra=counts).withColumn("is_leaf", F.lit(False))
     leaves = v.select(F.col("leaf_id").alias("node_id"), F.col("half_id").alias("parent_id"), F.lit(3).alias("depth"),
                       F.lit(True).alias("is_leaf"), F.lit(1.0).alias("count"), F.col("vec").alias("mean"),
                       zeros_like("vec").alias("m2"), *([F.array(*[
-                          F.when(F.col("label") == i, 1.0).otherwise(0.0) + F.lit(params.alpha) for i in range(N_LABELS)
+                          F.when(F.col("label") == i, 1.0).otherwise(0.0) + F.lit(params.alpha) for i in range(n_labels)
                       ]).alias("lc")] if with_labels else []))
     order = ["node_id", "parent_id", "depth", "is_leaf", "count", "mean", "m2"] + (["lc"] if with_labels else [])
     nodes = inner.select(*order).unionByName(leaves.select(*order))
