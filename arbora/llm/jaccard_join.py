@@ -7,17 +7,18 @@ points and, for the nodes of an R-tree, upper corners whose bound is lower are l
 To keep every tree small, the index is split by shared shingles: in one fixed order of all shingles, two similar
 sets share one among the first |A| − ⌈t·|A|⌉ + 1 of either. The order puts frequent shingles last, as told by a
 counter array of bounded size over all shingles; any order is right, this one keeps the parts of the index small.
-Links are found in two rounds. In the first each document of a part is tried with the part's smallest document and
-with its neighbour in size. That joins dense families by a few links each. In the second the R-tree of every part
-that still holds several components gives all pairs across components that the bound admits. Whatever either round
-proposes is checked with finer counts (as many groups as shingles), then with the whole sets, so only true links
-count and none that could join two components is missed.
+Links are found in two rounds. In the first each document of a part is tried with the part's smallest id, which joins
+dense families by a few links each. In the second the R-tree of every part that still holds several components gives
+all pairs across components that the bound admits. Whatever either round proposes is checked with finer counts (as many
+groups as shingles), then with the whole sets, so only true links count and none that could join two components is
+missed.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +28,21 @@ from pyspark.sql import functions as F
 
 from arbora.llm.common import narrow, pieces, register, table, text_bytes
 from arbora.llm.components import connected_components
-from arbora.llm.shingles import shingle_sets
+from arbora.llm.shingles import mix, shingle_sets
 from arbora.operators.skew import hot_split_join
 from arbora.session import SMALL_TABLE_BYTES, materialize
 
-GROUPS = 32
+GROUPS = 64
 LEAF = 64
 FAN_OUT = 8
-#: Counters of the frequency sketch: 2 ** bits of four bytes, 4 MB here and at most 64 MB.
-SKETCH_BITS = 20
+#: Shingles per counter of the frequency sketch, as long as it has no more than 2 ** SKETCH_BITS counters (64 MB).
+PER_COUNTER = 8
+SKETCH_BITS = 24
 #: Members of a frequent shingle's part that one task of the first round takes.
 CHUNK = 20_000
-SLICE = 1 << 14
+SLICE = 1 << 16
+#: A side of a join is sent to all tasks up to so many narrow rows.
+FEW = 1_000_000
 
 
 def admitted(overlap, total, num: int, den: int):
@@ -65,24 +69,31 @@ def _keys(width: int):
 
 def _sketch(width: int, bits: int):
     def run(batches):
-        total = np.zeros(1 << bits, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for _, sets in _each_set(batches, width):
             if sets:
                 np.add.at(total, (np.concatenate(sets) >> np.uint64(64 - bits)).astype(np.int64), 1)
         for at in range(0, len(total), SLICE):
             part = total[at : at + SLICE]
             if part.any():
-                yield pa.record_batch([pa.array([at]), pa.array([part.astype("<i8").tobytes()], pa.binary())],
+                yield pa.record_batch([pa.array([at]), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())],
                                       names=["at", "counts"])
 
     return run, "at long, counts binary"
 
 
+def _slice(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), "<i8")
+
+
 def _sum_slices(pdf):
     import pandas as pd
 
-    total = sum(np.frombuffer(c, "<i8") for c in pdf["counts"])
-    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [total.tobytes()]})
+    total = np.zeros(SLICE, np.int64)
+    for packed in pdf["counts"]:
+        part = _slice(packed)
+        total[: len(part)] += part
+    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
 
 
 def shingle_frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
@@ -96,7 +107,7 @@ def shingle_frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     once = spread.groupBy("at", "salt").applyInPandas(_sum_slices, kind)
     out = np.zeros(1 << bits, np.int64)
     for row in once.groupBy("at").applyInPandas(_sum_slices, kind).collect():
-        out[row["at"] : row["at"] + SLICE] = np.frombuffer(row["counts"], "<i8")[: len(out) - row["at"]]
+        out[row["at"] : row["at"] + SLICE] = _slice(row["counts"])[: len(out) - row["at"]]
     return out
 
 
@@ -112,11 +123,11 @@ def _prefixes(width: int, num: int, den: int, bits: int, frequent, chunk: int):
                 n = len(s)
                 often = parts[(s >> shift).astype(np.int64)] > 0
                 s = np.concatenate([s[~often], s[often]])[: n - -(-num * n // den) + 1 if n else 0]
-                share = np.maximum(parts[(s >> shift).astype(np.int64)], 1)
+                share = np.maximum(parts[(s >> shift).astype(np.int64)].astype(np.int64), 1)
                 tokens.append(s)
                 # Another share for each shingle, so that shares of one part meet in those of others.
-                salts.append(((s ^ np.uint64(n * 0x9E3779B1 + (int(s[0]) & 0xFFFFFFFF if n else 0))) % np.uint64(1 << 31)
-                              ).astype(np.int64) % share)
+                own = np.uint64(n * 0x9E3779B1 + (int(s[0]) & 0xFFFFFFFF if n else 0))
+                salts.append(np.where(share > 1, 1 + (mix(s ^ own) % np.uint64(1 << 31)).astype(np.int64) % share, 0))
                 owner.append(len(s))
                 size.append(n)
             yield pa.record_batch(
@@ -156,27 +167,25 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of parts with two documents or more, each with the part's smallest id and with the next one by size."""
+    """Rows of parts with two documents or more, each with the smallest id of its share of the part and that one's size.
+
+    Rows of a dealt part (salt > 0) all stay, as the others may be in other shares.
+    """
     for t, offsets in _groups(batches, ["token", "salt"]):
         size = np.diff(offsets)
         ids, n = t.column("id").to_numpy(), t.column("n").to_numpy()
         low = np.minimum.reduceat(ids, offsets[:-1])
         high = np.maximum.reduceat(ids, offsets[:-1])
-        first = np.arange(len(ids)) == np.repeat(offsets[:-1], size)
-        near = np.where(first, ids, np.roll(ids, 1))
-        # n of the smallest id
-        at = np.flatnonzero(ids == np.repeat(low, size))
         group = np.repeat(np.arange(len(size)), size)
+        at = np.flatnonzero(ids == low[group])
         n_low = np.zeros(len(size), np.int64)
         n_low[group[at]] = n[at]
-        keep = np.repeat(low < high, size)
-        for a in range(0, len(ids), 50_000):
-            k = np.flatnonzero(keep[a : a + 50_000]) + a
-            yield pa.record_batch(
-                [pa.array(t.column("token").to_numpy()[k]), pa.array(ids[k]), pa.array(n[k]),
-                 pa.array(np.repeat(low, size)[k]), pa.array(np.repeat(n_low, size)[k]), pa.array(near[k]),
-                 pa.array(np.where(first, n, np.roll(n, 1))[k])],
-                names=["token", "id", "n", "low", "n_low", "near", "n_near"])
+        keep = np.flatnonzero((low < high)[group] | (t.column("salt").to_numpy() > 0))
+        for a in range(0, len(keep), 50_000):
+            k = keep[a : a + 50_000]
+            yield pa.record_batch([pa.array(t.column("token").to_numpy()[k]), pa.array(ids[k]), pa.array(n[k]),
+                                   pa.array(low[group[k]]), pa.array(n_low[group[k]])],
+                                  names=["token", "id", "n", "low", "n_low"])
 
 
 class CountTree:
@@ -245,76 +254,96 @@ class CountTree:
         return i[ok], j[ok]
 
 
-def _tree_pairs(num: int, den: int):
-    """Pairs (a, b) of ids that the R-trees of a partition's parts admit. Parts of one leaf are scanned together."""
+def _scan_pairs(num: int, den: int):
+    """Pairs (a, b) of ids that the bound admits, of parts that are one leaf each; many parts at a time."""
 
     def run(batches):
         for t, offsets in _groups(batches, ["token"]):
             ids, n, comp = (t.column(c).to_numpy() for c in ("id", "n", "comp"))
-            points = np.frombuffer(b"".join(t.column("point").to_pylist()), "<u4").reshape(-1, GROUPS)
-            size = np.diff(offsets)
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            leaf = CountTree(points, n, comp)
-            end = np.repeat(np.where(size <= LEAF, offsets[1:], 0), size)
-            rows = np.arange(len(ids))
+            leaf = CountTree(read_points(t.column("point").to_pylist(), GROUPS), n, comp)
+            end = np.repeat(offsets[1:], np.diff(offsets))
+            rows, found = np.arange(len(ids)), []
             for step in range(1, LEAF):
                 rows = rows[rows + step < end[rows]]
                 if not len(rows):
                     break
                 found.append(leaf.survivors(rows, rows + step, num, den))
-            for a, b in zip(offsets[:-1][size > LEAF], offsets[1:][size > LEAF]):
-                tree = CountTree(points[a:b], n[a:b], comp[a:b])
-                for i, j in tree.pairs(num, den):
-                    if len(i):
-                        found.append((i + a, j + a))
-                    if sum(len(x) for x, _ in found[-64:]) > 200_000:
-                        yield _pair_batch(ids, found)
-                        found = []
             yield _pair_batch(ids, found)
 
     return run, "a long, b long"
 
 
+def _tree_pairs(num: int, den: int):
+    """Pairs (a, b) of ids that the R-trees of larger parts admit.
+
+    Rows come by size; a tree holds the documents of one class of sizes and those smaller ones that may be similar
+    to them, with as many groups as suit their size.
+    """
+
+    def run(batches):
+        for t, offsets in _groups(batches, ["token"]):
+            for start, stop in zip(offsets[:-1], offsets[1:]):
+                ids, n, comp = (t.column(c).to_numpy()[start:stop] for c in ("id", "n", "comp"))
+                points = t.column("point").slice(start, stop - start).to_pylist()
+                home = 0
+                while home < len(n):
+                    last = int(np.searchsorted(n, 2 * n[home]))
+                    first = int(np.searchsorted(n, -(-num * int(n[home]) // den)))
+                    groups = min(map(len, points[first:last]))
+                    tree = CountTree(read_points(points[first:last], groups), n[first:last], comp[first:last])
+                    found, held = [], 0
+                    for i, j in tree.pairs(num, den):
+                        own = j >= home - first  # pairs below were found in the class before
+                        found.append((i[own], j[own]))
+                        held += int(own.sum())
+                        if held > 200_000:
+                            yield _pair_batch(ids[first:last], found)
+                            found, held = [], 0
+                    yield _pair_batch(ids[first:last], found)
+                    home = last
+
+    return run, "a long, b long"
+
+
 def _pair_batch(ids, found):
     i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
     pair = np.unique(np.sort(np.stack([ids[i], ids[j]], 1), axis=1), axis=0)
     return pa.record_batch([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
 
 
-def _points(width: int):
-    """Count vectors with GROUPS groups, for the R-trees."""
+def count_point(s: np.ndarray, groups: int) -> bytes:
+    """Counts per group in one byte each; 255 stands for any number from 255 on."""
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 255).astype(
+        np.uint8).tobytes()
+
+
+def read_points(points: list[bytes], groups: int) -> np.ndarray:
+    """Points folded to ``groups`` (a power of two, as all lengths are). What 255 stands for is no bound for others."""
+    out = np.empty((len(points), groups), np.uint32)
+    by_length: dict[int, list[int]] = {}
+    for i, p in enumerate(points):
+        by_length.setdefault(len(p), []).append(i)
+    for length, rows in by_length.items():
+        v = np.frombuffer(b"".join(points[i] for i in rows), np.uint8).reshape(len(rows), length // groups, groups)
+        v = np.where(v == 255, np.uint32(1 << 24), v.astype(np.uint32))
+        out[rows] = v.sum(1, dtype=np.uint32)
+    return out
 
-    def run(batches):
-        for ids, sets in _each_set(batches, width):
-            rows = [np.bincount((s % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype("<u4").tobytes()
-                    for s in sets]
-            yield pa.record_batch([ids, pa.array(rows, pa.binary())], names=["id", "point"])
 
-    return run, "id long, point binary"
+def groups_for(n: int, per_group: float) -> int:
+    return 1 << max(3, math.ceil(math.log2(max(1.0, n / per_group))))
 
 
-def _fine(width: int):
-    """Count vectors of one byte per group, with as many groups as the set has members (to a power of two)."""
+def _points(width: int, per_group: float | None):
+    """Count vectors: GROUPS groups, or a power of two for about ``per_group`` shingles in each."""
 
     def run(batches):
         for ids, sets in _each_set(batches, width):
-            rows = []
-            for s in sets:
-                groups = 1 << max(3, math.ceil(math.log2(max(1, len(s)))))
-                while True:
-                    v = np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups)
-                    if v.max() < 256:
-                        break
-                    groups *= 2
-                rows.append(v.astype(np.uint8).tobytes())
+            rows = [count_point(s, groups_for(len(s), per_group) if per_group else GROUPS) for s in sets]
             yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary())],
-                                  names=["id", "n", "fine"])
-
-    return run, "id long, n long, fine binary"
+                                  names=["id", "n", "point"])
 
-
-def fold_counts(v: bytes, groups: int) -> np.ndarray:
-    return np.frombuffer(v, np.uint8).reshape(-1, groups).sum(0, dtype=np.int64)
+    return run, "id long, n long, point binary"
 
 
 def _bound(num: int, den: int):
@@ -323,8 +352,8 @@ def _bound(num: int, den: int):
             ok = []
             for x, y, total in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(),
                                    batch.column("total").to_pylist()):
-                groups = min(len(x), len(y))
-                ok.append(admitted(int(np.minimum(fold_counts(x, groups), fold_counts(y, groups)).sum()), total, num, den))
+                both = read_points([x, y], min(len(x), len(y)))
+                ok.append(admitted(int(both.min(0).sum(dtype=np.int64)), total, num, den))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return run, "a long, b long"
@@ -345,19 +374,28 @@ def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(ids) if small else ids, "id", "left_semi")
 
 
+def _few(side: DataFrame, width: int = 1) -> DataFrame:
+    """``side`` marked for broadcast if its rows, ``width`` times a narrow row, are few; else as it is."""
+    return F.broadcast(side) if side.count() * width <= FEW else side
+
+
 def _verify(docs: DataFrame, pairs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Those of the distinct, written ``pairs`` (a, b) whose whole sets are similar enough."""
 
     def ends(p):
         return materialize(p.select(F.col("a").alias("id")).union(p.select("b")).distinct(), "ids")
 
+    def side(p, t, end, **columns):
+        own = t.select(F.col("id").alias(end), *[F.col(c).alias(f"{new}{end}") for new, c in columns.items()])
+        return own.join(F.broadcast(p) if small else p, end)
+
     def two(p, t, **columns):
-        for end in "ab":
-            p = p.join(t.select(F.col("id").alias(end), *[F.col(c).alias(f"{new}{end}") for new, c in columns.items()]), end)
-        return p
+        """Both ends' columns of ``t``: the narrow pairs go to its rows, then the two halves meet."""
+        return side(p, t, "a", **columns).join(side(p, t, "b", **columns), ["a", "b"])
 
-    fine = materialize(_only(docs, ends(pairs)).mapInArrow(*_fine(width)), "fine")
-    likely = two(pairs, fine, v="fine", n="n").select("a", "b", "va", "vb", (F.col("na") + F.col("nb")).alias("total"))
+    small = pairs.count() <= FEW
+    fine = materialize(_only(docs, ends(pairs)).mapInArrow(*_points(width, 1.0)), "fine")
+    likely = two(pairs, fine, v="point", n="n").select("a", "b", "va", "vb", (F.col("na") + F.col("nb")).alias("total"))
     likely = materialize(likely.mapInArrow(*_bound(num, den)), "likely")
     whole = materialize(_only(docs, ends(likely)).mapInArrow(*_whole(width)), "sets")
     common = F.size(F.array_intersect("sa", "sb")).cast("long")
@@ -373,7 +411,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Two documents link if den·|A ∩ B| ≥ num·|A ∪ B| for their sets of distinct ``width``-word shingles (A-Z in lower
     case); a text with fewer words is one shingle, a null or wordless text has none and links with nothing. An id
     that repeats has a row for each of its rows; null ids take part in no link and have component null. An empty table
-    gives no rows; other columns are not read. ``sketch_bits`` (at most 24) and ``chunk`` only change the work.
+    gives no rows; other columns are not read. ``sketch_bits`` and ``chunk`` only change the work.
     """
     spark = docs.sparkSession
     docs = narrow(docs, id=docs[id_col].cast("long"), text=docs[text_col].cast("string"))
@@ -387,35 +425,41 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     reps = materialize(same.select(F.col("rep").alias("id")).distinct(), "reps")
     docs = docs.where("id is not null")
 
-    counts = shingle_frequencies(docs, width, sketch_bits)
-    frequent = np.where(counts > 1.5 * counts.mean() + 64, -(-counts // chunk), 0).astype(np.int32)
+    shingles = keyed.agg(F.sum("n")).first()[0] or 0
+    bits = min(sketch_bits, max(8, math.ceil(math.log2(1 + shingles / PER_COUNTER))))
+    counts = shingle_frequencies(docs, width, bits)
+    # Counters far above what rare shingles that share one by chance would give.
+    usual = counts.mean() + 6 * math.sqrt(counts.mean()) + 32
+    frequent = np.where(counts > usual, -(-counts // chunk), 0).astype(np.uint16 if counts.max() < chunk << 16 else np.int64)
+    del counts
     shared_counts = spark.sparkContext.broadcast(frequent)
-    tokens = _only(docs, reps).mapInArrow(*_prefixes(width, num, den, sketch_bits, shared_counts, chunk))
-    # Rows come in any order of the size; equal keys are brought together and sorted by Spark.
+    tokens = _only(docs, reps).mapInArrow(*_prefixes(width, num, den, bits, shared_counts, chunk))
     parts = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
     meets = materialize(parts.mapInArrow(
-        _meet, "token long, id long, n long, low long, n_low long, near long, n_near long"), "meets")
-
-    def tried(other, n_other):
-        close = (F.col("n") * den >= F.col(n_other) * num) & (F.col(n_other) * den >= F.col("n") * num)
-        return meets.where(close & (F.col("id") != F.col(other))).select(
-            F.least("id", other).alias("a"), F.greatest("id", other).alias("b"))
-
-    first = materialize(tried("low", "n_low").union(tried("near", "n_near")).distinct(), "pairs")
+        _meet, "token long, id long, n long, low long, n_low long"), "meets")
+    close = (F.col("n") * den >= F.col("n_low") * num) & (F.col("n_low") * den >= F.col("n") * num)
+    first = materialize(meets.where(close & (F.col("id") != F.col("low"))).select(
+        F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = materialize(_verify(docs, first, width, num, den), "links")
 
-    labels = connected_components(links)
-    rows = meets.select("token", "id", "n").join(labels, meets["id"] == labels["node"], "left").select(
+    labels = materialize(connected_components(links), "labels")
+    rows = meets.select("token", "id", "n").join(_few(labels), meets["id"] == labels["node"], "left").select(
         "token", "id", "n", F.coalesce("component", "id").alias("comp"))
     rows = materialize(rows, "labelled")
     # Members of one component need not be compared again; parts with a single one are done.
-    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where(
-        "low < high").select("token")
-    open_rows = materialize(rows.join(mixed, "token", "left_semi"), "open")
-    points = materialize(_only(docs, materialize(open_rows.select("id").distinct(), "ids")).mapInArrow(
-        *_points(width)), "points")
-    sorted_parts = open_rows.join(points, "id").repartition("token").sortWithinPartitions("token", "n", "id")
-    second = sorted_parts.mapInArrow(*_tree_pairs(num, den)).distinct().join(first, ["a", "b"], "left_anti")
+    mixed = rows.groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"),
+                                      F.count("*").alias("rows")).where("low < high").select("token", "rows")
+    open_rows = materialize(rows.join(_few(materialize(mixed, "mixed")), "token"), "open")
+
+    def searched(part, per_group, search):
+        points = materialize(_only(docs, materialize(part.select("id").distinct(), "ids")).mapInArrow(
+            *_points(width, per_group)), "points")
+        part = part.drop("rows").join(_few(points.drop("n"), 8), "id").repartition("token")
+        return part.sortWithinPartitions("token", "n", "id").mapInArrow(*search(num, den))
+
+    second = searched(open_rows.where(F.col("rows") <= LEAF), None, _scan_pairs).unionByName(
+        searched(open_rows.where(F.col("rows") > LEAF), 2.0, _tree_pairs))
+    second = second.distinct().join(first, ["a", "b"], "left_anti")
     links = links.unionByName(_verify(docs, materialize(second, "pairs"), width, num, den))
 
     labels = connected_components(links)
