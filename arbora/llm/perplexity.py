@@ -195,15 +195,18 @@ def fit_kneser_ney(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
         lower, back = _order_table(grams[k], k, lower)
         stored = lower.where("n > 1") if k >= ONCE_FROM else lower
         parts.append(stored.select("lang", "gram", F.lit(k).alias("k"), F.log("p").alias("v"), F.col("n").cast("double")))
-        parts.append(back.select("lang", "gram", F.lit(-k).alias("k"), "v", F.col("n").cast("double")))
+        # A context that gives all its mass to the back-off is like one never seen.
+        parts.append(back.where("v <> 0").select("lang", "gram", F.lit(-k).alias("k"), "v", F.col("n").cast("double")))
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     # At most 2 ** bits rows for each of the ten arrays.
     entries = whole.mapInArrow(*_slots(bits)).groupBy("k", "slot").agg(
-        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).toArrow()
+        (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).select(
+        F.col("k").cast("byte"), (F.col("slot") - (1 << 31)).cast("int").alias("slot"), F.col("v").cast("float")).toArrow()
     arrays = {}
     which, slot, value = (entries.column(c).to_numpy() for c in ("k", "slot", "v"))
+    slot = slot.astype(np.int64) + (1 << 31)
     for k in (*range(1, ORDER + 1), *range(-ORDER, 0)):
         rows_k = np.flatnonzero(which == k)
         rows_k = rows_k[np.argsort(slot[rows_k])]
