@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences; each is normalised and looked up among known licence sentences, which yields a sequence of
-sentence identifiers. Ordered rules, longer ones first, are matched against that sequence. Everything happens inside the
-row: no shuffle, and the two small tables are literals of the plan.
+Lines are joined without their comment leaders, so a sentence may be wrapped and quoted in a source file. The words are
+searched for known licence sentences, also inside longer ones but never across the end of a sentence, which yields a
+sequence of sentence identifiers. Ordered rules, longer ones first, are matched against that sequence. Everything happens
+inside the row: no shuffle, and the two small tables are literals of the plan.
 """
 
 from __future__ import annotations
@@ -93,9 +94,18 @@ RULES = [
     ("MPL-2.0", ["mpl2"]),
 ]
 
-#: A sentence ends at a line break or at a mark followed by white space, so "2.0" stays whole.
+#: What stands before the text of a line in a source file: signs, or a word that only opens comments.
+LEADER = r"(?im)^[^\p{L}\p{N}\n]*(?:(?:rem|dnl|c)(?=[\x20\x09]))?"
+#: A sentence ends at a mark followed by white space, unless a digit comes next ("v. 2.0"). A line break or blank line ends
+#: none (the Apache header has one before its address), nor do the colons and semicolons inside the GPL's sentences.
+STOP = r"[.!?][\"')\]]{0,3}(?=[\x20\x09-\x0D](?![\x20\x09-\x0D]{0,8}[0-9]))"
+#: A known sentence denied by the word before it, or widened by the words after it, says something else.
+DENIED = r"(?<!\b(?:not|never|nor|longer|isnt|isn t|arent|aren t) )"
+WIDENED = r"(?! (?:or|and) (?:later|newer|above|any later|any newer|at your option|greater|higher))"
+
+#: The query's SQL splits like this: at a line break or at a mark followed by white space, so "2.0" stays whole.
 END = r"[.;:!?][\x20\x09-\x0D]+|[\x20\x09-\x0D]*\n"
-#: Longest known sentence with room for marks; longer pieces cannot be one.
+#: The SQL's longest piece: the longest known sentence with room for marks.
 LONGEST = 2 * max(map(len, SENTENCES.values()))
 
 
@@ -103,6 +113,12 @@ def rule_pattern() -> str:
     return "|".join("(?:" + "".join(f"{i}," for i in ids) + ")" for _, ids in RULES)
 
 
+def sentence_pattern() -> str:
+    """Any known sentence, in whole words; of two that begin at one place the longer."""
+    return (r"(?<![^ ])" + DENIED + "(?:" + "|".join(sorted(SENTENCES.values(), key=len, reverse=True)) + ")(?![^ ])"
+            + WIDENED)
+
+
 def _lookup(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in pairs.items() for x in pair])
 
@@ -117,11 +133,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     known = _lookup({words: i for i, words in SENTENCES.items()})
     by_rule = _lookup({"".join(f"{i}," for i in ids): name for name, ids in RULES})
 
-    def identify(s: Column) -> Column:
-        words = F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))
-        return F.when(F.length(s) <= LONGEST, F.element_at(known, words))
-
-    found = F.filter(F.transform(F.split("text", END), identify), lambda i: i.isNotNull())
+    stopped = F.regexp_replace(F.regexp_replace("text", LEADER, " "), STOP, " \x01 ")
+    words = F.regexp_replace(F.lower(stopped), "[^\\p{L}\\p{N}\x01]+", " ")
+    found = F.transform(F.regexp_extract_all(words, F.lit(sentence_pattern()), F.lit(0)), lambda s: F.element_at(known, s))
     rows = rows.select("id", F.concat_ws("", F.transform(found, lambda i: F.concat(i, F.lit(",")))).alias("ids"))
     taken = F.regexp_extract_all("ids", F.lit(rule_pattern()), F.lit(0))
     commas = F.length(F.regexp_replace("ids", "[^,]", ""))

@@ -58,6 +58,91 @@ def test_licences(spark, awkward):
     assert {i for _, ids in RULES for i in ids} <= set(SENTENCES)
 
 
+MIT = '''The MIT License (MIT)
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM.'''
+APACHE = '''Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions.'''
+GPL = '''This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.'''
+BSD = '''Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+'''
+NAMES = '''
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+'''
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed, see above."""
+
+
+def test_wrapped_headers(spark):
+    known = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL.format(":", ", ", 3),
+             "GPL-2.0-or-later": GPL.format(";", ";", 2), "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + NAMES, "MPL-2.0": MPL}
+    leaders = ["", "# ", " * ", "// ", "! ", "-- ", ";; ", "rem ", "dnl ", "C     ", "> "]
+    rows, want = [], {}
+    for name, text in known.items():
+        for lead in leaders:
+            for end in ("\n", "\r\n"):
+                want[len(rows)] = name
+                rows.append((len(rows), "some code;\n/*" + end + end.join(lead + x for x in text.split("\n")) + end + "*/ more"))
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.licenses for i, r in got.items()} == want
+    assert got[0].sentence_ids == "mit_title,mit_grant,mit_notice,as_is_mit,"
+    assert all(r.n_unmatched == 0 for i, r in got.items() if want[i] in ("MIT", "Apache-2.0", "MPL-2.0"))
+
+
+def test_licence_inside_a_sentence(spark):
+    rows = [(1, "This project is released under the MIT License."), (2, "word " * 9000 + "all of it licensed under CC BY 4.0 since May"),
+            (3, "It is not licensed under the MIT License."), (4, "Ask for the MIT. License it"),
+            (5, "This work is licensed under the GNU General Public License, version 3 or later."),
+            (6, "Licensed under the Apache License, Version 2.0. The License is long."),
+            (7, "unlicensed under the MIT License"), (8, "licensed under the MIT Licenses"),
+            (9, "The code is\nlicensed under\nthe MIT License and the data\nlicensed under CC0 1.0")]
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r.licenses for i, r in got.items()} == {
+        1: "MIT", 2: "CC-BY-4.0", 3: "", 4: "", 5: "", 6: "Apache-2.0", 7: "", 8: "", 9: "MIT,CC0-1.0"}
+    assert got[6].sentence_ids == "apache2_licensed,"
+
+
 def test_only_native_nodes(spark, awkward):
     plan = scan_licenses(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
