@@ -3,10 +3,10 @@
 Units are the bytes of the text (A-Z in lower case, white space as one space, four zero bytes in front), so an n-gram
 of up to five units is an integer and its context and suffix are shifts and masks of it. Tasks count their share and
 Spark adds up; continuation counts, discounts, back-off weights and probabilities are joins and short windows
-(a context has at most 256 continuations). The finished model is a pair of sorted arrays per order: hashes cut
-to a fixed number of bits, and log-probabilities. That bounds what is broadcast, whatever the corpus: n-grams whose cut
-hashes meet share one entry, the mean of their probabilities weighted by count. Documents are read once more and scored
-by binary search. Per language, scores far outside the middle half of all documents that pass the base rules are rejected, on
+(a context has at most 256 continuations). Every n-gram counted keeps a probability of its own, however many there
+are: the most frequent ones are broadcast as sorted 64-bit hashes up to a fixed number, and a document's n-grams beyond
+them meet their probabilities in a join. What is broadcast is bounded, what is joined grows with the input.
+Per language, scores far outside the middle half of all documents that pass the base rules are rejected, on
 either side: very improbable text is noise, very probable text is repetition.
 """
 
@@ -26,8 +26,10 @@ from arbora.llm.shingles import _LOWER, _SPACE, mix
 from arbora.session import materialize
 
 ORDER = 5
-#: Bits of a hash in the model: at most 2 ** 22 entries of 8 bytes for n-grams and as many for contexts, per order.
-HASH_BITS = 22
+#: Bits of a hash: of a billion n-grams one in 10 ** 10 lookups of another n-gram hits.
+HASH_BITS = 64
+#: N-grams that are broadcast, 12 bytes each, the frequent ones first; the others are joined.
+HEAD = 8_000_000
 #: N-grams of this order and longer that occur once give their whole count to the back-off and are not stored:
 #: otherwise a text would be predicted from what it alone has said.
 ONCE_FROM = 3
@@ -103,7 +105,7 @@ def lang_salt(lang: str | None) -> int:
 
 
 def cut_hash(salt: np.ndarray, gram: np.ndarray, bits: int) -> np.ndarray:
-    return (mix(mix(gram) + salt) >> np.uint64(64 - bits)).astype(np.uint32)
+    return mix(mix(gram) + salt) >> np.uint64(64 - bits)
 
 
 def _slots(bits: int):
@@ -112,7 +114,7 @@ def _slots(bits: int):
             salts = {x: lang_salt(x) for x in set(batch.column("lang").to_pylist())}
             salt = np.array([salts[x] for x in batch.column("lang").to_pylist()], np.uint64)
             slot = cut_hash(salt, batch.column("gram").to_numpy().astype(np.uint64), bits)
-            yield pa.record_batch([batch.column("k"), pa.array(slot.astype(np.int64)), batch.column("v"),
+            yield pa.record_batch([batch.column("k"), pa.array(slot.view(np.int64)), batch.column("v"),
                                    batch.column("n")], names=["k", "slot", "v", "n"])
 
     return run, "k int, slot long, v double, n double"
@@ -183,35 +185,63 @@ def _order_table(grams: DataFrame, k: int, lower: DataFrame | None) -> tuple[Dat
 
 
 def fit_kneser_ney(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", bits: int = HASH_BITS) -> Model:
-    """Count all texts of ``docs`` and estimate one model per language (a null language is one of its own)."""
+    """Count all texts of ``docs`` and estimate one model per language (a null language is one of its own).
+
+    The whole model goes to the driver, to score other texts than it was fitted on; judge_quality does without.
+    """
+    parts = []
+    for k, lower, back in _orders(docs, text_col, lang_col):
+        stored = lower.where("n > 1") if k >= ONCE_FROM else lower
+        parts.append(stored.select("lang", "gram", F.lit(k).alias("k"), F.log("p").alias("v"), F.col("n").cast("double")))
+        # A context that gives all its mass to the back-off is like one never seen.
+        parts.append(back.where("v <> 0").select("lang", "gram", F.lit(-k).alias("k"), "v", F.col("n").cast("double")))
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    arrays = _gather(whole, bits)
+    return Model(bits, {k: a for k, a in arrays.items() if k > 0}, {-k: a for k, a in arrays.items() if k < 0})
+
+
+def _orders(docs: DataFrame, text_col: str, lang_col: str) -> Iterator[tuple[int, DataFrame, DataFrame]]:
+    """k, probabilities and back-off weights, from order 1 up."""
     rows = narrow(docs, text=docs[text_col].cast("string"), lang=docs[lang_col].cast("string")).where("text is not null")
     grams = {ORDER: materialize(rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(
         F.sum("n").alias("n")), "grams")}
     for k in range(ORDER - 1, 0, -1):
         suffix = F.col("gram").bitwiseAND(F.lit((1 << 8 * k) - 1))
         grams[k] = grams[k + 1].groupBy("lang", suffix.alias("gram")).agg(F.count("*").alias("n"))
-    parts, lower = [], None
+    lower = None
     for k in range(1, ORDER + 1):
         lower, back = _order_table(grams[k], k, lower)
-        stored = lower.where("n > 1") if k >= ONCE_FROM else lower
-        parts.append(stored.select("lang", "gram", F.lit(k).alias("k"), F.log("p").alias("v"), F.col("n").cast("double")))
-        # A context that gives all its mass to the back-off is like one never seen.
-        parts.append(back.where("v <> 0").select("lang", "gram", F.lit(-k).alias("k"), "v", F.col("n").cast("double")))
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    # At most 2 ** bits rows for each of the ten arrays.
-    entries = whole.mapInArrow(*_slots(bits)).groupBy("k", "slot").agg(
+        yield k, lower, back
+
+
+def _gather(entries: DataFrame, bits: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Entries (lang, gram, k, v, n) as sorted hashes and values per k; n-grams that meet at few bits share their mean."""
+    entries = entries.mapInArrow(*_slots(bits)).groupBy("k", "slot").agg(
         (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).select(
-        F.col("k").cast("byte"), (F.col("slot") - (1 << 31)).cast("int").alias("slot"), F.col("v").cast("float")).toArrow()
+        F.col("k").cast("byte"), "slot", F.col("v").cast("float")).toArrow()
     arrays = {}
     which, slot, value = (entries.column(c).to_numpy() for c in ("k", "slot", "v"))
-    slot = slot.astype(np.int64) + (1 << 31)
-    for k in (*range(1, ORDER + 1), *range(-ORDER, 0)):
+    slot = slot.view(np.uint64)
+    for k in np.unique(which):
         rows_k = np.flatnonzero(which == k)
         rows_k = rows_k[np.argsort(slot[rows_k])]
-        arrays[k] = slot[rows_k].astype(np.uint32), value[rows_k].astype(np.float32)
-    return Model(bits, {k: a for k, a in arrays.items() if k > 0}, {-k: a for k, a in arrays.items() if k < 0})
+        arrays[int(k)] = slot[rows_k], value[rows_k].astype(np.float32)
+    return arrays
+
+
+def _rarest_in_head(probs: DataFrame, most: int) -> int:
+    """The smallest count from which on at most ``most`` n-grams stand; 1 if all of them do."""
+    # A few hundred rows: counts in steps of a sixteenth of their size.
+    step = F.expr("n - n % greatest(1L, cast(pow(2, floor(log2(n)) - 4) as bigint))")
+    above, least = 0, None
+    for r in probs.groupBy(step.alias("step")).agg(F.count("*").alias("c"), F.max("n").alias("top")).orderBy(F.desc("step")).collect():
+        above += r.c
+        if above > most:
+            return least or r.top + 1
+        least = r.step
+    return 1
 
 
 _SYMBOLS = b"#*$%&|<>"
@@ -240,15 +270,16 @@ def base_counts(text: str) -> tuple[int, int, int, int, int]:
 
 
 SCORES = ("doc_id long, lang string, n_words long, word_chars long, n_symbols long, n_dup_lines long,"
-          " n_repeat_words long, n_units long, bits double")
+          " n_repeat_words long, n_units long, ln double, rest array<long>")
 
 
-def _score(model):
+def _score(head, bits: int):
+    """Base counts, the sum of ln p of the n-grams in ``head`` and the other n-grams, of each document."""
     schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(n, pa.int64()) for n in (
-        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_units")], ("bits", pa.float64())])
+        "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_units")], ("ln", pa.float64()), ("rest", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        known = head.value
         for batch in batches:
             for piece in pieces(batch):
                 texts, langs = piece.column("text"), piece.column("lang")
@@ -256,15 +287,47 @@ def _score(model):
                 salts = {x: lang_salt(x) for x in set(langs.to_pylist())}
                 salt = np.repeat(np.array([salts[x] for x in langs.to_pylist()], np.uint64), size)
                 doc = np.repeat(np.arange(len(size)), size)
-                sums = np.bincount(doc, known.log_probs(code, salt), len(size))
-                bits = np.divide(-sums / np.log(2), size, out=np.zeros(len(size)), where=size > 0)
+                seen, value = _find(known, cut_hash(salt, code, bits))
+                sums = np.bincount(doc[seen], value[seen], len(size))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(doc[~seen], minlength=len(size)))])
+                rest = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(code[~seen].view(np.int64)))
                 base = np.array([base_counts(t or "") for t in texts.to_pylist()], np.int64).reshape(-1, 5)
                 yield pa.record_batch([piece.column("id"), langs, *[pa.array(base[:, i].copy()) for i in range(5)],
-                                       pa.array(size.astype(np.int64)), pa.array(bits)], schema=schema)
+                                       pa.array(size.astype(np.int64)), pa.array(sums), rest], schema=schema)
 
     return run, SCORES
 
 
+def _bits_per_byte(docs: DataFrame, id_col: str, text_col: str, lang_col: str, bits: int, head: int) -> DataFrame:
+    """Base counts and bits per byte of every document under the model of all of them.
+
+    Each of their n-grams was counted, and one seen once has as its probability what its back-off gives, so the table of
+    the highest order holds all that is looked up.
+    """
+    for _, probs, _ in _orders(docs, text_col, lang_col):
+        pass
+    least = _rarest_in_head(probs, head)
+    frequent = probs.where(F.col("n") >= least).select(
+        "lang", "gram", F.lit(ORDER).alias("k"), F.log("p").alias("v"), F.col("n").cast("double"))
+    # At most ``head`` entries.
+    shared = docs.sparkSession.sparkContext.broadcast(_gather(frequent, bits).get(ORDER))
+    rows = narrow(docs, id=docs[id_col].cast("long"), text=docs[text_col].cast("string"),
+                  lang=docs[lang_col].cast("string"))
+    scores = rows.mapInArrow(*_score(shared, bits))
+    if least > 1:
+        scores = materialize(scores.withColumn("_row", F.monotonically_increasing_id()), "heads")
+        # An n-gram outside the head has fewer than ``least`` places, so no key is hot.
+        rest = scores.select("_row", "lang", F.explode("rest").alias("gram"))
+        tail = probs.where(F.col("n") < least).select(
+            F.col("lang").alias("_lang"), F.col("gram").alias("_gram"), F.log("p").alias("v"))
+        found = rest.join(tail, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("gram") == F.col("_gram")))
+        sums = found.groupBy("_row").agg(F.sum("v").alias("more"))
+        scores = scores.drop("rest").join(sums, "_row", "left").withColumn(
+            "ln", F.col("ln") + F.coalesce("more", F.lit(0.0))).drop("_row", "more")
+    size = F.greatest("n_units", F.lit(1))
+    return scores.withColumn("bits", -F.col("ln") / F.log(F.lit(2.0)) / size).drop("ln", "rest")
+
+
 def perplexity_bands(scores: DataFrame, reach: float = REACH) -> DataFrame:
     """_lang, low, high in bits per byte, from all scores that passed the base rules, in steps of 1 / BINS bit."""
     bins = scores.where("not base_failed").groupBy("lang", F.floor(F.col("bits") * BINS).alias("bin")).agg(
@@ -283,18 +346,15 @@ def perplexity_bands(scores: DataFrame, reach: float = REACH) -> DataFrame:
 
 
 def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-                  bits: int = HASH_BITS, reach: float = REACH) -> DataFrame:
+                  bits: int = HASH_BITS, reach: float = REACH, head: int = HEAD) -> DataFrame:
     """One row per document: doc_id, the base counts, base_failed, kept, perplexity (per byte), low and high (the band
     of its language).
 
     A null or wordless text has no words, fails the base rules and has perplexity 1. A null language is a language.
     Repeated rows count as often as they occur; an empty table gives no rows; other columns are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit_kneser_ney(docs, text_col, lang_col, bits))
-    rows = narrow(docs, id=docs[id_col].cast("long"), text=docs[text_col].cast("string"),
-                  lang=docs[lang_col].cast("string"))
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
-    scores = materialize(rows.mapInArrow(*_score(model)).withColumn("base_failed", failed), "scores")
+    scores = materialize(_bits_per_byte(docs, id_col, text_col, lang_col, bits, head).withColumn("base_failed", failed), "scores")
     bands = perplexity_bands(scores, reach)
     # One row per language.
     judged = scores.join(F.broadcast(bands), F.col("lang").eqNullSafe(F.col("_lang")), "left")

@@ -72,6 +72,33 @@ def test_perplexity_against_plain_dictionaries(spark, rows):
             assert r.perplexity == pytest.approx(want, rel=1e-4)
 
 
+@pytest.mark.parametrize("head", [None, 0, 300])
+def test_production_bits_and_the_join_beyond_the_head(spark, rows, head):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    models, texts = brute_bits(rows), {r[0]: r for r in rows if r[0] != 10}
+    got = judge_quality(docs, **({} if head is None else {"head": head})).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.doc_id in texts:
+            _, text, lang, _ = texts[r.doc_id]
+            u = bytes(ORDER - 1) + plain_units(text)
+            logs = [math.log2(models[lang](u[i : i + ORDER])) for i in range(len(u) - ORDER + 1)]
+            assert r.perplexity == pytest.approx(2 ** (-sum(logs) / len(logs)) if logs else 1.0, rel=1e-4)
+
+
+def test_a_full_table_gives_no_false_hits(spark):
+    import numpy as np
+
+    from arbora.llm.perplexity import _find, cut_hash
+
+    text = "".join(map(chr, np.random.default_rng(5).integers(97, 123, 400_000)))
+    docs = spark.createDataFrame([(1, text, "en"), (2, text, "en")], "doc_id long, text string, lang string")
+    model = fit_kneser_ney(docs)
+    noise = np.random.default_rng(6).integers(0, 1 << 40, 200_000).astype(np.uint64) | np.uint64(0x8080808080)
+    seen, _ = _find(model.prob[ORDER], cut_hash(np.full(len(noise), lang_salt("en"), np.uint64), noise, model.bits))
+    assert len(model.prob[ORDER][0]) > 380_000 and seen.mean() < 1e-4
+
+
 def test_unseen_text_backs_off(spark, rows):
     import numpy as np
     import pyarrow as pa
