@@ -28,6 +28,7 @@ SCORE_DECIMALS = 9
 QUERY_BLOCK = 4096
 ITEM_BLOCK = 65536
 CELLS_AT_ONCE = 4_000_000  # scores held in memory by one task at a time
+PAIR_QUERIES, PAIR_ITEMS = 512, 8192  # a block whose pairs are all listed; about CELLS_AT_ONCE of them
 
 
 def matrix(column) -> np.ndarray:
@@ -177,10 +178,10 @@ def block_topk(query_blocks: DataFrame, item_blocks: DataFrame, keys: list[str],
     return left.cogroup(right).applyInArrow(cell, schema)
 
 
-def grid_blocks(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+def grid_blocks(queries: DataFrame, items: DataFrame, query_block: int | None = None, item_block: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides spread over a grid by hash of the ids, so block sizes do not depend on what the vectors hold."""
-    n_q = math.ceil(queries.count() / QUERY_BLOCK)
-    n_i = max(1, math.ceil(items.count() / ITEM_BLOCK))
+    n_q = math.ceil(queries.count() / (query_block or QUERY_BLOCK))
+    n_i = max(1, math.ceil(items.count() / (item_block or ITEM_BLOCK)))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn(
         "ib", F.explode(F.expr(f"sequence(0L, {n_i - 1}L)")))
     i = items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(n_i))).withColumn(
@@ -236,7 +237,40 @@ def all_scores(queries: DataFrame, items: DataFrame, broadcast_bytes: int = SMAL
     queries = queries.select("qid", doubles("qvec").alias("qvec"))
     small = take_small(queries, 4096)
     if small is None or small.nbytes > broadcast_bytes:
-        raise ValueError("too many queries to list every score; use a top-k or rank operator")
+        raise ValueError("too many queries to list every score; use pair_scores or a top-k or rank operator")
+    return _scan_all(small, queries, items)
+
+
+def pair_scores(queries: DataFrame, items: DataFrame, broadcast_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
+    """(qid, item_id, score) for every pair, however many queries: beyond a broadcast both sides meet in a grid of blocks."""
+    if "const" not in items.columns:
+        items = items.withColumn("const", F.lit(0.0))
+    items = items.select("item_id", doubles("coef").alias("coef"), F.col("const").cast("double").alias("const"))
+    queries = queries.select("qid", doubles("qvec").alias("qvec"))
+    small = take_small(queries, 4096)
+    if small is not None and small.nbytes <= broadcast_bytes:
+        return _scan_all(small, queries, items)
+    schema = _schema(queries, items)
+    out = to_arrow_schema(schema)
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return out.empty_table()
+        q, coef, ids = matrix(left.column("qvec")), matrix(right.column("coef")), ids_of(right.column("item_id"))
+        const = right.column("const").combine_chunks().to_numpy(zero_copy_only=False)
+        qids = left.column("qid").combine_chunks()
+        found = []
+        for c in _chunks(len(q), len(ids)):
+            s = _block_scores(q[c], coef, const)
+            found.append(_emit(qids[c], np.broadcast_to(ids, s.shape), s, out))
+        return pa.concat_tables(found)
+
+    q, i, keys = grid_blocks(queries, items, PAIR_QUERIES, PAIR_ITEMS)
+    return q.select(*keys, "qid", "qvec").groupBy(*keys).cogroup(
+        i.select(*keys, "item_id", "coef", "const").groupBy(*keys)).applyInArrow(cell, schema)
+
+
+def _scan_all(small: pa.Table, queries: DataFrame, items: DataFrame) -> DataFrame:
     schema = _schema(queries, items)
     out = to_arrow_schema(schema)
     if small.num_rows == 0:

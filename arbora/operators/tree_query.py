@@ -17,9 +17,9 @@ from arbora.operators.topk import (
     CELLS_AT_ONCE,
     QUERY_BLOCK,
     SCORE_DECIMALS,
-    all_scores,
     ids_of,
     matrix,
+    pair_scores,
     rank_of_target,
     topk_linear,
 )
@@ -164,8 +164,8 @@ def tree_topk_path(tree: ConceptTree, queries: DataFrame, k: int, weights: list[
 
 
 def tree_rank_scores(tree: ConceptTree, queries: DataFrame, weights: list[float] | None = None) -> DataFrame:
-    """(qid, leaf_id, score) for every leaf, for a handful of queries."""
-    return all_scores(gauss_features(queries), path_items(tree, weights)).withColumnRenamed("item_id", "leaf_id")
+    """(qid, leaf_id, score) for every leaf: rows = queries x leaves."""
+    return pair_scores(gauss_features(queries), path_items(tree, weights)).withColumnRenamed("item_id", "leaf_id")
 
 
 def tree_target_rank(tree: ConceptTree, queries: DataFrame, weights: list[float] | None = None) -> DataFrame:
@@ -382,9 +382,9 @@ def log_sum_exp(df: DataFrame, keys: list[str], value: str, out: str) -> DataFra
 def posterior_scores(tree: ConceptTree, queries: DataFrame) -> DataFrame:
     """(qid, node_id, parent_id, depth, is_leaf, score): log p(c | x) down the path plus log p(x | c).
 
-    p(c | x) is normalised among siblings. For a handful of queries (rows = queries x nodes).
+    p(c | x) is normalised among siblings. Rows = queries x nodes.
     """
-    lp = all_scores(gauss_features(queries), node_items(tree)).withColumnRenamed("item_id", "node_id")
+    lp = pair_scores(gauss_features(queries), node_items(tree)).withColumnRenamed("item_id", "node_id")
     slim = tree.nodes.select("node_id", "parent_id", "depth", "is_leaf", "count")
     parents = slim.select(F.col("node_id").alias("parent_id"), F.col("count").alias("pn"))
     s = lp.join(slim.join(parents, "parent_id", "left"), "node_id").withColumn(

@@ -96,3 +96,26 @@ def test_all_scores_refuses_many_queries(spark, data):
     q = spark.range(5000).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("qvec"))
     with pytest.raises(ValueError):
         tk.all_scores(q, spark.createDataFrame([(1, [1.0])], "item_id bigint, coef array<double>"))
+
+
+@pytest.mark.parametrize("n", [40, 5000])
+def test_pair_scores_takes_any_number_of_queries(spark, data, n, monkeypatch):
+    monkeypatch.setattr(tk, "PAIR_ITEMS", 2)
+    x = data[1][:5]
+    q = np.round(np.random.default_rng(4).standard_normal((n, 12)), 1)
+    got = tk.pair_scores(frame(spark, list(range(n)), q, "qid", "qvec"), frame(spark, list(range(5)), x, "item_id", "coef")).collect()
+    want = q @ x.T
+    assert len(got) == len({(r.qid, r.item_id) for r in got}) == n * 5
+    assert all(abs(r.score - want[r.qid, r.item_id]) < 1e-9 for r in got)
+    everywhere = tk.pair_scores(frame(spark, list(range(40)), q[:40], "qid", "qvec"), frame(spark, list(range(5)), x, "item_id", "coef"), 1)
+    assert everywhere.count() == 200
+
+
+def test_tree_operators_refuse_no_number_of_queries(spark):
+    from arbora.operators import tree_build as tb, tree_query as tq
+
+    rows = spark.createDataFrame([(i, [float(i % 3), float(i)]) for i in range(6)], "doc_id bigint, vec array<double>")
+    tree = tb.build_tree(rows, restructure=0)
+    queries = spark.range(4200).select(F.col("id").alias("qid"), F.array(F.col("id") / 1000.0, F.lit(1.0)).alias("qvec"))
+    assert tq.tree_rank_scores(tree, queries).count() == 4200 * 6
+    assert tq.posterior_scores(tree, queries).count() == 4200 * tree.nodes.count()
