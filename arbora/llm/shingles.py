@@ -20,9 +20,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words (A-Z lower-cased) and the number of words of each text.
 
+    ``breaks`` tells for every byte whether it separates words.
+
     Bytes go eight at a time into 64-bit lanes: a word's hash mixes its lanes one after the other, so words of any
     length and content are told apart like by any 64-bit hash.
     """
@@ -30,7 +32,7 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(n, np.int64)
     low = _LOWER[raw]
-    word = ~_SPACE[low]
+    word = ~breaks[low]
     begin = word.copy()
     begin[1:] &= ~word[:-1]
     edges = offsets[(offsets > 0) & (offsets < len(raw))]
