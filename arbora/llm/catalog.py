@@ -2,5 +2,5 @@
 
 from arbora.llm import (  # noqa: F401
     bpe, exact_dedup, html_text, jaccard_join, language_id, lexical_search, licenses, mixing, perplexity,
-    personal_data, simhash, unit_dedup)
+    personal_data, prefix_trie, simhash, unit_dedup)
 from arbora.llm.common import ORACLES, QUERIES  # noqa: F401
