@@ -68,6 +68,12 @@ def pick_dims(df: DataFrame, vecs: list[str], *keys: str) -> DataFrame:
     )
 
 
+def widest_dims(m2: str | Column, n: int) -> Column:
+    """The ``n`` dimensions of largest spread, ties to the smaller index."""
+    pairs = F.transform(as_col(m2), lambda v, i: F.struct((-v).alias("v"), i.alias("i")))
+    return F.transform(F.slice(F.sort_array(pairs), 1, n), lambda p: p["i"])
+
+
 def moments(df: DataFrame, keys: list[str], vec: str = "vec", weight: str | None = None,
             extra: dict[str, Column] | None = None) -> DataFrame:
     """(keys…, count, mean, m2, …extra aggregates) by partial + final aggregation; m2 is the sum of squared deviations.

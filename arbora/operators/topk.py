@@ -1,4 +1,4 @@
-"""Exact and approximate top-k of a linear score between query vectors and item vectors.
+"""Exact top-k of a linear score between query vectors and item vectors.
 
 Every retrieval score of the engine (inner product, cosine, squared L2, path-weighted Gaussian, leaf
 likelihood) is linear in a feature vector of the query, so one block operator serves them all:
@@ -320,67 +320,3 @@ def topk_l2(queries: DataFrame, corpus: DataFrame, k: int, **kw) -> DataFrame:
     found = topk_linear(queries, items, k, **kw).withColumnRenamed("item_id", "doc_id")
     return found.join(lengths, "qid").select(
         "qid", "doc_id", F.greatest(F.col("_qq") - F.col("score"), F.lit(0.0)).alias("score"), "rank")
-
-
-def topk_ann(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    n_cells: int | None = None,
-    n_probe: int = 8,
-    seed: int = 7,
-) -> DataFrame:
-    """Approximate cosine top-k: coarse cells, the ``n_probe`` nearest cells per query, exact scores inside them.
-
-    A cell holding many rows is cut into blocks of bounded size, so a crowd of near copies is spread over
-    tasks and still searched whole.
-    """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = corpus.select(F.col("doc_id").alias("item_id"), l2_normalize(doubles("vec")).alias("coef"))
-    unit_q = queries.select("qid", l2_normalize(doubles("qvec")).alias("qvec"))
-    features = unit.withColumn("features", array_to_vector("coef"))
-    if n_cells is None:
-        n_cells = int(min(4096, max(1, math.isqrt(corpus.count()))))
-    model = KMeans(k=n_cells, seed=seed, maxIter=5, initMode="k-means||").fit(features)
-    centers = np.array(model.clusterCenters())
-    cells = model.transform(features).select("item_id", "coef", F.lit(0.0).alias("const"),
-                                             F.col("prediction").cast("int").alias("cell"))
-    # At most n_cells rows: how many blocks each cell needs.
-    sizes = cells.groupBy("cell").count().select(
-        "cell", F.ceil(F.col("count") / F.lit(ITEM_BLOCK)).cast("int").alias("parts"))
-    item_blocks = cells.join(F.broadcast(sizes), "cell").withColumn(
-        "part", F.pmod(F.xxhash64("item_id"), F.col("parts")).cast("int"))
-
-    probe = min(n_probe, len(centers))
-    shared = corpus.sparkSession.sparkContext.broadcast(centers)
-    schema = T.StructType([unit_q.schema["qid"], unit_q.schema["qvec"],
-                           T.StructField("cell", T.IntegerType())])
-    out = to_arrow_schema(schema)
-
-    def nearest_cells(batches):
-        c = shared.value
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            q = matrix(batch.column(1))
-            near = np.argsort((c * c).sum(axis=1) - 2.0 * (q @ c.T), axis=1, kind="stable")[:, :probe]
-            rows = pa.array(np.repeat(np.arange(batch.num_rows), probe))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows).cast(out.field(1).type),
-                 pa.array(near.reshape(-1).astype(np.int32))], schema=out)
-
-    probes = unit_q.mapInArrow(nearest_cells, schema)
-    # Queries of a popular cell are split as well; items of a cell nobody asks for drop out.
-    asked = probes.groupBy("cell").count().select(
-        "cell", F.ceil(F.col("count") / F.lit(QUERY_BLOCK)).cast("int").alias("shares"))
-    query_blocks = (
-        probes.join(F.broadcast(sizes), "cell").join(F.broadcast(asked), "cell")
-        .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("shares")).cast("int"))
-    )
-    item_blocks = item_blocks.join(F.broadcast(asked), "cell").withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-    parts = block_topk(query_blocks, item_blocks, ["cell", "part", "qb"], k)
-    return _rank(parts, k).withColumnRenamed("item_id", "doc_id")

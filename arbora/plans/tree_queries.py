@@ -12,6 +12,7 @@ from arbora.operators import tree as T
 from arbora.operators import tree_analytics as ta
 from arbora.operators import tree_build as tb
 from arbora.operators import tree_query as tq
+from arbora.operators.restructure import improvable
 from arbora.operators.tree import ConceptTree
 from arbora.plans import inputs as I
 from arbora.plans.concept_queries import _ALL_OPS, _AT, _CHILD, _CT, _CU, _OPS, _TERMS, placed_rows
@@ -67,9 +68,18 @@ _ROWS = "rows_ AS (SELECT vec_id AS doc_id, d, v FROM e)"
 _GROWN = "rows_ AS (SELECT vec_id AS doc_id, d, v FROM e UNION ALL SELECT qid + 1000000, d, x FROM q)"
 
 
-@query("tree_build", with_(E, _ROWS) + _invariants_sql("rows_"))
+_SETTLED = "parents that one merge or split would improve"
+
+
+def settled(tree: ConceptTree):
+    """The facts of ``invariants``, and how many parents could still be improved."""
+    left = improvable(tree.nodes, tree.params).agg(F.count("*").cast("double").alias("value"))
+    return invariants(tree).unionByName(left.select(F.lit(_SETTLED).alias("fact"), F.lit(0).cast("bigint").alias("dim"), "value"))
+
+
+@query("tree_build", with_(E, _ROWS) + _invariants_sql("rows_") + f" UNION ALL SELECT '{_SETTLED}', 0, 0.0::DOUBLE")
 def tree_build(spark, sf):
-    return invariants(tb.build_tree(I.vectors(spark, sf).select("doc_id", "vec")))
+    return settled(tb.build_tree(I.vectors(spark, sf).select("doc_id", "vec")))
 
 
 @query("tree_build_greedy", with_(E, _ROWS) + _invariants_sql("rows_"))

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from arbora.functions import vec as V
+from arbora.operators import ann
 from arbora.operators import topk as tk
 from arbora.operators import whiten as wh
 from arbora.operators.skew import dedupe_leaves
@@ -215,7 +216,18 @@ def topk_cosine(spark, sf):
 
 @query("topk_ann")
 def topk_ann(spark, sf):
-    return _run_topk(tk.topk_ann, spark, sf)
+    return _run_topk(ann.topk_ann, spark, sf)
+
+
+@query("topk_ann_recall", "SELECT 10::BIGINT AS k, count(*) AS n_queries, true AS enough FROM embeddings")
+def topk_ann_recall(spark, sf):
+    """Whether the stored index finds nine tenths of the exact neighbours of all queries."""
+    q, v = I.queries(spark, sf), I.vectors(spark, sf)
+    exact = tk.topk_cosine(q, v, 10).select("qid", "doc_id")
+    near = ann.topk_ann(q, v, 10).select("qid", "doc_id", F.lit(1).alias("hit"))
+    met = exact.join(near, ["qid", "doc_id"], "left")
+    return met.agg(F.lit(10).cast("bigint").alias("k"), F.count_distinct("qid").alias("n_queries"),
+                   (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
 
 
 @query("topk_whitened", with_(E, _COV, _inverse_root(), """

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from arbora.operators import ann
 from arbora.operators import topk as tk
 
 
@@ -76,14 +77,36 @@ def test_rank_of_target(spark, data, monkeypatch):
     assert got == {i: order[i].tolist().index(t) + 1 for i, t in enumerate(target)}
 
 
-def test_ann_finds_most(spark, data):
+@pytest.mark.parametrize("ways", ["broadcast", "grid"])
+def test_ann_finds_most(spark, data, ways, monkeypatch):
     q, x = data
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 40)  # the crowd of copies fills several blocks
+    monkeypatch.setattr(tk, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 16)
+    few = {"broadcast_bytes": 1} if ways == "grid" else {}
     qf, xf = frame(spark, list(range(40)), q, "qid", "qvec"), frame(spark, list(range(300)), x, "doc_id", "vec")
-    exact, near = ranked(tk.topk_cosine(qf, xf, 10)), ranked(tk.topk_ann(qf, xf, 10, n_probe=8))
-    hits = sum(len(set(exact[i]) & set(near.get(i, []))) for i in exact)
-    assert hits / 400 > 0.7
-    every = ranked(tk.topk_ann(qf, xf, 10, n_probe=10_000))
-    assert every == exact  # probing all cells is exact
+    exact = ranked(tk.topk_cosine(qf, xf, 10))
+    index = ann.fit_ann(xf, qf)
+    near = ranked(ann.search_ann(index, qf, 10, **few))
+    assert sum(len(set(exact[i]) & set(near[i])) for i in exact) >= 0.9 * 400
+    assert index.recall >= 0.9 and index.n_probe < index.cells.count()
+    assert ranked(ann.search_ann(index, qf, 10, n_probe=10_000, **few)) == exact  # looking into all cells is exact
+    with pytest.raises(ValueError):
+        ann.search_ann(index, qf, 11)
+
+
+def test_ann_indexes_every_row_and_reads_few(spark, data):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40, 8))[rng.integers(0, 40, 3000)] * 3 + rng.standard_normal((3000, 8))
+    xf = frame(spark, [f"d{i:04}" for i in range(3000)], x, "doc_id", "vec")
+    index = ann.fit_ann(xf, k=5)
+    assert sorted(r[0] for r in index.blocks.select(F.explode("ids")).collect()) == [f"d{i:04}" for i in range(3000)]
+    q = frame(spark, list(range(50)), x[:50] + 0.1, "qid", "qvec")
+    found, exact = ranked(ann.search_ann(index, q, 5)), ranked(tk.topk_cosine(q, xf, 5))
+    assert sum(len(set(exact[i]) & set(found[i])) for i in exact) >= 0.9 * 250
+    plan = ann.search_ann(index, q.limit(1), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [shelf" in plan or "shelf#" in plan.split("PartitionFilters")[1].split("]")[0]
+    assert index.n_probe < 0.6 * index.cells.count()
 
 
 def test_empty_queries(spark, data):

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from arbora.functions.gauss import PRIOR_VAR
 from arbora.operators import tree_analytics as ta
 from arbora.operators import tree_query as tq
+from arbora.operators import subtree
+from arbora.operators.restructure import improvable, restructure
+from arbora.operators.tree import TreeParams, partition_utility
 from arbora.operators.tree_build import append_rows, build_tree
 from arbora.plans import tree_queries
 from arbora.sources import storage as st
@@ -41,6 +44,34 @@ def built(spark):
 
 def test_build(built):
     check(built[1], 150)
+    assert improvable(built[1].nodes, built[1].params).count() == 0
+
+
+@pytest.mark.parametrize("score, size", [("kl", 60), ("info", 1024), ("ecg", 1024)])
+def test_nothing_is_left_to_improve(spark, score, size, monkeypatch):
+    """Small subtrees, so that upper levels and rounds run as joins; or all of it inside one task."""
+    x = np.concatenate([clusters(130, seed=6), np.repeat(clusters(3, seed=8), 6, axis=0) + np.arange(18)[:, None] * 1e-3])
+    monkeypatch.setattr(subtree, "SUBTREE", size)
+    tree = build_tree(vectors(spark, x), TreeParams(score=score))
+    check(tree, 148)
+    assert improvable(tree.nodes, tree.params).count() == 0
+
+
+def test_restructuring_raises_every_utility(spark):
+    """A tree that is wrong on purpose: pairs across clusters. The root must end better than it began."""
+    x = np.array([[0.0], [10.0], [0.1], [10.1], [0.2], [10.2], [0.3], [10.3]])
+    rows = [("r", None, 0, False, x)] + [(f"p{i}", "r", 1, False, x[2 * i:2 * i + 2]) for i in range(4)]
+    rows += [(f"L{i}", f"p{i // 2}", 2, True, x[i:i + 1]) for i in range(8)]
+    nodes = spark.createDataFrame(
+        [(n, p, d, leaf, float(len(v)), v.mean(axis=0).tolist(), ((v - v.mean(axis=0)) ** 2).sum(axis=0).tolist()) for n, p, d, leaf, v in rows],
+        "node_id string, parent_id string, depth int, is_leaf boolean, count double, mean array<double>, m2 array<double>")
+    params = TreeParams()
+    utility = lambda n: {r[0]: r[1] for r in partition_utility(n, params).select("node_id", "partition_utility").collect()}
+    before, after_nodes = utility(nodes)["r"], restructure(nodes, params)
+    assert improvable(nodes, params).count() > 0 and improvable(after_nodes, params).count() == 0
+    assert utility(after_nodes)["r"] > before
+    means = {round(r[0][0]) for r in after_nodes.where("parent_id = 'r'").select("mean").collect()}
+    assert means == {0, 10}
 
 
 def heap_order(nodes, x, k):
