@@ -114,7 +114,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                           keep: str = "smallest") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns as they were."""
+    """``docs`` with one row of each group of equal texts, all columns as they were. A row without id stays only if no row
+    of its group has one; of rows equal in id and text any one stays."""
     result = exact_dedup(docs, id_col, text_col, keep=keep).where("kept")
     kept = result.select(F.col("doc_id").alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
     sha = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
@@ -123,8 +124,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ids = docs.select(id_col)
     if ids.count() == ids.distinct().count():
         return left
-    return left.withColumn("_sha", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).dropDuplicates(
-        [id_col, "_sha"]).drop("_sha")
+    # The whole row travels as one value, so no column of it can clash.
+    rows = left.select(F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256).alias("sha"),
+                       F.struct("*").alias("row"))
+    return rows.dropDuplicates(["id", "sha"]).select("row.*")
 
 
 @register("op10_exact_dedup", """

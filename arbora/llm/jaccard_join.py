@@ -471,7 +471,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``docs`` without the documents that link, directly or not, with one of smaller id. Columns as they were."""
+    """``docs`` without the documents that link, directly or not, with one of smaller id. Columns as they were.
+
+    Rows without id link with nothing and stay; rows that share an id stay or go together.
+    """
     gone = jaccard_components(docs, id_col, **options).where("component_id <> doc_id").select(
         F.col("doc_id").alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -135,15 +135,20 @@ def share_targets(sources: DataFrame, share: float = 1.0, most: float = 3.0) ->
         state = materialize(state.withColumn("target", F.when(over, limit).otherwise(F.col("target"))), "targets")
 
 
-def mix_sources(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0,
-                id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                seed: int = 17) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken (= copies · size).
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, copies, taken (= copies · size). Options as in ``_drawn``.
 
     Sources by code point, null last (a source like any other), weigh ``weights`` in turn. A null text has size 0;
     documents of sources without any word are taken 0 times. Repeated rows are separate documents. An empty table
     gives no rows; other columns are not read. The draw depends on ids and sizes only, not on the partitioning.
     """
+    return _drawn(docs, **options).select(
+        F.col("id").alias("doc_id"), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def _drawn(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), share: float = 1.0, most: float = 3.0,
+           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17) -> DataFrame:
+    """id, src, size, tag, source_size, target, copies: ``tag`` counts rows that are equal in the first three."""
     rows = narrow(docs, id=docs[id_col].cast("long"), src=docs[source_col].cast("string"),
                   size=n_words(docs[text_col].cast("string")))
     rows = materialize(rows, "sizes")
@@ -167,17 +172,38 @@ def mix_sources(docs: DataFrame, weights: list[float] = (1.0, 2.0, 3.0), share:
     same = (rated["id"].eqNullSafe(drawn["_id"]) & rated["src"].eqNullSafe(drawn["_src"])
             & (rated["size"] == drawn["_size"]) & (rated["tag"] == drawn["_tag"]))
     copies = (F.col("whole") + F.col("_p")).cast("long")
-    return rated.join(drawn, same).select(
-        F.col("id").alias("doc_id"), "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"))
+    return rated.join(drawn, same).select("id", "src", "size", "tag", "source_size", "target", copies.alias("copies"))
 
 
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with every row as often as the mix takes it, columns as they were. Ids must not repeat."""
-    taken = mix_sources(docs, **options).where("copies > 0").select("doc_id", "copies")
+def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+                     **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it, columns as they were.
+
+    Rows may share an id, and ids may be null: such rows are told apart by source, size and text. Rows equal in all of these are
+    told apart by number; which of them gets which number makes no difference.
+    """
+    names = {"id_col": id_col, "text_col": text_col, "source_col": source_col}
+    taken = materialize(_drawn(docs, **names, **options).select(
+        F.col("id").alias("_id"), F.col("src").alias("_src"), F.col("size").alias("_size"), F.col("tag").alias("_tag"), "copies"), "taken")
     # The whole row travels as one value, so no column of it can clash.
-    rows = docs.select(docs[options.get("id_col", "doc_id")].cast("long").alias("doc_id"), F.struct("*").alias("row"))
-    met = rows.join(taken, rows["doc_id"].eqNullSafe(taken["doc_id"])).select("row", "copies")
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.struct("*").alias("row"))
+    shared = materialize(taken.groupBy("_id").agg(F.count("*").alias("n")).where("n > 1 or _id is null").select(
+        F.col("_id").alias("_shared")), "shared")
+    kept = taken.where("copies > 0")
+    if shared.isEmpty():
+        met = rows.join(kept, rows["id"] == kept["_id"]).select("row", "copies")
+    else:
+        own = rows["id"].eqNullSafe(shared["_shared"])
+        alone = rows.join(shared, own, "left_anti").join(kept, F.col("id") == F.col("_id")).select("row", "copies")
+        text = docs[text_col].cast("string")
+        told = docs.select(docs[id_col].cast("long").alias("id"), docs[source_col].cast("string").alias("src"), n_words(text).alias("size"),
+                           F.sha2(F.coalesce(text, F.lit("")), 256).alias("sha"), F.struct("*").alias("row"))
+        # Keyed by id, source and size: only rows that repeat all three share a task, and their order streams through it.
+        order = Window.partitionBy("id", "src", "size").orderBy("sha")
+        told = told.join(shared, told["id"].eqNullSafe(shared["_shared"]), "left_semi").withColumn("tag", F.row_number().over(order))
+        same = (F.col("id").eqNullSafe(F.col("_id")) & F.col("src").eqNullSafe(F.col("_src")) & (F.col("size") == F.col("_size"))
+                & (F.col("tag") == F.col("_tag")))
+        met = alone.unionByName(told.join(kept, same).select("row", "copies"))
     return met.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 

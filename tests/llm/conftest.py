@@ -12,7 +12,7 @@ import pytest
 SMALL = "/root/testdata/sf0.001"
 # Names that the operators use inside; a table may have them too.
 EXTRA = ("id", "size", "src", "n", "rep", "hash", "prefix", "keep", "edge", "token", "sha", "places", "_id", "_copies",
-         "_kept_id", "_gone", "rank", "tag", "p", "bits", "k1", "component", "fine", "set", "name", "html")
+         "_kept_id", "_gone", "_sha", "row", "_shared", "rank", "tag", "p", "bits", "k1", "component", "fine", "set", "name", "html")
 
 
 def awkward_rows():

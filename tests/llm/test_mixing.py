@@ -89,6 +89,34 @@ def test_repeated_documents(awkward):
     assert Counter(r.doc_id for r in got.select("doc_id").collect()) == {i: c for i, c in copies.items() if c}
 
 
+def test_repeated_documents_with_repeated_ids(spark, awkward):
+    """Rows that share an id are repeated as often as their own draw says, whatever their texts."""
+    rows = awkward.collect()
+    wanted = mix_sources(awkward).collect()
+    total = sum(r.copies for r in wanted)
+    got = repeat_documents(awkward)
+    assert got.columns == awkward.columns
+    found = Counter((r.doc_id, r.source, r.text) for r in got.collect())
+    assert sum(found.values()) == total
+    key = lambda i, s, t: (i, s, len(split_words(t)))
+    by_key = Counter()
+    for (i, s, t), n in found.items():
+        by_key[key(i, s, t)] += n
+    have, drawn = Counter((r.doc_id, r.source, r.text) for r in rows), Counter()
+    sizes = {(r.doc_id, r.source, r.text): len(split_words(r.text)) for r in rows}
+    assert set(found) <= set(have) and all(n <= 3 * have[k] for k, n in found.items())
+    for r in wanted:
+        drawn[r.doc_id, r.size] += r.copies
+    seen = Counter()
+    for (i, s, t), n in found.items():
+        seen[i, sizes[i, s, t]] += n
+    assert +seen == +drawn
+    two = spark.createDataFrame([(1, "one two three", "a"), (1, "four five six", "a"), (1, "seven", "b"), (None, "x y", "a")],
+                                "doc_id long, text string, source string")
+    copies = mix_sources(two, weights=[1.0]).collect()
+    assert repeat_documents(two, weights=[1.0]).count() == sum(r.copies for r in copies)
+
+
 def test_empty_table(nothing):
     assert mix_sources(nothing).count() == 0
     assert repeat_documents(nothing).count() == 0
