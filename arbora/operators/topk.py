@@ -226,21 +226,6 @@ def rank_of_target(queries: DataFrame, items: DataFrame) -> DataFrame:
     return parts.groupBy("qid").agg((F.sum("ahead") + 1).alias("rank"), F.sum("seen").alias("n_items"))
 
 
-def all_scores(queries: DataFrame, items: DataFrame, broadcast_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
-    """(qid, item_id, score) for every pair: as many rows as items per query, meant for a handful of queries.
-
-    The query block must fit the broadcast bound; rank or aggregate with the block operators otherwise.
-    """
-    if "const" not in items.columns:
-        items = items.withColumn("const", F.lit(0.0))
-    items = items.select("item_id", doubles("coef").alias("coef"), F.col("const").cast("double").alias("const"))
-    queries = queries.select("qid", doubles("qvec").alias("qvec"))
-    small = take_small(queries, 4096)
-    if small is None or small.nbytes > broadcast_bytes:
-        raise ValueError("too many queries to list every score; use pair_scores or a top-k or rank operator")
-    return _scan_all(small, queries, items)
-
-
 def pair_scores(queries: DataFrame, items: DataFrame, broadcast_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
     """(qid, item_id, score) for every pair, however many queries: beyond a broadcast both sides meet in a grid of blocks."""
     if "const" not in items.columns:
@@ -270,6 +255,58 @@ def pair_scores(queries: DataFrame, items: DataFrame, broadcast_bytes: int = SMA
         i.select(*keys, "item_id", "coef", "const").groupBy(*keys)).applyInArrow(cell, schema)
 
 
+def log_sum_exp_scores(queries: DataFrame, items: DataFrame, temperature: float = 1.0,
+                       broadcast_bytes: int = SMALL_TABLE_BYTES) -> DataFrame:
+    """(qid, lse): log of the sum of exp(score / temperature) over all items.
+
+    Each task or block reports one row per query, its largest score and the sum of the others relative to it, and such rows are
+    merged; no scores leave a block.
+    """
+    if "const" not in items.columns:
+        items = items.withColumn("const", F.lit(0.0))
+    items = items.select("item_id", doubles("coef").alias("coef"), F.col("const").cast("double").alias("const"))
+    queries = queries.select("qid", doubles("qvec").alias("qvec"))
+    schema = T.StructType([queries.schema["qid"], T.StructField("top", T.DoubleType()), T.StructField("z", T.DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def reduced(q, coef, const):
+        parts = []
+        for c in _chunks(len(q), len(coef)):
+            s = _block_scores(q[c], coef, const) / temperature
+            top = s.max(axis=1)
+            parts.append((top, np.exp(s - top[:, None]).sum(axis=1)))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
+        if left.num_rows == 0 or right.num_rows == 0:
+            return out.empty_table()
+        const = right.column("const").combine_chunks().to_numpy(zero_copy_only=False)
+        top, z = reduced(matrix(left.column("qvec")), matrix(right.column("coef")), const)
+        return pa.Table.from_arrays([left.column("qid"), pa.array(top), pa.array(z)], schema=out)
+
+    probe = queries.limit(1).toArrow()
+    width = len(probe.column("qvec")[0]) if probe.num_rows else 1
+    small = take_small(queries, max(1, broadcast_bytes // (8 * width)))
+    if small is not None:
+        block = items.sparkSession.sparkContext.broadcast((small.column("qid").combine_chunks(), matrix(small.column("qvec"))))
+
+        def scan(batches):
+            qids, q = block.value
+            for batch in batches:
+                if batch.num_rows and len(q):
+                    top, z = reduced(q, matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([qids, pa.array(top), pa.array(z)], schema=out)
+
+        parts = items.mapInArrow(scan, schema)
+    else:
+        q, i, keys = grid_blocks(queries, items)
+        parts = q.select(*keys, "qid", "qvec").groupBy(*keys).cogroup(
+            i.select(*keys, "item_id", "coef", "const").groupBy(*keys)).applyInArrow(cell, schema)
+    most = F.max("top").over(Window.partitionBy("qid"))
+    return parts.withColumn("m", most).groupBy("qid", "m").agg(
+        F.sum(F.col("z") * F.exp(F.col("top") - F.col("m"))).alias("s")).select("qid", (F.log("s") + F.col("m")).alias("lse"))
+
+
 def _scan_all(small: pa.Table, queries: DataFrame, items: DataFrame) -> DataFrame:
     schema = _schema(queries, items)
     out = to_arrow_schema(schema)

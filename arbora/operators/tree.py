@@ -42,6 +42,17 @@ class ConceptTree:
     depth: int  # levels below the root
     params: TreeParams = field(default_factory=TreeParams)
     version: str = "0"
+    delta: Delta | None = None
+
+
+@dataclass(frozen=True)
+class Delta:
+    """What the last batch changed: nodes (rows of the node table and ``gone``) and new members. ``reshaped`` says that
+    subtrees moved up or down, so that stored depths have to be counted again."""
+
+    nodes: DataFrame
+    members: DataFrame
+    reshaped: bool
 
 
 def rounded(c) -> Column:

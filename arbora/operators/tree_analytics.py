@@ -88,3 +88,9 @@ def subtree_extract(tree: ConceptTree, num_leaves: int = 4) -> DataFrame:
     numbered = prefix_sums(rows.withColumn("_c", F.lit(1)), "_ord", {"before": "_c"}, keys=["grandparent_id"])
     return numbered.select("grandparent_id", "parent_id", "leaf_id",
                            F.floor(F.col("before") / F.lit(num_leaves)).cast("bigint").alias("batch"))
+
+
+def ancestors(tree: ConceptTree) -> DataFrame:
+    """(doc_id, node_id): every document with its leaf and all nodes above it."""
+    paths = leaf_paths(tree).select("leaf_id", F.explode("path").alias("node_id"))
+    return tree.members.join(paths, "leaf_id").select("doc_id", "node_id")

@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from arbora.functions import gauss as G
-from arbora.functions.vec import doubles, dot, let
+from arbora.functions.vec import doubles, dot, let, total
 from arbora.operators.topk import (
     CELLS_AT_ONCE,
     QUERY_BLOCK,
     SCORE_DECIMALS,
     ids_of,
+    log_sum_exp_scores,
     matrix,
     pair_scores,
     rank_of_target,
@@ -179,6 +180,16 @@ def tree_target_rank(tree: ConceptTree, queries: DataFrame, weights: list[float]
     return scored.select("qid", F.col("target_score").alias("true_score")).join(ranks, "qid")
 
 
+def tree_listwise_ce(tree: ConceptTree, queries: DataFrame, temperature: float = 1.0,
+                     weights: list[float] | None = None) -> DataFrame:
+    """queries(qid, qvec, target_id = leaf) -> (qid, loss): logsumexp of all leaves' path scores / T, less the target's."""
+    items = materialize(path_items(tree, weights), "path_items")
+    q = gauss_features(queries)
+    own = items.select(F.col("item_id").alias("target_id"), "coef", "const")
+    true = q.join(own, "target_id").select("qid", ((dot("qvec", "coef") + F.col("const")) / F.lit(temperature)).alias("t"))
+    return true.join(log_sum_exp_scores(q, items, temperature), "qid").select("qid", (F.col("lse") - F.col("t")).alias("loss"))
+
+
 def expand_members(found: DataFrame, tree: ConceptTree) -> DataFrame:
     """All documents of each leaf found; a crowded leaf is split over tasks by the adaptive join."""
     return found.join(tree.members, "leaf_id")
@@ -447,11 +458,16 @@ def label_log_prob(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeP
 def predict_label_probs(tree: ConceptTree, queries: DataFrame) -> DataFrame:
     """(qid, label, prob): over all nodes, exp(posterior score) times the node's label shares, normalised."""
     s = posterior_scores(tree, queries).select("qid", "node_id", "score")
-    shares = tree.nodes.select("node_id", F.posexplode(label_shares(F.col("lc"))).alias("label", "p"))
-    w = s.join(shares, "node_id").select("qid", "label", (F.col("score") + F.log("p")).alias("w"))
-    per_label = log_sum_exp(w, ["qid", "label"], "w", "l")
-    whole = log_sum_exp(per_label, ["qid"], "l", "z")
-    return per_label.join(whole, "qid").select("qid", "label", F.exp(F.col("l") - F.col("z")).alias("prob"))
+    n_labels = tree.nodes.agg(F.max(F.size("lc"))).first()[0] or 0
+    if not n_labels:
+        return s.select("qid", F.lit(0).alias("label"), F.lit(1.0).alias("prob")).limit(0)
+    w = s.withColumn("top", F.max("score").over(Window.partitionBy("qid"))).join(
+        tree.nodes.select("node_id", label_shares(F.col("lc")).alias("p")), "node_id")
+    # One sum per label and query, combined before the shuffle; rows are not multiplied by labels.
+    mass = F.exp(F.col("score") - F.col("top"))
+    sums = w.groupBy("qid").agg(F.array(*[F.sum(mass * F.get("p", F.lit(i))) for i in range(n_labels)]).alias("m"))
+    return sums.select("qid", total("m").alias("z"), F.posexplode("m").alias("label", "l")).select(
+        "qid", "label", (F.col("l") / F.col("z")).alias("prob"))
 
 
 def node_predict(tree: ConceptTree, sample_seed: str | None = None) -> DataFrame:

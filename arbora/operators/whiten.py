@@ -168,13 +168,14 @@ class LinearModel:
 
     def to_frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
-            [(self.kind, self.mean.tolist(), self.matrix.tolist(), float(self.eps))],
-            "kind string, mean array<double>, matrix array<array<double>>, eps double")
+            [(self.kind, self.mean.tolist(), self.matrix.tolist(), float(self.eps), bool(self.converged))],
+            "kind string, mean array<double>, matrix array<array<double>>, eps double, converged boolean")
 
     @staticmethod
     def from_frame(df: DataFrame) -> "LinearModel":
         row = df.first()
-        return LinearModel(row["kind"], np.array(row["mean"]), np.array([list(r) for r in row["matrix"]]), row["eps"])
+        return LinearModel(row["kind"], np.array(row["mean"]), np.array([list(r) for r in row["matrix"]]), row["eps"],
+                           row["converged"])
 
 
 def transform(model: LinearModel, df: DataFrame, vec: str = "vec") -> DataFrame:

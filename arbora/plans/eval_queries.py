@@ -12,7 +12,7 @@ from arbora.operators import topk as tk
 from arbora.operators import tree_query as tq
 from arbora.plans import benchmark as bm
 from arbora.plans import inputs as I
-from arbora.plans.registry import CENT, E, LISTS, ND, NV, PATHS, Q, lp, query, sql6, r6, with_
+from arbora.plans.registry import E, LISTS, ND, NV, PATHS, Q, lp, query, sql6, r6, with_
 from arbora.plans.source_queries import METRIC_SQL, metric_rows
 from arbora.session import materialize
 
@@ -109,15 +109,14 @@ def full_rank_positions(spark, sf):
     return tq.tree_target_rank(I.fixed_tree(spark, sf), q).select("qid", "rank", "n_items")
 
 
-@query("listwise_ce", with_(E, CENT, ND, NV, PATHS, lp("cent", False), _LEAF_SCORES, """
-    tg AS (SELECT label::BIGINT AS qid, 1000000 + min(vec_id) AS target_id FROM embeddings GROUP BY label)""") + f"""
+@query("listwise_ce", with_(E, Q, ND, NV, PATHS, lp("q", False), _LEAF_SCORES, """
+    tg AS (SELECT vec_id AS qid, 1000000 + vec_id AS target_id FROM embeddings)""") + f"""
     SELECT ps.qid, {sql6('ln(sum(exp(s / 0.5 - top))) + min(top) - min(CASE WHEN leaf_id = target_id THEN s / 0.5 END)', 'loss')}
     FROM ps JOIN tg USING (qid) JOIN (SELECT qid, max(s / 0.5) AS top FROM ps GROUP BY qid) USING (qid) GROUP BY ps.qid""")
 def listwise_ce(spark, sf):
-    """Label means as queries, the first row of the label as target, temperature one half."""
-    scores = tq.tree_rank_scores(I.fixed_tree(spark, sf), I.centroids(spark, sf)).withColumnRenamed("leaf_id", "item_id")
-    targets = I.vectors(spark, sf).groupBy(F.col("label").cast("bigint").alias("qid")).agg((F.min("doc_id") + 1000000).alias("target_id"))
-    return ev.listwise_ce(materialize(scores, "scores"), targets, 0.5).select("qid", r6("loss"))
+    """Every query, its own row as target, temperature one half."""
+    q = I.queries(spark, sf).select("qid", "qvec", (F.col("qid") + 1000000).alias("target_id"))
+    return tq.tree_listwise_ce(I.fixed_tree(spark, sf), q, 0.5).select("qid", r6("loss"))
 
 
 @query("method_diff", with_(E, LISTS, """

@@ -28,11 +28,6 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("qid"), F.transform("vec", lambda v: F.floor(v * 8) / F.lit(8.0)).alias("qvec"), "label")
 
 
-def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The mean vector of each label, as a handful of queries: (qid, qvec)."""
-    return moments(vectors(spark, sf_dir), ["label"]).select(F.col("label").cast("bigint").alias("qid"), F.col("mean").alias("qvec"))
-
-
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, text, vec): vectors with the text of the document of the same id, or a made-up name."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

@@ -64,9 +64,6 @@ PATHS = """
 paths AS (
   SELECT 1000000 + vec_id AS leaf_id, p.depth, p.node_id FROM embeddings, LATERAL (VALUES
     (0, 0::BIGINT), (1, 1 + label::BIGINT), (2, 100000 + 2 * label + vec_id % 2), (3, 1000000 + vec_id)) p(depth, node_id))"""
-# Label means as a handful of queries.
-CENT = """
-cent AS (SELECT label::BIGINT AS qid, d, avg(v) AS x FROM e GROUP BY label, d)"""
 # Log-likelihood of every query under every node.
 def lp(source: str, with_2pi: bool = True) -> str:  # noqa: E302
     constant = f" + {LN_2PI}" if with_2pi else ""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -158,12 +159,16 @@ def sink_sentences(spark, sf):
 
 
 @query("sink_model", with_(E) + f"""
-    SELECT d AS dim, {sql6('avg(v)', 'mean')} FROM e GROUP BY d""")
+    SELECT d AS dim, {sql6('avg(v)', 'mean')}, true AS same_matrix, false AS converged FROM e GROUP BY d""")
 def sink_model(spark, sf):
+    """A whitening model written and read again, as one of a fit that was stopped too early."""
     path = _scratch(spark, "model")
-    st.save_model(wh.zca_fit(I.vectors(spark, sf)), spark, path)
-    assert st.load_model(spark, path).matrix.shape[0] > 0
-    return V.dims(spark.read.parquet(path), "mean").select("dim", r6("value", "mean"))
+    model = replace(wh.zca_fit(I.vectors(spark, sf)), converged=False)
+    st.save_model(model, spark, path)
+    back = st.load_model(spark, path)
+    same = back.kind == model.kind and back.eps == model.eps and (back.matrix == model.matrix).all()
+    return V.dims(back.to_frame(spark), "mean").select(
+        "dim", r6("value", "mean"), F.lit(bool(same)).alias("same_matrix"), F.lit(back.converged).alias("converged"))
 
 
 _TREE_ROWS = """

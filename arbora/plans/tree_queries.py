@@ -16,7 +16,7 @@ from arbora.operators.restructure import improvable
 from arbora.operators.tree import ConceptTree
 from arbora.plans import inputs as I
 from arbora.plans.concept_queries import _ALL_OPS, _AT, _CHILD, _CT, _CU, _OPS, _TERMS, placed_rows
-from arbora.plans.registry import CENT, E, LN_2PI, ND, NV, PATHS, PV, Q, TOPO, kl, lp, query, r6, sql6, with_
+from arbora.plans.registry import E, LN_2PI, ND, NV, PATHS, PV, Q, TOPO, kl, lp, query, r6, sql6, with_
 from arbora.session import scratch_root
 from arbora.streaming.append import TreeStore
 
@@ -91,13 +91,13 @@ def _new_rows(spark, sf):
     return I.queries(spark, sf).select((F.col("qid") + 1000000).alias("doc_id"), F.col("qvec").alias("vec"))
 
 
-@query("tree_append", with_(E, Q, _GROWN) + _invariants_sql("rows_"))
+@query("tree_append", with_(E, Q, _GROWN) + _invariants_sql("rows_") + f" UNION ALL SELECT '{_SETTLED}', 0, 0.0::DOUBLE")
 def tree_append(spark, sf):
     tree = tb.build_tree(I.vectors(spark, sf).select("doc_id", "vec"))
-    return invariants(tb.append_rows(tree, _new_rows(spark, sf), "1"))
+    return settled(tb.append_rows(tree, _new_rows(spark, sf), "1"))
 
 
-@query("tree_append_stream", with_(E, Q, _GROWN) + _invariants_sql("rows_"))
+@query("tree_append_stream", with_(E, Q, _GROWN) + _invariants_sql("rows_") + f" UNION ALL SELECT '{_SETTLED}', 0, 0.0::DOUBLE")
 def tree_append_stream(spark, sf):
     """The same rows as two micro-batches of a file stream."""
     root = os.path.join(scratch_root(spark), f"stream-{uuid.uuid4().hex}")
@@ -107,7 +107,7 @@ def tree_append_stream(spark, sf):
     stream = spark.readStream.schema(v.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in/*")
     store = TreeStore(spark, f"{root}/tree")
     store.follow(stream, f"{root}/checkpoint").awaitTermination()
-    return invariants(store.load())
+    return settled(store.load())
 
 
 @query("tree_refit", with_(E, _ROWS) + _invariants_sql("rows_", 3).replace("('broken index rows', 0.0::DOUBLE)",
@@ -190,11 +190,11 @@ def path_index(spark, sf):
     return tq.path_index(I.fixed_tree(spark, sf))
 
 
-@query("tree_rank_scores", with_(E, CENT, ND, NV, PATHS, lp("cent", False), _PATH_SCORE.format(w="1")) + f"""
+@query("tree_rank_scores", with_(E, Q, ND, NV, PATHS, lp("q", False), _PATH_SCORE.format(w="1")) + f"""
     SELECT qid, leaf_id - 1000000 AS doc_id, {sql6('s', 'score')} FROM ps""")
 def tree_rank_scores(spark, sf):
-    """Scores of all leaves for the mean vector of each label."""
-    return _leaf_row(tq.tree_rank_scores(I.fixed_tree(spark, sf), I.centroids(spark, sf))).select("qid", "doc_id", r6("score"))
+    """Scores of all leaves for every query."""
+    return _leaf_row(tq.tree_rank_scores(I.fixed_tree(spark, sf), _q(spark, sf))).select("qid", "doc_id", r6("score"))
 
 
 @query("path_stats", with_(E, ND, NV, PATHS) + f"""
@@ -287,8 +287,10 @@ lp_ AS (SELECT node_id, y, c / sum(c) OVER (PARTITION BY node_id) AS p, c FROM l
 
 @query("label_counts", with_(E, ND, _LC) + f" SELECT node_id, y AS label, {sql6('c', 'count')}, {sql6('p', 'share')} FROM lp_")
 def label_counts(spark, sf):
-    nodes = I.fixed_tree(spark, sf, with_labels=True).nodes
-    shares = nodes.select("node_id", "lc", T.label_shares(F.col("lc")).alias("p"))
+    rows = I.vectors(spark, sf).join(ta.ancestors(I.fixed_tree(spark, sf)), "doc_id")
+    top = rows.agg(F.max("label")).first()[0]
+    shares = T.label_counts(rows, "node_id", "label", 0 if top is None else int(top) + 1).select(
+        "node_id", "lc", T.label_shares(F.col("lc")).alias("p"))
     return V.pick_dims(shares, ["lc", "p"], "node_id").select(
         "node_id", (F.col("dim") - 1).alias("label"), r6("lc", "count"), r6("p", "share"))
 
@@ -412,23 +414,23 @@ post AS (SELECT qid, node_id, lp AS score FROM lp WHERE node_id = 0 UNION ALL SE
          UNION ALL SELECT qid, node_id, ll + lp FROM r2 UNION ALL SELECT qid, node_id, ll + lp FROM r3)"""
 
 
-@query("bestfirst_posterior", with_(E, CENT, ND, NV, TOPO, PATHS, lp("cent"), _POST, """
+@query("bestfirst_posterior", with_(E, Q, ND, NV, TOPO, PATHS, lp("q"), _POST, """
     s AS (SELECT p.leaf_id, p.depth, post.qid, round(post.score, 9) AS s FROM paths p JOIN post USING (node_id) WHERE p.depth > 0),
     m AS (SELECT *, min(s) OVER (PARTITION BY qid, leaf_id ORDER BY depth ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM s),
     k AS (SELECT qid, leaf_id, list(s ORDER BY depth) AS key FROM m WHERE later IS NULL OR s < later GROUP BY qid, leaf_id)""") + f"""
     SELECT qid, leaf_id - 1000000 AS doc_id, row_number() OVER (PARTITION BY qid ORDER BY key DESC, leaf_id) AS rank
     FROM k QUALIFY rank <= {K}""")
 def bestfirst_posterior(spark, sf):
-    return _leaf_row(tq.bestfirst_posterior(I.stored_tree(spark, sf), I.centroids(spark, sf), K)).select("qid", "doc_id", "rank")
+    return _leaf_row(tq.bestfirst_posterior(I.stored_tree(spark, sf), _q(spark, sf), K)).select("qid", "doc_id", "rank")
 
 
-@query("predict_label_probs", with_(E, CENT, ND, NV, TOPO, lp("cent"), _POST, _LC, """
+@query("predict_label_probs", with_(E, Q, ND, NV, TOPO, lp("q"), _POST, _LC, """
     w AS (SELECT post.qid, l.y AS label, post.score + ln(l.p) AS w FROM post JOIN lp_ l USING (node_id)),
     x AS (SELECT qid, label, w, max(w) OVER (PARTITION BY qid) AS top FROM w)""") + f"""
     SELECT qid, label, {sql6('sum(exp(w - top)) / sum(sum(exp(w - top))) OVER (PARTITION BY qid)', 'prob')}
     FROM x GROUP BY qid, label""")
 def predict_label_probs(spark, sf):
-    out = tq.predict_label_probs(I.stored_tree(spark, sf, with_labels=True), I.centroids(spark, sf))
+    out = tq.predict_label_probs(I.stored_tree(spark, sf, with_labels=True), _q(spark, sf))
     return out.select("qid", F.col("label").cast("bigint").alias("label"), r6("prob"))
 
 

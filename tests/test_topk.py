@@ -115,10 +115,13 @@ def test_empty_queries(spark, data):
     assert tk.topk_dot(none, xf, 3).count() == 0
 
 
-def test_all_scores_refuses_many_queries(spark, data):
-    q = spark.range(5000).select(F.col("id").alias("qid"), F.array(F.lit(1.0)).alias("qvec"))
-    with pytest.raises(ValueError):
-        tk.all_scores(q, spark.createDataFrame([(1, [1.0])], "item_id bigint, coef array<double>"))
+def test_pair_scores_of_many_queries(spark):
+    """More queries than are ever broadcast: every pair still has its score."""
+    q = spark.range(5000).select(F.col("id").alias("qid"), F.array(F.col("id").cast("double")).alias("qvec"))
+    got = tk.pair_scores(q, spark.createDataFrame([(1, [1.0]), (2, [-2.0])], "item_id bigint, coef array<double>"))
+    row = got.agg(F.count("*").alias("n"), F.sum("score").alias("s"), F.count_distinct("qid").alias("q")).first()
+    assert (row["n"], row["s"], row["q"]) == (10_000, -sum(range(5000)), 5000)
+
 
 
 @pytest.mark.parametrize("n", [40, 5000])
@@ -142,3 +145,17 @@ def test_tree_operators_refuse_no_number_of_queries(spark):
     queries = spark.range(4200).select(F.col("id").alias("qid"), F.array(F.col("id") / 1000.0, F.lit(1.0)).alias("qvec"))
     assert tq.tree_rank_scores(tree, queries).count() == 4200 * 6
     assert tq.posterior_scores(tree, queries).count() == 4200 * tree.nodes.count()
+
+
+@pytest.mark.parametrize("ways", ["broadcast", "grid"])
+def test_log_sum_exp(spark, data, ways, monkeypatch):
+    q, x = data
+    monkeypatch.setattr(tk, "ITEM_BLOCK", 64)
+    monkeypatch.setattr(tk, "QUERY_BLOCK", 16)
+    items = frame(spark, list(range(300)), x * 40, "item_id", "coef")  # large enough to overflow a plain sum
+    got = {r["qid"]: r["lse"] for r in tk.log_sum_exp_scores(
+        frame(spark, list(range(40)), q, "qid", "qvec"), items, 0.5, **({"broadcast_bytes": 1} if ways == "grid" else {})).collect()}
+    s = q @ (x * 40).T / 0.5
+    top = s.max(axis=1)
+    want = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+    assert len(got) == 40 and all(got[i] == pytest.approx(want[i], rel=1e-12) for i in range(40))

@@ -2,6 +2,7 @@
 
 import heapq
 import math
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -15,7 +16,9 @@ from arbora.operators.restructure import improvable, restructure
 from arbora.operators.tree import TreeParams, partition_utility
 from arbora.operators.tree_build import append_rows, build_tree
 from arbora.plans import tree_queries
+from arbora.session import materialize
 from arbora.sources import storage as st
+from arbora.streaming import append
 from arbora.streaming.append import TreeStore
 
 
@@ -145,6 +148,7 @@ def test_append_in_batches(spark, built):
     x, tree = built
     more = np.concatenate([x[:20], clusters(60, seed=9), np.repeat(x[3:4] + 0.01, 50, axis=0) + np.arange(50)[:, None] * 1e-4])
     grown = append_rows(tree, vectors(spark, more, 1000), "1")
+    grown = replace(grown, nodes=materialize(grown.nodes), members=materialize(grown.members))
     check(grown, 150 + len(more))
     again = append_rows(grown, vectors(spark, clusters(30, seed=11), 5000), "2")
     check(again, 150 + len(more) + 30)
@@ -191,6 +195,26 @@ def test_store_skips_a_batch_seen_before(spark, tmp_path):
     check(store.load(), 40)
 
 
+def test_store_writes_what_a_batch_changes(spark, tmp_path, monkeypatch):
+    """Small batches leave deltas that read back as the whole tree; when these are worth it, a new base is written."""
+    monkeypatch.setattr(append, "COMPACT_SHARE", 2.0)
+    store = TreeStore(spark, str(tmp_path / "store"))
+    x = clusters(120, seed=12)
+    store.append(vectors(spark, x), 0)
+    store.append(vectors(spark, np.concatenate([x[:2], x[5:7] + 0.05]), 1000), 1)
+    log = store.log()
+    assert [r["kind"] for r in log] == ["base", "delta"] and log[1]["n_nodes"] < 0.5 * log[0]["n_nodes"]
+    tree = store.load()
+    check(tree, 124)
+    assert improvable(tree.nodes, tree.params).count() == 0
+    homes = {r["doc_id"]: r["leaf_id"] for r in tree.members.collect()}
+    assert homes[1000] == homes[0] and homes[1001] == homes[1]
+    monkeypatch.setattr(append, "COMPACT_SHARE", 0.0)
+    store.append(vectors(spark, x[40:42] - 0.04, 2000), 2)
+    assert store.log()[-1]["kind"] == "base"
+    check(store.load(), 126)
+
+
 def test_label_counts_survive_every_edit(spark):
     """Counts per label after each of the four operations, against plain addition."""
     from arbora.operators import tree as tr
