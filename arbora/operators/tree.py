@@ -220,6 +220,22 @@ def split_utilities(nodes: DataFrame, params: TreeParams = TreeParams()) -> Data
     )
 
 
+def best_or_new(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeParams()) -> DataFrame:
+    """Per row: best1, best1_is_leaf and the utilities of best and new alone, which is all a walk down needs."""
+    labelled = "lc" in nodes.columns
+    parent = nodes.where(~F.col("is_leaf")).select(
+        F.col("node_id").alias("at"), F.col("mean").alias("pm0"), F.col("m2").alias("ps0"), *([F.col("lc").alias("pl0")] if labelled else []))
+    j = best_children(rows, nodes, params).join(rows.drop("at"), "row_id").join(parent, "at")
+    j = j.withColumn("pm", G.insert_mean("x", "pm0", "pn")).withColumn(
+        "pv", params.var(G.insert_m2("x", "pm0", "ps0", "pn"), F.col("pn") + 1))
+    s_new = G.score(F.col("x"), G.prior_variance_like("x", params.prior_var), F.col("pm"), F.col("pv"), params.score)
+    if labelled:
+        blank = F.transform("pl0", lambda v: F.lit(params.alpha))
+        s_new = s_new + G.label_term(label_shares(add_label(blank, F.col("y"))), label_shares(add_label(F.col("pl0"), F.col("y"))), params.score)
+    return j.select("row_id", "at", "best1", "best1_is_leaf", "pu_best", (
+        (F.col("base") + F.lit(1.0) / (F.col("pn") + 1) * s_new) / (F.col("n_children") + 1)).alias("pu_new"))
+
+
 def operation_utilities(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeParams()) -> DataFrame:
     """Per row: best1, best2 and the utilities of best / new / merge / split (null where the operation is not allowed)."""
     labelled = "lc" in nodes.columns

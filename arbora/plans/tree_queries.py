@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -17,17 +18,23 @@ from arbora.operators.tree import ConceptTree
 from arbora.plans import inputs as I
 from arbora.plans.concept_queries import _ALL_OPS, _AT, _CHILD, _CT, _CU, _OPS, _TERMS, placed_rows
 from arbora.plans.registry import E, LN_2PI, ND, NV, PATHS, PV, Q, TOPO, kl, lp, query, r6, sql6, with_
-from arbora.session import scratch_root
+from arbora.session import materialize, scratch_root
 from arbora.streaming.append import TreeStore
 
 K = 10
 
 
+def _written(tree: ConceptTree) -> ConceptTree:
+    """The tree with its tables written out, as checks read them many times."""
+    return replace(tree, nodes=materialize(tree.nodes, "checked"), members=materialize(tree.members, "checked"))
+
+
 # ---- building: what must hold for any correct tree over the rows, plus the exact root --------------------------
 
 
 def invariants(tree: ConceptTree):
     """(fact, dim, value): exact root statistics, and counts of broken rules."""
+    tree = _written(tree)
     nodes = tree.nodes
     root = V.pick_dims(nodes.where("parent_id is null"), ["mean", "m2"], "count")
     kids = T.node_merge(nodes.where("parent_id is not null").select("parent_id", "count", "mean", "m2"), "parent_id")
@@ -73,6 +80,7 @@ _SETTLED = "parents that one merge or split would improve"
 
 def settled(tree: ConceptTree):
     """The facts of ``invariants``, and how many parents could still be improved."""
+    tree = _written(tree)
     left = improvable(tree.nodes, tree.params).agg(F.count("*").cast("double").alias("value"))
     return invariants(tree).unionByName(left.select(F.lit(_SETTLED).alias("fact"), F.lit(0).cast("bigint").alias("dim"), "value"))
 

@@ -199,20 +199,20 @@ def test_store_writes_what_a_batch_changes(spark, tmp_path, monkeypatch):
     """Small batches leave deltas that read back as the whole tree; when these are worth it, a new base is written."""
     monkeypatch.setattr(append, "COMPACT_SHARE", 2.0)
     store = TreeStore(spark, str(tmp_path / "store"))
-    x = clusters(120, seed=12)
+    x = clusters(60, d=3, seed=12)
     store.append(vectors(spark, x), 0)
     store.append(vectors(spark, np.concatenate([x[:2], x[5:7] + 0.05]), 1000), 1)
     log = store.log()
     assert [r["kind"] for r in log] == ["base", "delta"] and log[1]["n_nodes"] < 0.5 * log[0]["n_nodes"]
     tree = store.load()
-    check(tree, 124)
+    check(tree, 64)
     assert improvable(tree.nodes, tree.params).count() == 0
     homes = {r["doc_id"]: r["leaf_id"] for r in tree.members.collect()}
     assert homes[1000] == homes[0] and homes[1001] == homes[1]
     monkeypatch.setattr(append, "COMPACT_SHARE", 0.0)
     store.append(vectors(spark, x[40:42] - 0.04, 2000), 2)
     assert store.log()[-1]["kind"] == "base"
-    check(store.load(), 126)
+    check(store.load(), 66)
 
 
 def test_label_counts_survive_every_edit(spark):
