@@ -1,35 +1,61 @@
 from collections import defaultdict
 
+import pytest
+
 from arbora.llm.licenses import RULES, SENTENCES, scan_licenses
-from arbora.llm.unit_dedup import cut, drop_repeated_units, normalise, repeated_units
+from arbora.llm.unit_dedup import JOINTS, cut, drop_repeated_units, normalise, repeated_units
 from conftest import awkward_rows
 
 
-def test_repeated_lines_against_brute_force(awkward):
+@pytest.mark.parametrize("unit, least", [("sentence", 20), ("line", 1), ("line", 9)])
+def test_repeated_units_against_brute_force(awkward, unit, least):
     rows = sorted((r for r in awkward_rows() if r[0] is not None), key=lambda r: r[0])
     seen, gone = {}, defaultdict(set)
     for i, text, *_ in rows:
-        for p, (a, b) in enumerate(cut(text or "")):
+        run = []
+        for p, (a, b) in [*enumerate(cut(text or "", unit)), (None, (0, 0))]:
             plain = normalise((text or "")[a:b])
-            if len(plain.split(" ")) >= 8 and plain:
-                if seen.setdefault(plain, (i, p)) != (i, p):
-                    gone[i].add((a, b))
-    got = drop_repeated_units(awkward).collect()
-    assert len(got) == len(awkward_rows())
+            if plain and seen.setdefault(plain, (i, p)) != (i, p):
+                run.append((a, b, len(plain.split(" "))))
+            elif plain or p is None:
+                if sum(n for _, _, n in run) >= least:
+                    gone[i] |= {(a, b) for a, b, _ in run}
+                run = []
+    got = drop_repeated_units(awkward, unit, least).collect()
+    assert len(got) == len(awkward_rows()) and any(gone.values())
     texts = {r[0]: r[1] or "" for r in rows if r[0] != 10}
     for r in got:
         if r.doc_id in texts:
             spans = {tuple(map(int, s.split(":"))) for s in r.removed_spans.split(",") if s}
             assert spans == gone[r.doc_id] and r.n_removed == len(spans)
-            whole = cut(texts[r.doc_id])
-            assert r.text == "\n".join(texts[r.doc_id][a:b] for a, b in whole if (a, b) not in spans)
+            assert r.removed_words == sum(len(normalise(texts[r.doc_id][a:b]).split(" ")) for a, b in spans)
+            whole = cut(texts[r.doc_id], unit)
+            assert r.text == JOINTS[unit].join(texts[r.doc_id][a:b] for a, b in whole if (a, b) not in spans)
+
+
+def test_sentences_fill_the_text():
+    for text in ("One. Two!  Three?\nfour 3.5 e.g.x ... \n\n end", "", "\n", ".", " . ! ?", "a.b.c", "é\r\nü. x", "x" * 50_000 + ". y"):
+        spans = cut(text, "sentence")
+        assert "".join(text[a:b] for a, b in spans) == text
+    assert [t.strip() for t in (lambda t: [t[a:b] for a, b in cut(t, "sentence")])("It is 3.5 m. He said so!\nYes")] == [
+        "It is 3.5 m.", "He said so!", "Yes"]
+
+
+def test_a_passage_inside_lines(spark):
+    passage = "The first sentence of it has nine words here. And the second one is long enough, too. Then a third sentence ends the passage."
+    rows = [(1, "Own words stand before. " + passage + " More of the first text."), (2, "Quite another opening. " + passage + " Another end."),
+            (3, "And the second one is long enough, too. Alone it may stay."), (4, passage.upper())]
+    got = {r.doc_id: r for r in drop_repeated_units(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1].n_removed == 0 and got[3].text == rows[2][1]
+    assert got[2].text == "Quite another opening. Another end." and got[2].n_removed == 3
+    assert got[4].text == "" and got[4].removed_words == 24
 
 
 def test_paragraphs(spark):
     one = "first paragraph with quite a few words in it\nand a second line"
     rows = [(1, f"{one}\n\nother"), (2, f"short\n \n{one.upper()}\n\n\nend"), (3, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in drop_repeated_units(docs, "paragraph").collect()}
+    got = {r.doc_id: r for r in drop_repeated_units(docs, "paragraph", 8).collect()}
     assert got[1].n_removed == 0 and got[2].text == "short\n\nend" and got[3].text == ""
     a, b = map(int, got[2].removed_spans.split(":"))
     assert rows[1][1][a:b] == one.upper()
