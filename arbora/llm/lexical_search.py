@@ -36,7 +36,7 @@ LEVELS = (1, 2, 4, 8)
 CELLS = 1 << 22
 MAX_DOCS = 4096
 #: Distinct terms after which a task writes a piece of the dictionary.
-DICTIONARY = 1 << 20
+DICTIONARY = 1 << 19
 #: One block in so many is searched first.
 SEED_SHARE = 16
 #: Queries are answered in blocks of so many items, or terms if they are long.
