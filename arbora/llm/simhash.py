@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from arbora.llm.common import SPACES, narrow, pieces, register, table
 from arbora.llm.components import connected_components
 from arbora.operators.skew import hot_split_join
-from arbora.session import materialize
+from arbora.session import materialize, spread
 
 SEED = 42
 WIDTH = 4
@@ -246,7 +246,7 @@ def fingerprint_links(prints: DataFrame, distance: int = DISTANCE, share: int =
     A spanning forest per anchor, not all pairs: two linked fingerprints are always connected, maybe through others.
     ``share`` only changes the work.
     """
-    copies = prints.repartition("fp").mapInArrow(*_replicas(distance // 2))
+    copies = spread(prints, "fp").mapInArrow(*_replicas(distance // 2))
     crowd = materialize(copies.groupBy("anchor").agg(F.count("*").alias("rows")).where(F.col("rows") > share).select(
         "anchor", F.ceil(F.col("rows") / share).cast("int").alias("cuts")), "crowded")
     crowded = crowd.count()
