@@ -41,6 +41,8 @@ SKETCH_BITS = 24
 #: Members of a frequent shingle's part that one task of the first round takes.
 CHUNK = 20_000
 SLICE = 1 << 16
+#: Tasks whose counters meet in the first of two rounds.
+MEET_TASKS = 64
 #: A side of a join is sent to all tasks up to so many narrow rows.
 FEW = 1_000_000
 
@@ -76,38 +78,57 @@ def _sketch(width: int, bits: int):
         for at in range(0, len(total), SLICE):
             part = total[at : at + SLICE]
             if part.any():
-                yield pa.record_batch([pa.array([at]), pa.array([zlib.compress(part.astype("<i8").tobytes(), 1)], pa.binary())],
-                                      names=["at", "counts"])
+                yield _slice_batch(at, 0, part)
 
-    return run, "at long, counts binary"
+    return run, SLICES
 
 
-def _slice(packed: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(packed), "<i8")
+SLICES = "at long, salt long, counts binary"
+
+
+def _slice_batch(at: int, salt: int, part: np.ndarray) -> pa.RecordBatch:
+    """One slice of counters in the narrowest integers that hold them; their width is the first byte."""
+    narrow_part = part.astype(np.min_scalar_type(int(part.max())))
+    packed = bytes([narrow_part.itemsize]) + zlib.compress(narrow_part.tobytes(), 1)
+    return pa.record_batch([pa.array([at], pa.int64()), pa.array([salt], pa.int64()), pa.array([packed], pa.binary())],
+                           names=["at", "salt", "counts"])
 
 
-def _sum_slices(pdf):
-    import pandas as pd
+def _slice(packed: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed[1:]), f"<u{packed[0]}")
+
 
-    total = np.zeros(SLICE, np.int64)
-    for packed in pdf["counts"]:
-        part = _slice(packed)
-        total[: len(part)] += part
-    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [zlib.compress(total.astype("<i8").tobytes(), 1)]})
+def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the slices of each (at, salt) of a sorted partition, holding one slice at a time."""
+    key, total = None, np.zeros(0, np.int64)
+    for batch in batches:
+        for row in batch.to_pylist():
+            part = _slice(row["counts"])
+            if (row["at"], row["salt"]) != key:
+                if key:
+                    yield _slice_batch(*key, total)
+                key, total = (row["at"], row["salt"]), np.zeros(len(part), np.int64)
+            total += part
+    if key:
+        yield _slice_batch(*key, total)
 
 
 def shingle_frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     """Counters, 2 ** bits of them, over the shingles of all (id, text): how often each counter's shingles occur.
 
-    Partial arrays meet by slice in two rounds, so no task sums more than a bounded number of them at a time.
+    A task's counters leave it in about a byte per shingle or less, whatever their number. They meet by slice in two
+    rounds; a task adds one slice after the other and holds only their sum.
     """
     run, kind = _sketch(width, bits)
-    parts = docs.mapInArrow(run, kind)
-    spread = parts.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(16)))
-    once = spread.groupBy("at", "salt").applyInPandas(_sum_slices, kind)
+    # Neighbouring tasks meet first, so what the first round leaves is one slice of each MEET_TASKS.
+    salt = F.floor(F.spark_partition_id() / F.lit(MEET_TASKS)).cast("long")
+    parts = docs.mapInArrow(run, kind).withColumn("salt", salt)
+    for salted in (F.col("salt"), F.lit(0).cast("long")):
+        parts = parts.withColumn("salt", salted).repartition("at", "salt").sortWithinPartitions("at", "salt")
+        parts = parts.mapInArrow(_sum_slices, SLICES)
     out = np.zeros(1 << bits, np.int64)
-    for row in once.groupBy("at").applyInPandas(_sum_slices, kind).collect():
-        out[row["at"] : row["at"] + SLICE] = _slice(row["counts"])[: len(out) - row["at"]]
+    for row in parts.collect():
+        out[row["at"] : row["at"] + SLICE] = _slice(row["counts"])
     return out
 
 
@@ -284,7 +305,7 @@ def _tree_pairs(num: int, den: int):
         for t, offsets in _groups(batches, ["token"]):
             for start, stop in zip(offsets[:-1], offsets[1:]):
                 ids, n, comp = (t.column(c).to_numpy()[start:stop] for c in ("id", "n", "comp"))
-                points = t.column("point").slice(start, stop - start).to_pylist()
+                points = unpack_points(t.column("point").slice(start, stop - start).to_pylist())
                 home = 0
                 while home < len(n):
                     last = int(np.searchsorted(n, 2 * n[home]))
@@ -330,16 +351,27 @@ def read_points(points: list[bytes], groups: int) -> np.ndarray:
     return out
 
 
+def pack_point(point: bytes) -> bytes:
+    """A long point in about two bits a count: pairs carry the points of both ends through a shuffle."""
+    coder = zlib.compressobj(1, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(point) + coder.flush()
+
+
+def unpack_points(packed: list[bytes]) -> list[bytes]:
+    return [zlib.decompress(p, -15) for p in packed]
+
+
 def groups_for(n: int, per_group: float) -> int:
     return 1 << max(3, math.ceil(math.log2(max(1.0, n / per_group))))
 
 
 def _points(width: int, per_group: float | None):
-    """Count vectors: GROUPS groups, or a power of two for about ``per_group`` shingles in each."""
+    """Count vectors: GROUPS groups, or (packed) a power of two for about ``per_group`` shingles in each."""
 
     def run(batches):
         for ids, sets in _each_set(batches, width):
-            rows = [count_point(s, groups_for(len(s), per_group) if per_group else GROUPS) for s in sets]
+            rows = [pack_point(count_point(s, groups_for(len(s), per_group))) if per_group else count_point(s, GROUPS)
+                    for s in sets]
             yield pa.record_batch([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(rows, pa.binary())],
                                   names=["id", "n", "point"])
 
@@ -352,6 +384,7 @@ def _bound(num: int, den: int):
             ok = []
             for x, y, total in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(),
                                    batch.column("total").to_pylist()):
+                x, y = unpack_points([x, y])
                 both = read_points([x, y], min(len(x), len(y)))
                 ok.append(admitted(int(both.min(0).sum(dtype=np.int64)), total, num, den))
             yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
