@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from arbora.functions.vec import doubles
+from arbora.operators.skew import ROWS_PER_RANGE, prefix_sums
 from arbora.operators.topk import matrix
 from arbora.session import materialize
 
@@ -129,31 +130,28 @@ def corr_top_pairs(corr: DataFrame, k: int = 10) -> DataFrame:
     return corr.where("i < j").orderBy(F.abs("corr").desc(), "i", "j").limit(k)
 
 
-def permute_columns(vectors: DataFrame, id_col: str = "doc_id", vec: str = "vec", seed: str = "0") -> DataFrame:
-    """Shuffle every dimension on its own over the rows: (doc_id, vec).
+def permute_columns(vectors: DataFrame, id_col: str = "doc_id", vec: str = "vec", seed: str = "0",
+                    share_rows: int = ROWS_PER_RANGE) -> DataFrame:
+    """Shuffle every dimension on its own over all rows: (doc_id, vec). Ids must be unique integers.
 
-    A rank per dimension over all rows would put a whole dimension into one task. Rows are cut by a hash into
-    blocks of bounded expected size instead; within a block every dimension is permuted by its own hash order,
-    and a second round over other blocks mixes across them.
+    The n-th id takes, in dimension d, the value that comes n-th in the order of md5(seed|id|d). The hash is uniform,
+    so equal shares of its range hold about equally many cells: a cell's place is its place in its share plus the
+    cells in the shares before, and no dimension is ever in one task.
     """
-    n = vectors.count()
-    blocks = max(1, n // 4096)
-    out = vectors.select(F.col(id_col).alias("doc_id"), doubles(vec).alias("vec"))
-    for turn in range(1 if blocks == 1 else 2):
-        place = F.md5(F.concat_ws("|", F.lit(f"{seed}.{turn}"), F.col("doc_id").cast("string")))
-        block = F.pmod(F.xxhash64(place), F.lit(blocks))
-        cells = out.select("doc_id", block.alias("b"), F.posexplode("vec").alias("d", "value"))
-        key = F.md5(F.concat_ws("|", F.lit(f"{seed}.{turn}"), F.col("doc_id").cast("string"), F.col("d").cast("string")))
-        by_hash = Window.partitionBy("b", "d").orderBy(key, "doc_id")
-        by_id = Window.partitionBy("b", "d").orderBy("doc_id")
-        target = cells.select("b", "d", "doc_id", F.row_number().over(by_id).alias("r"))
-        source = cells.select("b", "d", "value", F.row_number().over(by_hash).alias("r"))
-        out = (
-            target.join(source, ["b", "d", "r"])
-            .groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("d", "value"))).alias("z"))
-            .select("doc_id", F.transform("z", lambda z: z["value"]).alias("vec"))
-        )
-    return out
+    shares = max(1, vectors.count() // share_rows)
+    cells = vectors.select(F.col(id_col).cast("bigint").alias("doc_id"), F.posexplode(doubles(vec)).alias("d", "value"))
+    mark = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id").cast("string"), F.col("d").cast("string")))
+    hashed = F.conv(F.substring(mark, 1, 15), 16, 10).cast("bigint")
+    cells = cells.withColumn("h", hashed).withColumn("b", F.floor(F.col("h") / F.lit(2.0**60) * F.lit(shares)))
+    before = Window.partitionBy("d").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = cells.groupBy("d", "b").agg(F.count("*").alias("n")).select(
+        "d", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
+    inside = Window.partitionBy("d", "b").orderBy("h", "doc_id")
+    placed = cells.join(starts, ["d", "b"]).select(
+        "d", "value", (F.col("at") + F.row_number().over(inside) - F.lit(1)).alias("place"))
+    rows = placed.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("d", "value"))).alias("z"))
+    ids = prefix_sums(vectors.select(F.col(id_col).cast("bigint").alias("doc_id"), F.lit(1).alias("one")), "doc_id", {"place": "one"})
+    return ids.join(rows, "place").select("doc_id", F.transform("z", lambda z: z["value"]).alias("vec"))
 
 
 @dataclass(frozen=True)

@@ -170,14 +170,15 @@ def corr_top_pairs(spark, sf):
     return wh.corr_top_pairs(wh.corr_matrix(I.vectors(spark, sf)), 10).select("i", "j", r6("corr"))
 
 
-@query("permute_columns", with_(E) + f"""
-    SELECT d AS dim, {sql6('v', 'value')}, row_number() OVER (PARTITION BY d ORDER BY v) AS place FROM e""")
+@query("permute_columns", with_(E, """
+    src AS (
+      SELECT d, v, row_number() OVER (
+        PARTITION BY d ORDER BY substr(md5('0|' || vec_id || '|' || (d - 1)), 1, 15), vec_id) AS place FROM e),
+    ids AS (SELECT vec_id AS doc_id, row_number() OVER (ORDER BY vec_id) AS place FROM embeddings)""") + f"""
+    SELECT doc_id, d AS dim, {sql6('v', 'value')} FROM src JOIN ids USING (place)""")
 def permute_columns(spark, sf):
-    """Every dimension keeps its values: compared as sorted columns."""
-    from pyspark.sql import Window
-
-    p = V.dims(wh.permute_columns(I.vectors(spark, sf)), "vec")
-    return p.select("dim", r6("value"), F.row_number().over(Window.partitionBy("dim").orderBy("value")).cast("bigint").alias("place"))
+    """Cell by cell: in every dimension the n-th id has the value that is n-th in hash order."""
+    return V.dims(wh.permute_columns(I.vectors(spark, sf)), "vec", "doc_id").select("doc_id", "dim", r6("value"))
 
 
 # ---- top-k ----------------------------------------------------------------------------------------------
