@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from typing import Callable
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions.vec import l2_normalize
 
 Encoder = Callable[[DataFrame], DataFrame]
 _ENCODERS: dict[str, Encoder] = {}
-
+#: Words are told apart by as many numbers.
+TERMS = 1 << 18
 
 
 def register_encoder(name: str, encoder: Encoder) -> None:
@@ -33,21 +36,50 @@ def encode_dual(queries: DataFrame, passages: DataFrame, query_encoder: str, pas
     return encode(queries, query_encoder), encode(passages, passage_encoder)
 
 
-def hashing_encoder(dim: int = 256) -> Encoder:
-    """Feature hashing of lower-cased words over the whole text, counts damped by a logarithm, unit length.
+def _terms(text) -> Column:
+    """Lower-cased words of the whole text as term numbers below TERMS; a null text has none."""
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.transform(words, lambda w: (
+        F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("bigint") % F.lit(TERMS)).cast("int"))
+
 
-    Runs in the JVM with built-in functions only; a text's words become counts per bucket inside its own row, so
-    there is no shuffle and no vocabulary.
+def term_idf(corpus: DataFrame) -> np.ndarray:
+    """ln((1 + rows) / (1 + rows with the term)) + 1 of every term over corpus(text).
+
+    One aggregation, combined before its shuffle; at most TERMS numbers come to the driver, whatever the corpus.
     """
+    n = corpus.count()
+    held = np.zeros(TERMS)
+    counts = corpus.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("t")).groupBy("t").count().toPandas()
+    held[counts["t"].to_numpy()] = counts["count"].to_numpy()
+    return np.log((1.0 + n) / (1.0 + held)) + 1.0
 
-    def apply(docs: DataFrame) -> DataFrame:
-        from pyspark.ml.feature import HashingTF, RegexTokenizer
-        from pyspark.ml.functions import vector_to_array
 
-        words = RegexTokenizer(inputCol="text", outputCol="_w", pattern=r"[^\p{L}\p{N}]+").transform(docs)
-        counted = HashingTF(inputCol="_w", outputCol="_tf", numFeatures=dim).transform(words)
-        damped = F.transform(vector_to_array("_tf"), lambda c: F.log(c + F.lit(1.0)))
-        return counted.withColumn("vec", l2_normalize(damped)).drop("_w", "_tf")
+def hashing_encoder(dim: int = 256, idf: np.ndarray | None = None) -> Encoder:
+    """Signed feature hashing of the words of whole texts, unit length: term t adds ± ln(1 + its count) times its
+    ``idf`` (from ``term_idf``; 1 without) to bucket t mod dim, the sign being that of (t div dim) mod 2.
+
+    Words become numbers in the JVM, counts and sums are array operations over a batch of rows: no shuffle, and the
+    weights are a table of fixed size. A text without words is the zero vector.
+    """
+
+    def apply(docs: DataFrame) -> DataFrame:
+        weights = docs.sparkSession.sparkContext.broadcast(idf) if idf is not None else None
+
+        @F.pandas_udf("array<double>")
+        def buckets(terms: pd.Series) -> pd.Series:
+            out = []
+            for start in range(0, len(terms), 256):
+                part = [np.asarray(t, np.int64) for t in terms.iloc[start : start + 256]]
+                owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
+                key, count = np.unique(owner * TERMS + np.concatenate(part), return_counts=True)
+                row, term = key // TERMS, key % TERMS
+                value = np.log1p(count) * (weights.value[term] if weights is not None else 1.0)
+                value = np.where(term // dim % 2 == 0, value, -value)
+                out += list(np.bincount(row * dim + term % dim, value, len(part) * dim).reshape(len(part), dim))
+            return pd.Series(out)
+
+        return docs.withColumn("vec", l2_normalize(buckets(_terms(F.col("text")))))
 
     return apply
 

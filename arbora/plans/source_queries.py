@@ -265,17 +265,50 @@ def src_experiment_grid(spark, sf):
 # ---- encoding --------------------------------------------------------------------------------------------
 
 
-@query("encode")
-def encode(spark, sf):
-    out = enc.encode(I.table(spark, sf, "documents"))
-    return out.select("doc_id", F.size("vec").alias("dims"), r6(V.norm("vec"), "norm"))
+def _term_sql(name: str, key: str) -> str:
+    return f"""
+    {name}_tf AS (
+      SELECT {key} AS id, term, ln(1 + count(*)) AS damped, CASE WHEN term // 256 % 2 = 0 THEN 1 ELSE -1 END AS sign FROM (
+        SELECT {key}, ('0x' || substr(md5(w), 1, 8))::BIGINT % 262144 AS term FROM (
+          SELECT {key}, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM {name}) WHERE w <> '')
+      GROUP BY ALL)"""
+
+
+def _unit_sql(out: str, weight: str, source: str) -> str:
+    """Unit vectors in long form, buckets without a term left out."""
+    return f"""
+    {out} AS (
+      SELECT id, d, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM (
+        SELECT id, 1 + term % 256 AS d, sum(sign * {weight}) AS x FROM {source} GROUP BY ALL))"""
 
 
-@query("encode_dual")
+_ENCODED = (_term_sql("documents", "doc_id"), """
+    idf AS (
+      SELECT term, ln((1 + (SELECT count(*) FROM documents)) / (1 + count(*))) + 1 AS idf FROM documents_tf GROUP BY term)""",
+    _unit_sql("dv", "damped * idf", "documents_tf JOIN idf USING (term)"))
+
+
+@query("encode", with_(*_ENCODED) + f"""
+    SELECT c.doc_id, c.dim, {sql6("coalesce(x, 0)", 'value')}
+    FROM (SELECT doc_id, unnest(range(1, 257)) AS dim FROM documents) c LEFT JOIN dv ON c.doc_id = dv.id AND c.dim = dv.d""")
+def encode(spark, sf):
+    """Every document as signed word hashes weighted by document frequencies of the whole table."""
+    docs = I.table(spark, sf, "documents")
+    enc.register_encoder("hashing_idf", enc.hashing_encoder(idf=enc.term_idf(docs)))
+    return V.dims(enc.encode(docs, "hashing_idf"), "vec", "doc_id").select("doc_id", "dim", r6("value"))
+
+
+@query("encode_dual", with_(*_ENCODED, _term_sql("benchmark", "item_id"), _unit_sql("qv", "damped", "benchmark_tf"), """
+    p AS (
+      SELECT item_id AS qid, doc_id, coalesce(s, 0) AS s FROM benchmark, documents LEFT JOIN (
+        SELECT qv.id AS a, dv.id AS b, sum(qv.x * dv.x) AS s FROM qv JOIN dv USING (d) GROUP BY ALL) ON a = item_id AND b = doc_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(s, 9) DESC, doc_id) AS rank FROM p QUALIFY rank <= 5)""") + f"""
+    SELECT qid, doc_id, {sql6("s", "score")}, rank FROM r""")
 def encode_dual(spark, sf):
-    """Benchmark passages as queries against all documents, each side with its own encoder."""
-    enc.register_encoder("hashing_query", enc.hashing_encoder())
-    q, p = enc.encode_dual(I.table(spark, sf, "benchmark"), I.table(spark, sf, "documents"), "hashing_query", "hashing")
+    """Benchmark passages by plain word hashes as queries against all documents by weighted ones."""
+    docs = I.table(spark, sf, "documents")
+    enc.register_encoder("hashing_idf", enc.hashing_encoder(idf=enc.term_idf(docs)))
+    q, p = enc.encode_dual(I.table(spark, sf, "benchmark"), docs, "hashing", "hashing_idf")
     found = topk_dot(q.select(F.col("item_id").alias("qid"), F.col("vec").alias("qvec")), p.select("doc_id", "vec"), 5)
     return found.select("qid", "doc_id", r6("score"), "rank")
 

@@ -1,5 +1,7 @@
 """Sources, reports, encoders and the session."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +94,18 @@ def test_encoders(spark):
     assert enc.encode(docs, prefix="query: ").where("doc_id = 1").first()["vec"] != out[1]["vec"]
     with pytest.raises(ValueError):
         enc.encode(docs, "no such encoder")
+    assert not any(out[3]["vec"]) and sum(v * v for v in out[1]["vec"]) == pytest.approx(1)
+    assert min(out[1]["vec"] + out[4]["vec"]) < 0 < max(out[1]["vec"] + out[4]["vec"])
+
+
+def test_document_frequencies_weigh_words(spark):
+    """A word that every text holds counts less than one that a single text holds."""
+    docs = spark.createDataFrame([(i, f"common rare{i}") for i in range(20)] + [(20, None)], "doc_id bigint, text string")
+    idf = enc.term_idf(docs)
+    enc.register_encoder("weighted", enc.hashing_encoder(dim=1 << 18, idf=idf))
+    vec = enc.encode(docs, "weighted").where("doc_id = 1").first()["vec"]
+    low, high = sorted(abs(v) for v in vec if v)
+    assert high / low == pytest.approx((math.log(22 / 2) + 1) / (math.log(22 / 21) + 1))
 
 
 def test_unmasked_mean(spark):
