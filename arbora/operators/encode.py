@@ -15,6 +15,8 @@ Encoder = Callable[[DataFrame], DataFrame]
 _ENCODERS: dict[str, Encoder] = {}
 #: Words are told apart by as many numbers.
 TERMS = 1 << 18
+#: Token states of up to so many numbers are summed as plain columns.
+COLUMNS = 64
 
 
 def register_encoder(name: str, encoder: Encoder) -> None:
@@ -93,11 +95,23 @@ def pool_cls(tokens: DataFrame) -> DataFrame:
 
 
 def pool_mean(tokens: DataFrame, use_mask: bool = True) -> DataFrame:
-    """Masked mean of the token states: sum(h * mask) / max(sum(mask), 1e-9). Sums combine before the shuffle."""
+    """Masked mean of the token states: sum(h * mask) / max(sum(mask), 1e-9). Sums combine before the shuffle.
+
+    Short states are summed as columns, long ones as vectors; states must have one length, else the query fails.
+    """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     w = F.col("mask").cast("double") if use_mask else F.lit(1.0)
+    some = tokens.select(F.size("hidden").alias("n")).first()
+    width = some["n"] if some else 0
+    if 0 < width <= COLUMNS:
+        cells = [F.sum(F.col("hidden")[i].cast("double") * F.col("w")).alias(f"s{i}") for i in range(width)]
+        sums = tokens.select("doc_id", w.alias("w"), "hidden").groupBy("doc_id").agg(
+            *cells, F.max(F.size("hidden")).alias("n"), F.greatest(F.sum("w"), F.lit(1e-9)).alias("w"))
+        means = F.array(*[F.col(f"s{i}") / F.col("w") for i in range(width)])
+        return sums.select("doc_id", F.when(F.col("n") == width, means).otherwise(
+            F.raise_error(F.lit("token states differ in length")).cast("array<double>")).alias("vec"))
     weighed = tokens.select("doc_id", w.alias("w"), array_to_vector(
         F.transform("hidden", lambda h: h.cast("double") * w)).alias("h"))
     # One shuffle of one vector per task and document.

@@ -1,6 +1,7 @@
 """Sources, reports, encoders and the session."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -98,6 +99,21 @@ def test_encoders(spark):
     assert min(out[1]["vec"] + out[4]["vec"]) < 0 < max(out[1]["vec"] + out[4]["vec"])
 
 
+@pytest.mark.parametrize("width", [3, 100])
+def test_mean_pooling_by_either_way(spark, width):
+    rng = random.Random(width)
+    rows = [(i % 7, rng.randint(0, 1), [rng.random() for _ in range(width)]) for i in range(60)] + [(9, 0, [1.0] * width)]
+    got = {r["doc_id"]: r["vec"] for r in enc.pool_mean(spark.createDataFrame(
+        rows, "doc_id bigint, mask int, hidden array<double>")).collect()}
+    assert set(got) == {*range(7), 9} and got[9] == [0.0] * width
+    for i in range(7):
+        used = [h for d, m, h in rows if d == i and m]
+        assert got[i] == pytest.approx([sum(c) / len(used) for c in zip(*used)])
+    uneven = spark.createDataFrame(rows + [(1, 1, [0.0] * (width + 1))], "doc_id bigint, mask int, hidden array<double>")
+    with pytest.raises(Exception):
+        enc.pool_mean(uneven.coalesce(1)).collect()
+
+
 def test_document_frequencies_weigh_words(spark):
     """A word that every text holds counts less than one that a single text holds."""
     docs = spark.createDataFrame([(i, f"common rare{i}") for i in range(20)] + [(20, None)], "doc_id bigint, text string")
