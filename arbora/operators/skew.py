@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # A key is hot from this share of all rows on, so there are never more than 1 / HOT_SHARE hot keys
 # and the hot side of a split join has a proven bound.
@@ -11,6 +12,8 @@ HOT_SHARE = 0.001
 # Ranges of a running sum: about so many rows each, as long as their totals stay a small table.
 ROWS_PER_RANGE = 50_000
 MAX_RANGES = 8192
+# Rows of a hot key that meet their partners in one place.
+ROWS_PER_PART = 1024
 
 
 def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str, total: int,
@@ -31,6 +34,41 @@ def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str
     return hot_rows.unionByName(cold_rows)
 
 
+def hot_parts(rows: DataFrame, keys: list[str]) -> list[tuple]:
+    """(…keys, parts): into how many parts of about ``ROWS_PER_PART`` rows to cut the keys that own a large share of ``rows``.
+
+    At most 1 / HOT_SHARE keys come to the driver, and none while no key has more rows than one part.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    for key in keys:
+        sizes = sizes.where(F.col(key).isNotNull())
+    whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    large = sizes.where(F.col("_n") > ROWS_PER_PART)  # there are few of them, hence the single partition
+    hot = large.withColumn("_all", F.sum("_n").over(whole)).where(F.col("_n") >= F.col("_all") * HOT_SHARE)
+    return [(*r[:-1], -(-r[-1] // ROWS_PER_PART)) for r in hot.select(*keys, "_n").collect()]
+
+
+def parted_join(rows: DataFrame, other: DataFrame, keys: list[str], parts: list[tuple], by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``other`` on ``keys``, however many rows a key has.
+
+    The rows of the keys in ``parts`` (see ``hot_parts``) are dealt over that many parts by a hash of ``by``, and their
+    partners in ``other`` are repeated once per part. Null keys, which meet nothing, are dealt evenly too.
+    """
+    if not parts:
+        return rows.join(other, keys, how)
+    spark = rows.sparkSession
+    hot = F.broadcast(spark.createDataFrame(parts, T.StructType([
+        *(T.StructField(k, rows.schema[k].dataType) for k in keys), T.StructField("_parts", T.LongType())])))
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    n = F.when(known, F.coalesce("_parts", F.lit(1))).otherwise(F.lit(1 / HOT_SHARE).cast("long"))
+    dealt = rows.join(hot, keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), n)).drop("_parts")
+    repeated = other.join(hot, keys, "left").withColumn(
+        "_part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(repeated, [*keys, "_part"], how).drop("_part")
+
+
 def prefix_sums(df: DataFrame, order: str, sums: dict[str, str], keys: list[str] | None = None,
                 buckets: int | None = None) -> DataFrame:
     """Add, per entry, the running sum of ``sums[name]`` over all rows before this one in ``order`` (unique bigint),

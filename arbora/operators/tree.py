@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 
 from arbora.functions import gauss as G
 from arbora.functions.vec import let, merge_moments, moments, total, zeros_like
+from arbora.operators.skew import hot_parts, parted_join
 from arbora.operators.topk import SCORE_DECIMALS
-from arbora.session import spread
+from arbora.session import materialize, spread
 
 LABEL_ALPHA = 1e-8  # fixed value: smoothing of label counts
 # In the order that decides between equal utilities.
@@ -132,14 +133,15 @@ def partition_utility(nodes: DataFrame, params: TreeParams = TreeParams()) -> Da
 # ---- the four operations ---------------------------------------------------------------------------------
 
 
-def _child_terms(rows: DataFrame, nodes: DataFrame, params: TreeParams) -> DataFrame:
+def _child_terms(rows: DataFrame, nodes: DataFrame, params: TreeParams, parts: list[tuple] | None = None) -> DataFrame:
     """rows(row_id, at, x[, y]) x children of ``at``: the share-weighted score of each child without (a) and with
-    (b) the row, both against the parent that already holds the row."""
+    (b) the row, both against the parent that already holds the row. Many rows may be at one node (``parts``, if known)."""
+    parts = hot_parts(rows, ["at"]) if parts is None else parts
     labelled = "lc" in nodes.columns
     parent = nodes.where(~F.col("is_leaf")).select(
         F.col("node_id").alias("at"), F.col("count").alias("pn"), F.col("mean").alias("pm0"), F.col("m2").alias("ps0"),
         *([F.col("lc").alias("pl0")] if labelled else []))
-    r = spread(rows, "row_id").join(parent, "at").select(
+    r = parted_join(spread(rows, "row_id"), parent, ["at"], parts, "row_id").select(
         *rows.columns, "pn", G.insert_mean("x", "pm0", "pn").alias("pm"),
         params.var(G.insert_m2("x", "pm0", "ps0", "pn"), F.col("pn") + 1).alias("pv"),
         *([label_shares(add_label(F.col("pl0"), F.col("y"))).alias("pl")] if labelled else []))
@@ -148,7 +150,7 @@ def _child_terms(rows: DataFrame, nodes: DataFrame, params: TreeParams) -> DataF
         F.col("count").alias("cn"),
         F.col("mean").alias("cm"), F.col("m2").alias("cs"), params.var("m2", "count").alias("cv"),
         *([F.col("lc").alias("cl")] if labelled else []))
-    t = r.join(child, "at")
+    t = parted_join(r, child, ["at"], parts, "row_id")
     t = t.withColumn("im", G.insert_mean("x", "cm", "cn")).withColumn(
         "iv", params.var(G.insert_m2("x", "cm", "cs", "cn"), F.col("cn") + 1))
     plain, with_row = G.score("cm", "cv", "pm", "pv", params.score), G.score("im", "iv", "pm", "pv", params.score)
@@ -162,12 +164,13 @@ def _child_terms(rows: DataFrame, nodes: DataFrame, params: TreeParams) -> DataF
     return out.withColumn("gain", F.col("b") - F.col("a"))
 
 
-def best_children(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeParams()) -> DataFrame:
+def best_children(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeParams(),
+                  parts: list[tuple] | None = None) -> DataFrame:
     """Per row the two children gaining most: by gain, then size, then smaller id.
 
     One row each: best ids, their terms, the sum over all children and the utility of inserting in the best.
     """
-    terms = _child_terms(rows, nodes, params)
+    terms = _child_terms(rows, nodes, params, parts)
     order = F.struct(rounded(F.col("gain")).alias("g"), F.col("cn").alias("c"))
     # Rows were spread by row_id, so window and sums run where the children were scored; fan-outs are bounded by
     # the builder.
@@ -225,7 +228,9 @@ def best_or_new(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreePara
     labelled = "lc" in nodes.columns
     parent = nodes.where(~F.col("is_leaf")).select(
         F.col("node_id").alias("at"), F.col("mean").alias("pm0"), F.col("m2").alias("ps0"), *([F.col("lc").alias("pl0")] if labelled else []))
-    j = best_children(rows, nodes, params).join(rows.drop("at"), "row_id").join(parent, "at")
+    parts = hot_parts(rows, ["at"])
+    j = best_children(rows, nodes, params, parts).join(rows.drop("at"), "row_id")
+    j = parted_join(j, parent, ["at"], parts, "row_id")
     j = j.withColumn("pm", G.insert_mean("x", "pm0", "pn")).withColumn(
         "pv", params.var(G.insert_m2("x", "pm0", "ps0", "pn"), F.col("pn") + 1))
     s_new = G.score(F.col("x"), G.prior_variance_like("x", params.prior_var), F.col("pm"), F.col("pv"), params.score)
@@ -239,13 +244,19 @@ def best_or_new(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreePara
 def operation_utilities(rows: DataFrame, nodes: DataFrame, params: TreeParams = TreeParams()) -> DataFrame:
     """Per row: best1, best2 and the utilities of best / new / merge / split (null where the operation is not allowed)."""
     labelled = "lc" in nodes.columns
-    best = best_children(rows, nodes, params)
+    at_parts = hot_parts(rows, ["at"])
+    best = best_children(rows, nodes, params, at_parts)
+    if at_parts:  # whoever crowds at a node crowds at its children
+        best = materialize(best, "best")
+    child_parts = [hot_parts(best, [f"best{p}"]) if at_parts else [] for p in (1, 2)]
     stat = lambda p: nodes.select(
         F.col("node_id").alias(f"best{p}"), F.col("count").alias(f"n{p}"), F.col("mean").alias(f"m{p}"),
         F.col("m2").alias(f"s{p}"), *([F.col("lc").alias(f"l{p}")] if labelled else []))
     parent = nodes.select(F.col("node_id").alias("at"), F.col("mean").alias("pm0"), F.col("m2").alias("ps0"),
                           *([F.col("lc").alias("pl0")] if labelled else []))
-    j = best.join(rows.drop("at"), "row_id").join(parent, "at").join(stat(1), "best1").join(stat(2), "best2", "left")
+    j = parted_join(best.join(rows.drop("at"), "row_id"), parent, ["at"], at_parts, "row_id")
+    j = parted_join(j, stat(1), ["best1"], child_parts[0], "row_id")
+    j = parted_join(j, stat(2), ["best2"], child_parts[1], "row_id", "left")
     j = j.withColumn("pm", G.insert_mean("x", "pm0", "pn")).withColumn(
         "pv", params.var(G.insert_m2("x", "pm0", "ps0", "pn"), F.col("pn") + 1))
     j = j.withColumn("nn", F.col("n1") + F.col("n2")).withColumn("mm", G.merged_mean("m1", "n1", "m2", "n2"))
@@ -265,7 +276,7 @@ def operation_utilities(rows: DataFrame, nodes: DataFrame, params: TreeParams =
         (F.col("base") - F.col("a1") - F.col("a2") + (F.col("nn") + 1) / (F.col("pn") + 1) * s_merge)
         / (F.col("n_children") - 1)))
     splits = split_utilities(nodes, params).select("at", F.col("child_id").alias("best1"), "pu_split")
-    return j.join(splits, ["at", "best1"], "left").select(
+    return parted_join(j, splits, ["at", "best1"], hot_parts(best, ["at", "best1"]) if at_parts else [], "row_id", "left").select(
         "row_id", "at", "n_children", "best1", "best2", "best1_is_leaf", "gain1", "gain2",
         "pu_best", "pu_new", "pu_merge", "pu_split")
 

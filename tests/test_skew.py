@@ -5,7 +5,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from arbora.operators import skew
+from arbora.operators import skew, tree
 
 
 def test_hot_split_join(spark):
@@ -53,3 +53,43 @@ def test_dedupe_with_a_crowd_of_copies(spark):
     wrong = members.join(rows, "doc_id").join(leaves.select("leaf_id", F.col("vec").alias("v")), "leaf_id").where(
         F.exists(F.zip_with("v", "vec", lambda a, b: a != b), lambda x: x))
     assert wrong.count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_parted_join(spark, how, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_PART", 100)
+    k = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("id"))
+    rows = spark.range(3000).select("id", k.cast("long").alias("k"))
+    # Keys with several partners, with none, and null.
+    other = spark.range(2000).select((F.col("id") % 1900).alias("k"), "id").withColumnRenamed("id", "w").unionByName(
+        spark.sql("select cast(null as long) as k, -1L as w"))
+    parts = skew.hot_parts(rows, ["k"])
+    assert parts == [(0, 10)]
+    got = skew.parted_join(rows, other, ["k"], parts, "id", how)
+    assert sorted(got.collect(), key=str) == sorted(rows.join(other, ["k"], how).collect(), key=str)
+
+
+def test_rows_at_one_node_are_scored_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(skew, "ROWS_PER_PART", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        zero = F.array(F.lit(0.0), F.lit(0.0))
+        nodes = spark.range(4).select(
+            F.col("id").alias("node_id"), F.when(F.col("id") > 0, F.lit(0)).cast("long").alias("parent_id"),
+            (F.col("id") > 0).cast("int").alias("depth"), (F.col("id") > 0).alias("is_leaf"),
+            F.when(F.col("id") > 0, 1.0).otherwise(3.0).alias("count"),
+            F.array(F.col("id").cast("double"), F.lit(1.0)).alias("mean"), zero.alias("m2"))
+        rows = spark.range(1000).select(F.col("id").alias("row_id"), F.lit(0).cast("long").alias("at"),
+                                        F.array(F.col("id") / 100.0, F.lit(0.0)).alias("x"))
+        per_task = tree._child_terms(rows, nodes, tree.TreeParams()).groupBy(F.spark_partition_id()).count().collect()
+        assert sum(r["count"] for r in per_task) == 3000
+        assert max(r["count"] for r in per_task) < 1500
+        found = tree.operation_utilities(rows, nodes).collect()
+        assert len(found) == 1000
+        monkeypatch.setattr(skew, "ROWS_PER_PART", 10_000)
+        plain = tree.operation_utilities(rows, nodes).collect()
+        assert sorted(found) == sorted(plain)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
