@@ -87,3 +87,36 @@ def test_bounds_hold_and_prune(documents):
             false += int(((bounds[:, d] > 0) & (exact == 0)).sum())
             cells += int((exact == 0).sum())
     assert false < 0.02 * cells
+
+
+def test_bounds_of_few_documents_are_held_at_a_time(monkeypatch):
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    from arbora.llm import lexical_search as ls
+
+    texts = [" ".join(f"w{(i * j) % 37}" for j in range(1, 6)) for i in range(300)]
+    batch = pa.record_batch([pa.array(range(300), pa.int64()), pa.array(texts)], names=["id", "text"])
+    blocks = [b for b in ls._index(iter([batch])) if b.column("kind")[0].as_py() != "terms"]
+    _, _, terms, _ = ls.term_counts(pa.array([" ".join(f"w{i}" for i in range(37))]))
+    terms = np.sort(terms)
+    items = [(np.arange(k, 37, 3), np.arange(1.0, 38.0)[k::3]) for k in range(3)]
+    shared = SimpleNamespace(value=ls._Queries(np.ones(37), terms, items, 300, 1500))
+    whole, seen = ls._bounds, []
+
+    def bounds(q, slices, bits, sizes, m):
+        seen.append(len(q.terms) * len(sizes))
+        return whole(q, slices, bits, sizes, m)
+
+    def answers():
+        run, _ = ls._search(shared, np.zeros(3, np.int64), 20)
+        return [b.to_pydict() for b in run(iter(blocks))]
+
+    monkeypatch.setattr(ls, "_bounds", bounds)
+    want = answers()
+    monkeypatch.setattr(ls, "BOUNDS", 37 * 16)
+    seen.clear()
+    assert answers() == want
+    assert max(seen) <= 37 * 16 and len(seen) > 300 // 16
