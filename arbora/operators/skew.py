@@ -34,18 +34,19 @@ def hot_split_join(rows: DataFrame, keyed: DataFrame, keys: list[str], size: str
     return hot_rows.unionByName(cold_rows)
 
 
-def hot_parts(rows: DataFrame, keys: list[str]) -> list[tuple]:
-    """(…keys, parts): into how many parts of about ``ROWS_PER_PART`` rows to cut the keys that own a large share of ``rows``.
+def hot_parts(rows: DataFrame, keys: list[str], per_part: int | None = None) -> list[tuple]:
+    """(…keys, parts): into how many parts of about ``per_part`` rows (by default ``ROWS_PER_PART``) to cut the keys that own a large share of ``rows``.
 
     At most 1 / HOT_SHARE keys come to the driver, and none while no key has more rows than one part.
     """
+    per_part = per_part or ROWS_PER_PART
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
     for key in keys:
         sizes = sizes.where(F.col(key).isNotNull())
     whole = Window.partitionBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    large = sizes.where(F.col("_n") > ROWS_PER_PART)  # there are few of them, hence the single partition
+    large = sizes.where(F.col("_n") > per_part)  # there are few of them, hence the single partition
     hot = large.withColumn("_all", F.sum("_n").over(whole)).where(F.col("_n") >= F.col("_all") * HOT_SHARE)
-    return [(*r[:-1], -(-r[-1] // ROWS_PER_PART)) for r in hot.select(*keys, "_n").collect()]
+    return [(*r[:-1], -(-r[-1] // per_part)) for r in hot.select(*keys, "_n").collect()]
 
 
 def parted_join(rows: DataFrame, other: DataFrame, keys: list[str], parts: list[tuple], by: str, how: str = "inner") -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from arbora.functions import gauss as G
 from arbora.functions.vec import doubles, dot, let, total
+from arbora.operators.skew import hot_parts
 from arbora.operators.topk import (
     CELLS_AT_ONCE,
     QUERY_BLOCK,
@@ -28,6 +29,7 @@ from arbora.operators.tree import ConceptTree, TreeParams, category_utility, lab
 from arbora.session import materialize, spread
 
 LEAF_BLOCK = 1024
+CHILD_BLOCK = 8192  # rows, and children, of one node that are compared in one place
 LAZY_LEVELS = 3  # deeper trees write each level out, so that no level is computed again
 
 # Default weights per level; levels beyond the list weigh 1.
@@ -289,6 +291,87 @@ def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFr
 # ---- categorisation ------------------------------------------------------------------------------------------
 
 
+def _rows_or_nan(column) -> np.ndarray:
+    """``matrix`` with rows of NaN for null lists."""
+    if not column.null_count:
+        return matrix(column)
+    there = column.is_valid()
+    known = matrix(column.filter(there))
+    out = np.full((len(column), known.shape[1]), np.nan)
+    out[there.to_numpy(zero_copy_only=False) if isinstance(there, pa.Array) else there.to_numpy()] = known
+    return out
+
+
+def _best_of_children(cur: DataFrame, child: DataFrame, posterior: bool) -> DataFrame:
+    """cur(qid, x, rn, node_id, best_id, best_score), child(node_id, c_id, c_leaf, cn, cm, cv) ->
+    (qid, best_id, best_score, c_id, c_leaf, s): the best child for each row, one per block of children.
+
+    Rows and children meet in cells by node. A node with many rows or many children is cut into parts of ``CHILD_BLOCK``, so a
+    cell stays small whatever node the rows are at. Children of unknown score come first, as in an ascending sort.
+    """
+    spark, parts = cur.sparkSession, {}
+    child = child.join(cur.select("node_id").distinct(), "node_id", "left_semi")
+    for i, side in enumerate((cur, child)):
+        for node, n in hot_parts(side, ["node_id"], CHILD_BLOCK):
+            parts.setdefault(node, [1, 1])[i] = n
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket = F.pmod(F.xxhash64("node_id"), F.lit(max(width, -(-cur.count() // CHILD_BLOCK))))
+    hot = F.broadcast(spark.createDataFrame([(k, *v) for k, v in parts.items()], T.StructType([
+        T.StructField("node_id", cur.schema["node_id"].dataType), T.StructField("_q", T.LongType()), T.StructField("_c", T.LongType())])))
+    own = lambda by, n: F.pmod(F.xxhash64(by), F.coalesce(n, F.lit(1)))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(n, F.lit(1)) - 1))
+    left = cur.select("qid", "x", "rn", "node_id", "best_id", "best_score").join(hot, "node_id", "left").withColumn(
+        "qb", own("qid", F.col("_q"))).withColumn("cb", each(F.col("_c"))).withColumn("bucket", bucket).drop("_q", "_c")
+    right = child.join(hot, "node_id", "left").withColumn("cb", own("c_id", F.col("_c"))).withColumn(
+        "qb", each(F.col("_q"))).withColumn("bucket", bucket).drop("_q", "_c")
+    schema = T.StructType([*(left.schema[c] for c in ("qid", "best_id", "best_score")),
+                           *(right.schema[c] for c in ("c_id", "c_leaf")), T.StructField("s", T.DoubleType())])
+    out = to_arrow_schema(schema)
+
+    def cell(rows: pa.Table, kids: pa.Table) -> pa.Table:
+        if rows.num_rows == 0 or kids.num_rows == 0:
+            return out.empty_table()
+        rows, kids = rows.combine_chunks(), kids.combine_chunks()
+        at, below, kid_ids = ids_of(rows.column("node_id")), ids_of(kids.column("node_id")), ids_of(kids.column("c_id"))
+        x, mean, var = (_rows_or_nan(c.combine_chunks()) for c in (rows.column("x"), kids.column("cm"), kids.column("cv")))
+        if not x.size or not mean.size or not var.size:  # nothing but nulls
+            x, mean, var = np.full((len(at), 1), np.nan), np.full((len(below), 1), np.nan), np.full((len(below), 1), np.nan)
+        x = np.hstack([x * x, x])
+        coef = np.hstack([-0.5 / var, mean / var])
+        const = -0.5 * ((mean * mean / var + np.log(var)).sum(axis=1) + var.shape[1] * G.LN_2PI)
+        share = np.zeros(len(at))
+        if posterior:
+            const = const + np.log(kids.column("cn").to_numpy())
+            share = np.log(rows.column("rn").to_numpy().astype(float))
+        by_node = np.lexsort((kid_ids, below))
+        below = below[by_node]
+        row, kid, score = [], [], []
+        for node in np.unique(at):
+            mine = np.flatnonzero(at == node)
+            ours = by_node[np.searchsorted(below, node, side="left"):np.searchsorted(below, node, side="right")]
+            if not len(ours):
+                continue
+            step = max(1, CELLS_AT_ONCE // 4 // len(ours))
+            for lo in range(0, len(mine), step):
+                some = mine[lo:lo + step]
+                s = x[some] @ coef[ours].T + const[ours] - share[some, None]
+                key = np.round(s, SCORE_DECIMALS)
+                key[np.isnan(key)] = np.inf  # the first of them wins
+                best = key.argmax(axis=1)
+                row.append(some)
+                kid.append(ours[best])
+                score.append(s[np.arange(len(some)), best])
+        if not row:
+            return out.empty_table()
+        row, kid, score = (np.concatenate(v) for v in (row, kid, score))
+        picked = [*(rows.column(c).take(pa.array(row)) for c in ("qid", "best_id", "best_score")),
+                  *(kids.column(c).take(pa.array(kid)) for c in ("c_id", "c_leaf")), pa.array(score, mask=np.isnan(score))]
+        return pa.Table.from_arrays([c.cast(out.field(i).type) for i, c in enumerate(picked)], schema=out)
+
+    keys = ["bucket", "qb", "cb"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, schema)
+
+
 def categorize_best(tree: ConceptTree, queries: DataFrame, prior: bool = False) -> DataFrame:
     """(qid, node_id, score): the most likely concept of the whole tree."""
     found = topk_linear(gauss_features(queries), node_items(tree, prior=prior), 1)
@@ -317,12 +400,8 @@ def categorize_greedy(tree: ConceptTree, queries: DataFrame, posterior: bool = F
     for d in range(tree.depth):
         at_leaf = cur.where("is_leaf")
         done = at_leaf if done is None else done.unionByName(at_leaf)
-        s = G.log_prob("x", "cm", "cv")
-        if posterior:
-            s = s + F.log("cn") - F.log("rn")
-        pairs = cur.where(~F.col("is_leaf")).join(child, "node_id").withColumn("s", s)
-        # Partial aggregation keeps one child per query and task.
-        step = pairs.groupBy("qid").agg(
+        # One child per query and block of children is left.
+        step = _best_of_children(cur.where(~F.col("is_leaf")), child, posterior).groupBy("qid").agg(
             F.min_by(F.struct("c_id", "c_leaf", "s"), F.struct(-rounded(F.col("s")), F.col("c_id"))).alias("t"),
             F.any_value("best_id").alias("best_id"), F.any_value("best_score").alias("best_score"))
         cur = step.join(x, "qid").join(F.broadcast(root.select("rn")), F.lit(True)) if posterior else step.join(
@@ -332,7 +411,7 @@ def categorize_greedy(tree: ConceptTree, queries: DataFrame, posterior: bool = F
         better = rounded(F.col("score")) > rounded(F.col("best_score"))
         cur = cur.withColumn("best_id", F.when(better, F.col("node_id")).otherwise(F.col("best_id"))).withColumn(
             "best_score", F.when(better, F.col("score")).otherwise(F.col("best_score")))
-        if tree.depth > LAZY_LEVELS:
+        if d + 1 < tree.depth:
             cur = materialize(cur, f"descend{d}")
     last = cur.select(*cur.columns)
     out = last if done is None else done.select(*last.columns).unionByName(last)

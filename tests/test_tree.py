@@ -13,7 +13,7 @@ from arbora.operators import tree_analytics as ta
 from arbora.operators import tree_query as tq
 from arbora.operators import subtree
 from arbora.operators.restructure import improvable, restructure
-from arbora.operators.tree import TreeParams, partition_utility
+from arbora.operators.tree import ConceptTree, TreeParams, partition_utility
 from arbora.operators.tree_build import append_rows, build_tree
 from arbora.plans import tree_queries
 from arbora.session import materialize
@@ -248,3 +248,34 @@ def test_label_counts_survive_every_edit(spark):
                                   "node_id string, count double, mean array<double>, m2 array<double>, lc array<double>")
     assert labels(tr.add_to_ancestors(nodes, added))["r"] == [5.0, 1.0]
     assert labels(tr.add_to_ancestors(nodes, added.drop("lc")))["r"] == [3.0, 1.0]
+
+
+@pytest.mark.parametrize("posterior", [False, True])
+def test_descent_in_blocks(spark, posterior, monkeypatch):
+    """The best child of each row, whatever nodes and how many children meet in a cell; unknown scores come first."""
+    monkeypatch.setattr(tq, "CHILD_BLOCK", 7)
+    rng = np.random.default_rng(5)
+    mean = {i: rng.normal(size=3) for i in range(1, 61)}
+    rows = [(0, None, 0, False, 60.0, [0.0] * 3, [60.0] * 3)] + [
+        (i, 0 if i <= 4 else 1 + i % 4, 1 if i <= 4 else 2, i > 4, 14.0 if i <= 4 else 1.0, mean[i].tolist(), [0.0] * 3)
+        for i in mean]
+    rows.append((99, 2, 2, True, 1.0, None, None))
+    tree = ConceptTree(spark.createDataFrame(rows, "node_id long, parent_id long, depth int, is_leaf boolean, count double, "
+                                               "mean array<double>, m2 array<double>"), None, 2)
+    x = rng.normal(size=(40, 3))
+    asked = [(i, v.tolist()) for i, v in enumerate(x)]
+    q = spark.createDataFrame(asked, "qid long, qvec array<double>")
+    found = {r["qid"]: r for r in tq.categorize_greedy(tree, q, posterior=posterior).collect()}
+    var = PRIOR_VAR
+    for i, v in asked:
+        at = 0
+        for _ in range(2):
+            kids = [r for r in rows if r[1] == at]
+            if any(r[5] is None for r in kids):
+                at = 99
+                break
+            score = lambda r: round(-0.5 * sum((a - b) ** 2 / var for a, b in zip(v, r[5])) + posterior * np.log(r[4]), 9)
+            at = min(kids, key=lambda r: (-score(r), r[0]))[0]
+        assert found[i]["leaf_id"] == at
+        assert (found[i]["leaf_score"] is None) == (at == 99)
+    assert len(found) == 40
