@@ -257,24 +257,28 @@ def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFr
         rows, found, keys = [], [], []
         chunk = max(1, CELLS_AT_ONCE // steps.size)
         for lo in range(0, len(x), chunk):
-            s = np.round(x[lo:lo + chunk] @ coef.T + const, SCORE_DECIMALS)[:, steps]
-            s[:, ~inside] = np.inf
-            after = np.full(s.shape, np.inf)
-            after[..., :-1] = np.minimum.accumulate(s[..., :0:-1], axis=2)[..., ::-1]
-            kept = (s < after) & inside
-            packed = np.take_along_axis(
-                np.where(kept, s, -np.inf), np.argsort(~kept, axis=2, kind="stable"), axis=2)
+            s = np.round(x[lo:lo + chunk] @ coef.T + const, SCORE_DECIMALS)
             # Only leaves whose weakest step reaches the k-th best weakest step can be among the first k.
-            weakest = packed[..., 0]
+            weakest = s[:, steps[:, 0]]
+            weakest[:, ~inside[:, 0]] = -np.inf  # a leaf without a path below the root
+            for d in range(1, steps.shape[1]):
+                deeper = inside[:, d]
+                weakest[:, deeper] = np.minimum(weakest[:, deeper], s[:, steps[deeper, d]])
             at = max(0, len(leaf_ids) - k)
             bar = np.partition(weakest, at, axis=1)[:, at]
-            for i in range(len(s)):
-                near = np.flatnonzero(weakest[i] >= bar[i])
-                mine = packed[i, near]
-                first = np.lexsort((leaf_ids[near], *(-mine[:, d] for d in range(mine.shape[1] - 1, -1, -1))))[:k]
-                rows.append(np.full(len(first), lo + i))
-                found.append(leaf_ids[near[first]])
-                keys.append(mine[first])
+            row, near = np.nonzero(weakest >= bar[:, None])
+            path = np.where(inside[near], s[row[:, None], steps[near]], np.inf)
+            after = np.full(path.shape, np.inf)
+            after[:, :-1] = np.minimum.accumulate(path[:, :0:-1], axis=1)[:, ::-1]
+            kept = (path < after) & inside[near]
+            packed = np.take_along_axis(np.where(kept, path, -np.inf), np.argsort(~kept, axis=1, kind="stable"), axis=1)
+            order = np.lexsort((leaf_ids[near], *(-packed[:, d] for d in range(packed.shape[1] - 1, -1, -1)), row))
+            # Rows come in turn, each with its leaves in order: the first k of each.
+            first = np.searchsorted(row, row)
+            order = order[np.arange(len(row)) - first < k]
+            rows.append(lo + row[order])
+            found.append(leaf_ids[near[order]])
+            keys.append(packed[order])
         key = np.concatenate(keys)
         real = np.isfinite(key)
         offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32))
