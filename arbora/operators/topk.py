@@ -26,9 +26,13 @@ from arbora.session import SMALL_TABLE_BYTES, take_small
 
 SCORE_DECIMALS = 9
 QUERY_BLOCK = 4096
-ITEM_BLOCK = 65536
-CELLS_AT_ONCE = 4_000_000  # scores held in memory by one task at a time
-PAIR_QUERIES, PAIR_ITEMS = 512, 8192  # a block whose pairs are all listed; about CELLS_AT_ONCE of them
+ITEM_BLOCK = 32768  # items, and queries, that meet in one cell of a grid
+SCAN_QUERIES = 4096  # at most so many queries are broadcast and meet the items where they lie
+GRID_CELLS = 32  # small grids have about so many cells, of at least LEAST_QUERIES queries
+LEAST_QUERIES = 512
+CELLS_AT_ONCE = 1_000_000  # scores held in memory by one task at a time
+ITEM_TILE, PILOT = 8192, 1024  # items scored at a time, and of them those that tell which scores are too small
+PAIR_QUERIES, PAIR_ITEMS = 512, 8192  # a block whose pairs are all listed
 
 
 def matrix(column) -> np.ndarray:
@@ -66,6 +70,33 @@ def best_in_block(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarr
     return ids[cols], np.take_along_axis(scores, cols, axis=1)
 
 
+def _best_of_many(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``best_in_block`` for many columns: only scores that reach the k-th best of the first columns are ordered."""
+    n = max(k, PILOT)
+    if scores.shape[1] <= 2 * n or np.isnan(scores.max()):
+        return best_in_block(scores, ids, k)
+    least = np.partition(scores[:, :n], n - k, axis=1)[:, n - k]
+    # Two scores that round alike are less than one unit of the last decimal apart.
+    row, col = np.nonzero(scores >= (least - 2 * 10.0**-SCORE_DECIMALS - np.abs(least) * 1e-15)[:, None])
+    values = scores[row, col]
+    order = np.lexsort((ids[col], -np.round(values, SCORE_DECIMALS), row))
+    order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
+    return ids[col[order]].reshape(-1, k), values[order].reshape(-1, k)
+
+
+def _best_scores(q: np.ndarray, ids: np.ndarray, coef: np.ndarray, const: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per query the k best items, in tiles of a bounded number of scores."""
+    found = []
+    for c in _chunks(len(q), min(len(ids), ITEM_TILE)):
+        best = None
+        for lo in range(0, len(ids), ITEM_TILE):
+            t = slice(lo, lo + ITEM_TILE)
+            new = _best_of_many(_block_scores(q[c], coef[t], const[t]), ids[t], k)
+            best = new if best is None else _merge_best(*best, *new, k)
+        found.append(best)
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
 def _merge_best(ids_a, scores_a, ids_b, scores_b, k):
     ids, scores = np.concatenate([ids_a, ids_b], axis=1), np.concatenate([scores_a, scores_b], axis=1)
     order = np.lexsort((ids, -np.round(scores, SCORE_DECIMALS)), axis=1)[:, :k]
@@ -113,7 +144,8 @@ def topk_linear(
         return _rank(queries.select("qid", F.lit(None).cast(items.schema["item_id"].dataType).alias("item_id"),
                                     F.lit(0.0).alias("score")), k)
     width = len(probe.column("qvec")[0])
-    small = take_small(queries, max(1, broadcast_bytes // (8 * width)))
+    # Items are read in as many tasks as their files give, so only few queries are worth a scan.
+    small = take_small(queries, max(1, min(SCAN_QUERIES, broadcast_bytes // (8 * width))))
     if small is not None:
         parts = _scan_with_query_block(small, queries, items, k)
     else:
@@ -149,8 +181,7 @@ def _scan_with_query_block(small: pa.Table, queries: DataFrame, items: DataFrame
                 continue
             ids, coef = ids_of(batch.column(0)), matrix(batch.column(1))
             const = batch.column(2).to_numpy(zero_copy_only=False)
-            found = [best_in_block(_block_scores(q[s], coef, const), ids, k) for s in _chunks(len(q), len(ids))]
-            new = tuple(np.concatenate(x) for x in zip(*found))
+            new = _best_scores(q, ids, coef, const, k)
             best = new if best is None else _merge_best(*best, *new, k)
         if best is not None:
             yield from _emit(qids, *best, out).to_batches()
@@ -169,8 +200,7 @@ def block_topk(query_blocks: DataFrame, item_blocks: DataFrame, keys: list[str],
         q, coef = matrix(left.column("qvec")), matrix(right.column("coef"))
         ids = ids_of(right.column("item_id"))
         const = right.column("const").combine_chunks().to_numpy(zero_copy_only=False)
-        found = [best_in_block(_block_scores(q[s], coef, const), ids, k) for s in _chunks(len(q), len(ids))]
-        best = tuple(np.concatenate(x) for x in zip(*found))
+        best = _best_scores(q, ids, coef, const, k)
         return _emit(left.column("qid").combine_chunks(), *best, out)
 
     left = query_blocks.select(*keys, "qid", "qvec").groupBy(*keys)
@@ -180,8 +210,11 @@ def block_topk(query_blocks: DataFrame, item_blocks: DataFrame, keys: list[str],
 
 def grid_blocks(queries: DataFrame, items: DataFrame, query_block: int | None = None, item_block: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides spread over a grid by hash of the ids, so block sizes do not depend on what the vectors hold."""
-    n_q = math.ceil(queries.count() / (query_block or QUERY_BLOCK))
+    rows = queries.count()
     n_i = max(1, math.ceil(items.count() / (item_block or ITEM_BLOCK)))
+    # Each side is repeated once per block of the other, so large tables get few and equally large blocks on both.
+    n_q = math.ceil(rows / (query_block or ITEM_BLOCK))
+    n_q = max(n_q, min(math.ceil(rows / LEAST_QUERIES), math.ceil(GRID_CELLS / n_i)))
     q = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q))).withColumn(
         "ib", F.explode(F.expr(f"sequence(0L, {n_i - 1}L)")))
     i = items.withColumn("ib", F.pmod(F.xxhash64("item_id"), F.lit(n_i))).withColumn(
@@ -286,7 +319,7 @@ def log_sum_exp_scores(queries: DataFrame, items: DataFrame, temperature: float
 
     probe = queries.limit(1).toArrow()
     width = len(probe.column("qvec")[0]) if probe.num_rows else 1
-    small = take_small(queries, max(1, broadcast_bytes // (8 * width)))
+    small = take_small(queries, max(1, min(SCAN_QUERIES, broadcast_bytes // (8 * width))))
     if small is not None:
         block = items.sparkSession.sparkContext.broadcast((small.column("qid").combine_chunks(), matrix(small.column("qvec"))))
 

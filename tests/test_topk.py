@@ -159,3 +159,28 @@ def test_log_sum_exp(spark, data, ways, monkeypatch):
     top = s.max(axis=1)
     want = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
     assert len(got) == 40 and all(got[i] == pytest.approx(want[i], rel=1e-12) for i in range(40))
+
+
+def test_tiles_agree_with_whole_blocks(monkeypatch):
+    """Ties, repeated ids and unknown scores, in tiles with few scores at a time."""
+    monkeypatch.setattr(tk, "ITEM_TILE", 64)
+    monkeypatch.setattr(tk, "PILOT", 8)
+    monkeypatch.setattr(tk, "CELLS_AT_ONCE", 500)
+    held, score = [], tk._block_scores
+
+    def scores(*parts):
+        held.append(score(*parts))
+        return held[-1]
+
+    monkeypatch.setattr(tk, "_block_scores", scores)
+    rng = np.random.default_rng(3)
+    q, coef = rng.integers(-2, 3, (23, 4)).astype(float), rng.integers(-2, 3, (301, 4)).astype(float)
+    const, ids = rng.integers(0, 2, 301) * 1e-10, rng.permutation(301) // 2
+    for case in (const, np.where(np.arange(301) == 70, np.nan, const)):
+        for k in (1, 5, 40):
+            held.clear()
+            got = tk._best_scores(q, ids, coef, case, k)
+            assert max(h.size for h in held) <= 500
+            want = tk.best_in_block(score(q, coef, case), ids, k)
+            assert np.array_equal(got[0], want[0])
+            assert np.allclose(got[1], want[1], atol=1e-9, equal_nan=True)
