@@ -152,3 +152,25 @@ def test_band_rejects_noise(spark):
     got = {r.doc_id: r for r in judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
     assert not got[1000].kept and got[1000].perplexity > got[1000].high
     assert sum(got[i].kept for i in range(300)) == 300
+
+
+def test_each_ngram_of_a_piece_is_looked_up_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from arbora.llm import perplexity
+
+    texts, langs = ["the same words again " * 500, "the same words again " * 300, None, "ab"], ["en", "de", "en", None]
+    grams = [units(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())]))[0] for t in texts]
+    keys = {(x, int(g)): -1.0 - i % 7 for x, gs in zip(langs, grams) for i, g in enumerate(sorted(set(gs.tolist())))}
+    rare = ("en", int(grams[0][-1]))
+    head = {k: v for k, v in keys.items() if k != rare}
+    slots = np.concatenate([perplexity.cut_hash(np.array([lang_salt(x)], np.uint64), np.array([g], np.uint64), 64) for x, g in head])
+    order, asked, find = np.argsort(slots), [], perplexity._find
+    monkeypatch.setattr(perplexity, "_find", lambda arrays, k: asked.append(len(k)) or find(arrays, k))
+    known = type("Head", (), {"value": (slots[order], np.array(list(head.values()), np.float32)[order])})
+    batch = pa.record_batch([pa.array(range(4), pa.int64()), pa.array(texts), pa.array(langs)], names=["id", "text", "lang"])
+    out = [r for b in perplexity._score(known, 64)[0](iter([batch])) for r in b.to_pylist()]
+    assert [r["ln"] for r in out] == [sum(head.get((x, int(g)), 0.0) for g in gs) for x, gs in zip(langs, grams)]
+    assert [r["rest"] for r in out] == [[int(g) for g in gs if (x, int(g)) == rare] for x, gs in zip(langs, grams)]
+    assert sum(asked) == len(keys)
