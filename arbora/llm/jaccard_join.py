@@ -113,8 +113,9 @@ def _sum_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _slice_batch(*key, total)
 
 
-def shingle_frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
-    """Counters, 2 ** bits of them, over the shingles of all (id, text): how often each counter's shingles occur.
+def shingle_frequencies(docs: DataFrame, width: int, bits: int) -> list[tuple[int, bytes]]:
+    """Counters, 2 ** bits of them, over the shingles of all (id, text): how often each counter's shingles occur, as packed
+    slices (place, counts); one that is left out holds zeros.
 
     A task's counters leave it in about a byte per shingle or less, whatever their number. They meet by slice in two
     rounds; a task adds one slice after the other and holds only their sum.
@@ -126,10 +127,26 @@ def shingle_frequencies(docs: DataFrame, width: int, bits: int) -> np.ndarray:
     for salted in (F.col("salt"), F.lit(0).cast("long")):
         parts = parts.withColumn("salt", salted).repartition("at", "salt").sortWithinPartitions("at", "salt")
         parts = parts.mapInArrow(_sum_slices, SLICES)
-    out = np.zeros(1 << bits, np.int64)
-    for row in parts.collect():
-        out[row["at"] : row["at"] + SLICE] = _slice(row["counts"])
-    return out
+    return [(row["at"], bytes(row["counts"])) for row in parts.select("at", "counts").collect()]
+
+
+def shares_of_parts(slices: list[tuple[int, bytes]], bits: int, chunk: int) -> np.ndarray:
+    """Per counter: 0 if its shingles are rare, else into how many shares of ``chunk`` to deal a part.
+
+    Slices are unpacked one at a time, as the driver has little room: it holds the shares alone, two bytes a counter.
+    """
+    total, top = 0, 0
+    for _, packed in slices:
+        part = _slice(packed)
+        total, top = total + int(part.sum(dtype=np.int64)), max(top, int(part.max()))
+    mean = total / (1 << bits)
+    # Counters far above what rare shingles that share one by chance would give.
+    usual = mean + 6 * math.sqrt(mean) + 32
+    shares = np.zeros(1 << bits, np.uint16 if top <= chunk * 0xFFFF else np.int64)
+    for at, packed in slices:
+        part = _slice(packed).astype(np.int64)
+        shares[at : at + len(part)] = np.where(part > usual, -(-part // chunk), 0)
+    return shares
 
 
 def _prefixes(width: int, num: int, den: int, bits: int, frequent, chunk: int):
@@ -460,12 +477,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     shingles = keyed.agg(F.sum("n")).first()[0] or 0
     bits = min(sketch_bits, max(8, math.ceil(math.log2(1 + shingles / PER_COUNTER))))
-    counts = shingle_frequencies(docs, width, bits)
-    # Counters far above what rare shingles that share one by chance would give.
-    usual = counts.mean() + 6 * math.sqrt(counts.mean()) + 32
-    frequent = np.where(counts > usual, -(-counts // chunk), 0).astype(np.uint16 if counts.max() < chunk << 16 else np.int64)
-    del counts
-    shared_counts = spark.sparkContext.broadcast(frequent)
+    shared_counts = spark.sparkContext.broadcast(shares_of_parts(shingle_frequencies(docs, width, bits), bits, chunk))
     tokens = _only(docs, reps).mapInArrow(*_prefixes(width, num, den, bits, shared_counts, chunk))
     parts = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
     meets = materialize(parts.mapInArrow(

@@ -119,3 +119,23 @@ def test_filter_and_empty_table(awkward, nothing):
     ids = {r.doc_id for r in got.select("doc_id").collect()}
     assert 20 in ids and not ids & set(range(21, 80)) and not ids & set(range(200, 230)) and 300 in ids
     assert jaccard_components(nothing).count() == 0
+
+
+def test_the_driver_holds_two_bytes_a_counter():
+    import tracemalloc
+
+    from arbora.llm import jaccard_join as jj
+
+    bits, chunk = 20, 100
+    counts = np.random.default_rng(0).poisson(3, 1 << bits)
+    counts[::5000] = 70_000
+    counts[jj.SLICE:2 * jj.SLICE] = 0
+    batches = [jj._slice_batch(a, 0, counts[a:a + jj.SLICE]) for a in range(0, 1 << bits, jj.SLICE) if counts[a:a + jj.SLICE].any()]
+    slices = [(r["at"], r["counts"]) for b in batches for r in b.to_pylist()]
+    tracemalloc.start()
+    shares = jj.shares_of_parts(slices, bits, chunk)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    usual = counts.mean() + 6 * counts.mean() ** 0.5 + 32
+    assert (shares == np.where(counts > usual, -(-counts // chunk), 0)).all()
+    assert peak < (2 << bits) + 40 * jj.SLICE
