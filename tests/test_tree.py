@@ -279,3 +279,39 @@ def test_descent_in_blocks(spark, posterior, monkeypatch):
         assert found[i]["leaf_id"] == at
         assert (found[i]["leaf_score"] is None) == (at == 99)
     assert len(found) == 40
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_posterior_by_families(spark, blocks, monkeypatch):
+    """Order and label shares as from all pairs of query and node, which are not listed: families of one to 150 children,
+    leaves on three levels, copies."""
+    if blocks:
+        for name, value in (("CHILD_BLOCK", 40), ("ITEM_BLOCK", 50), ("ROWS_OF_CELL", 300), ("LEAST_QUERIES", 4)):
+            monkeypatch.setattr(tq, name, value)
+    rng = np.random.default_rng(8)
+    spec = [("r", None, 0, False)] + [(f"i{i}", "r", 1, False) for i in range(4)] + [("l", "r", 1, True), ("i5", "i1", 2, False)]
+    spec += [(f"a{i:03}", "i0", 2, True) for i in range(150)] + [(f"b{i}", "i1", 2, True) for i in range(3)]
+    spec += [(f"c{i}", "i5", 3, True) for i in range(12)] + [("d", "i2", 2, True)] + [(f"e{i}", "i3", 2, True) for i in range(10)]
+    rows = []
+    for n, (node, parent, depth, leaf) in enumerate(spec):
+        copy = node[0] == "a" and n % 3 == 0
+        mean = [0.5, 0.25, -0.5] if copy else rng.normal(size=3).tolist()
+        lc = np.eye(3)[n % 3] + 1e-8 if leaf else rng.random(3) + 0.1
+        rows.append((node, parent, depth, leaf, 1.0 if leaf else float(rng.integers(5, 60)), mean,
+                     [0.0] * 3 if leaf else rng.random(3).tolist(), lc.tolist()))
+    nodes = spark.createDataFrame(rows, "node_id string, parent_id string, depth int, is_leaf boolean, count double, "
+                                        "mean array<double>, m2 array<double>, lc array<double>")
+    tree = ConceptTree(nodes, None, 3)
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(np.floor(rng.normal(size=(17, 3)) * 8) / 8)], "qid long, qvec array<double>")
+    rank = lambda: {(r["qid"], r["rank"]): r["leaf_id"] for r in tq.bestfirst_posterior(tree, q, 7).collect()}
+    prob = lambda: {(r["qid"], r["label"]): r["prob"] for r in tq.predict_label_probs(tree, q).collect()}
+    with monkeypatch.context() as all_pairs:
+        all_pairs.setattr(tq, "_has_keys", lambda df, key: False)
+        ranks, probs = rank(), prob()
+
+    def listed(*args):
+        raise AssertionError("all pairs are listed")
+
+    monkeypatch.setattr(tq, "posterior_scores", listed)
+    assert len(ranks) == 17 * 7 and rank() == ranks
+    assert len(probs) == 17 * 3 and prob() == pytest.approx(probs, abs=1e-9)
