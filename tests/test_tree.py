@@ -77,6 +77,30 @@ def test_restructuring_raises_every_utility(spark):
     assert means == {0, 10}
 
 
+def test_the_last_rounds_write_few_tables(spark, monkeypatch):
+    """A few waiting parents take no tables per round, and the tree is the one that rounds over all edges give."""
+    from arbora.operators import restructure as rs
+
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((24, 3)) + rng.integers(0, 4, (24, 1)) * 5.0
+    rows = [("r", None, 0, False, x)] + [(f"p{i}", "r", 1, False, x[8 * i:8 * i + 8]) for i in range(3)]
+    rows += [(f"q{i}", f"p{i // 2}", 2, False, x[4 * i:4 * i + 4]) for i in range(6)]
+    rows += [(f"L{i}", f"q{i // 4}", 3, True, x[i:i + 1]) for i in range(24)]
+    nodes = spark.createDataFrame(
+        [(n, p, d, leaf, float(len(v)), v.mean(axis=0).tolist(), ((v - v.mean(axis=0)) ** 2).sum(axis=0).tolist()) for n, p, d, leaf, v in rows],
+        "node_id string, parent_id string, depth int, is_leaf boolean, count double, mean array<double>, m2 array<double>")
+    written, write = [], rs.materialize
+    monkeypatch.setattr(rs, "materialize", lambda df, name="t": written.append(name) or write(df, name))
+    found, tables = {}, {}
+    for few in (0, rs.FEW):
+        monkeypatch.setattr(rs, "FEW", few)
+        written.clear()
+        found[few] = sorted(map(repr, rs.restructure(nodes, TreeParams(), max_rounds=5).collect()))
+        tables[few] = len(written)
+    assert found[0] == found[few] and tables[0] > 10
+    assert tables[few] <= 6
+
+
 def heap_order(nodes, x, k):
     """Best-first search with a heap, as the yardstick."""
     kids = {}
