@@ -5,7 +5,7 @@ from __future__ import annotations
 from typing import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,18 +68,20 @@ def hashing_encoder(dim: int = 256, idf: np.ndarray | None = None) -> Encoder:
     def apply(docs: DataFrame) -> DataFrame:
         weights = docs.sparkSession.sparkContext.broadcast(idf) if idf is not None else None
 
-        @F.pandas_udf("array<double>")
-        def buckets(terms: pd.Series) -> pd.Series:
-            out = []
+        @F.arrow_udf("array<double>")
+        def buckets(terms: pa.Array) -> pa.Array:
+            parts = []
             for start in range(0, len(terms), 256):
-                part = [np.asarray(t, np.int64) for t in terms.iloc[start : start + 256]]
-                owner = np.repeat(np.arange(len(part)), [len(t) for t in part])
-                key, count = np.unique(owner * TERMS + np.concatenate(part), return_counts=True)
+                part = terms.slice(start, 256)
+                ends = np.cumsum(part.value_lengths().to_numpy())
+                owner = np.repeat(np.arange(len(part)), np.diff(ends, prepend=0))
+                key, count = np.unique(owner * TERMS + part.flatten().to_numpy().astype(np.int64), return_counts=True)
                 row, term = key // TERMS, key % TERMS
                 value = np.log1p(count) * (weights.value[term] if weights is not None else 1.0)
                 value = np.where(term // dim % 2 == 0, value, -value)
-                out += list(np.bincount(row * dim + term % dim, value, len(part) * dim).reshape(len(part), dim))
-            return pd.Series(out)
+                sums = np.bincount(row * dim + term % dim, value, len(part) * dim)
+                parts.append(pa.ListArray.from_arrays(np.arange(0, len(sums) + 1, dim, dtype=np.int32), pa.array(sums)))
+            return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
         return docs.withColumn("vec", l2_normalize(buckets(_terms(F.col("text")))))
 
