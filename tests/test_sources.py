@@ -124,6 +124,20 @@ def test_document_frequencies_weigh_words(spark):
     assert high / low == pytest.approx((math.log(22 / 2) + 1) / (math.log(22 / 21) + 1))
 
 
+def test_rows_are_encoded_alike_wherever_they_stand(spark):
+    """More rows than are summed at a time, with texts without words among them; vectors leave as Arrow arrays."""
+    texts = [None if i % 7 == 0 else "" if i % 11 == 0 else f"word{i % 50} and word{i % 50}" for i in range(700)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    coded = enc.encode(docs)
+    found = {r["doc_id"]: r["vec"] for r in coded.collect()}
+    assert len(found) == 700 and {len(v) for v in found.values()} == {256}
+    by_text = {}
+    for i, text in enumerate(texts):
+        assert by_text.setdefault(text or "", found[i]) == found[i]
+    assert not any(by_text[""]) and len({tuple(v) for v in by_text.values()}) > 40
+    assert "], 250" in coded._jdf.queryExecution().executedPlan().toString()  # the number of Arrow functions
+
+
 def test_unmasked_mean(spark):
     t = spark.createDataFrame([(1, 0, 1, [1.0, 2.0]), (1, 1, 0, [3.0, 6.0]), (2, 0, 0, [5.0, 5.0])], "doc_id int, pos int, mask int, hidden array<double>")
     masked = {r["doc_id"]: r["vec"] for r in enc.pool_mean(t).collect()}

@@ -184,3 +184,10 @@ def test_tiles_agree_with_whole_blocks(monkeypatch):
             want = tk.best_in_block(score(q, coef, case), ids, k)
             assert np.array_equal(got[0], want[0])
             assert np.allclose(got[1], want[1], atol=1e-9, equal_nan=True)
+
+
+def test_probed_cells_leave_in_bounded_parts():
+    """Rows with their vectors, once per cell found, stay within the bound on numbers held."""
+    for n_cells, width, dims in ((320, 100, 64), (784, 784, 64), (100, 1, 1), (100, 20, 1)):
+        assert ann._rows_at_once(n_cells, width, dims) * max(n_cells, width * dims) <= ann.CELLS_AT_ONCE
+    assert ann._rows_at_once(2_000_000, 1, 1) == 1
