@@ -4,7 +4,8 @@ Every retrieval score of the engine (inner product, cosine, squared L2, path-wei
 likelihood) is linear in a feature vector of the query, so one block operator serves them all:
 
 * few queries (size checked): the query block is broadcast and the items are scanned where they lie;
-* many queries: both sides are hashed into a grid of bounded blocks and each cell is one task.
+* many queries: both sides are written once as rows of bounded blocks, and Spark's nested loop brings all pairs of
+  blocks together. It reads the blocks again instead of moving a copy of each side per block of the other.
 
 A task keeps only the k best of its block per query, so pairs are scored but never emitted, and a final
 ranked window merges k rows per block. Scores are compared at 1e-9, ties go to the smaller id.
@@ -12,6 +13,7 @@ ranked window merges k rows per block. Scores are compared at 1e-9, ties go to t
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -22,17 +24,18 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from arbora.functions.vec import dot, doubles, l2_normalize
-from arbora.session import SMALL_TABLE_BYTES, take_small
+from arbora.session import SMALL_TABLE_BYTES, materialize, take_small
 
 SCORE_DECIMALS = 9
 QUERY_BLOCK = 4096
-ITEM_BLOCK = 32768  # items, and queries, that meet in one cell of a grid
+ITEM_BLOCK = 32768  # items, and queries, that meet in one task
 SCAN_QUERIES = 4096  # at most so many queries are broadcast and meet the items where they lie
-GRID_CELLS = 32  # small grids have about so many cells, of at least LEAST_QUERIES queries
+GRID_CELLS = 32  # small tables have about so many pairs of blocks, of at least LEAST_QUERIES queries
 LEAST_QUERIES = 512
 CELLS_AT_ONCE = 1_000_000  # scores held in memory by one task at a time
 ITEM_TILE, PILOT = 8192, 1024  # items scored at a time, and of them those that tell which scores are too small
 PAIR_QUERIES, PAIR_ITEMS = 512, 8192  # a block whose pairs are all listed
+BLOCK_BYTES = 8 << 20  # vectors of one block
 
 
 def matrix(column) -> np.ndarray:
@@ -76,33 +79,90 @@ def _best_of_many(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarr
     if scores.shape[1] <= 2 * n or np.isnan(scores.max()):
         return best_in_block(scores, ids, k)
     least = np.partition(scores[:, :n], n - k, axis=1)[:, n - k]
-    # Two scores that round alike are less than one unit of the last decimal apart.
-    row, col = np.nonzero(scores >= (least - 2 * 10.0**-SCORE_DECIMALS - np.abs(least) * 1e-15)[:, None])
+    row, col = np.nonzero(scores >= _floor(least)[:, None])
     values = scores[row, col]
     order = np.lexsort((ids[col], -np.round(values, SCORE_DECIMALS), row))
     order = order[np.arange(len(row)) - np.searchsorted(row, row) < k]
     return ids[col[order]].reshape(-1, k), values[order].reshape(-1, k)
 
 
-def _best_scores(q: np.ndarray, ids: np.ndarray, coef: np.ndarray, const: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per query the k best items, in tiles of a bounded number of scores."""
+def _best_scores(q: np.ndarray, ids: np.ndarray, coef: np.ndarray, const: np.ndarray, k: int, best=None) -> tuple[np.ndarray, np.ndarray]:
+    """Per query the k best of these items and of those found before (``best``), in tiles of a bounded number of scores.
+
+    Once k items are known, single precision tells which others may reach the k-th; those are scored in double precision.
+    """
     found = []
+    rough = _Rough(q, coef, const)
     for c in _chunks(len(q), min(len(ids), ITEM_TILE)):
-        best = None
-        for lo in range(0, len(ids), ITEM_TILE):
-            t = slice(lo, lo + ITEM_TILE)
-            new = _best_of_many(_block_scores(q[c], coef[t], const[t]), ids[t], k)
-            best = new if best is None else _merge_best(*best, *new, k)
-        found.append(best)
+        have = None if best is None else (best[0][c], best[1][c])
+        first = min(PILOT, ITEM_TILE) if best is None else 0
+        for lo, hi in itertools.pairwise([0, *range(first or ITEM_TILE, len(ids), ITEM_TILE), len(ids)]):
+            t = slice(lo, hi)
+            near = None if have is None or have[1].shape[1] < k else rough.reaching(c, t, _floor(have[1][:, k - 1]))
+            if near is None:
+                new = _best_of_many(_block_scores(q[c], coef[t], const[t]), ids[t], k)
+                have = new if have is None else _merge_best(*have, *new, k)
+            elif len(near[0]):
+                row, col = near
+                exact = np.einsum("ij,ij->i", q[c][row], coef[t][col]) + const[t][col]
+                have = _merge_few(*have, row, ids[t][col], exact, k)
+        found.append(have)
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def _floor(least: np.ndarray) -> np.ndarray:
+    """Below this a score is smaller than ``least`` after rounding: alike scores are less than one last unit apart."""
+    return least - 2 * 10.0**-SCORE_DECIMALS - np.abs(least) * 1e-15
+
+
+class _Rough:
+    """Scores in single precision, with a bound of their error."""
+
+    def __init__(self, q: np.ndarray, coef: np.ndarray, const: np.ndarray):
+        length = lambda x: np.sqrt(np.einsum("ij,ij->i", x, x))
+        self.q_length, self.length, self.size = length(q), length(coef), np.abs(const)
+        most = self.q_length.max(initial=0) * self.length.max(initial=0) + self.size.max(initial=0)
+        # Beyond single precision's range, or with unknown numbers, there is no bound.
+        self.use = bool(most < 1e30) and max(self.q_length.max(initial=0), self.length.max(initial=0)) < 1e30
+        if self.use:
+            self.q, self.coef, self.const = (x.astype(np.float32) for x in (q, coef, const))
+
+    def reaching(self, c: slice, t: slice, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """Pairs of this tile that may reach ``floor``; None if they are many, or there is no bound."""
+        if not self.use or not np.isfinite(floor).all():
+            return None
+        scores = self.q[c] @ self.coef[t].T
+        if self.size.any():
+            scores += self.const[t]
+        # Twice the usual bound of a rounded dot product, whatever the order of its sums.
+        off = (self.q.shape[1] + 8) * 2.0**-23 * (self.q_length[c] * self.length[t].max() + self.size[t].max())
+        least = np.nextafter((floor - off).astype(np.float32), np.float32(-np.inf))
+        at = np.flatnonzero(scores >= least[:, None])
+        if len(at) > scores.size // 16:
+            self.use = False
+            return None
+        return at // scores.shape[1], at % scores.shape[1]
+
+
 def _merge_best(ids_a, scores_a, ids_b, scores_b, k):
     ids, scores = np.concatenate([ids_a, ids_b], axis=1), np.concatenate([scores_a, scores_b], axis=1)
     order = np.lexsort((ids, -np.round(scores, SCORE_DECIMALS)), axis=1)[:, :k]
     return np.take_along_axis(ids, order, axis=1), np.take_along_axis(scores, order, axis=1)
 
 
+def _merge_few(ids, scores, row, new_ids, new_scores, k):
+    """``_merge_best`` where only some pairs (``row``, id, score) are new."""
+    some = np.unique(row)
+    width = ids.shape[1]
+    place = np.concatenate([np.repeat(np.arange(len(some)), width), np.searchsorted(some, row)])
+    all_ids, all_scores = np.concatenate([ids[some].ravel(), new_ids]), np.concatenate([scores[some].ravel(), new_scores])
+    order = np.lexsort((all_ids, -np.round(all_scores, SCORE_DECIMALS), place))
+    order = order[np.arange(len(order)) - np.searchsorted(place[order], place[order]) < k]
+    ids, scores = ids.copy(), scores.copy()
+    ids[some], scores[some] = all_ids[order].reshape(-1, k), all_scores[order].reshape(-1, k)
+    return ids, scores
+
+
 def _block_scores(q: np.ndarray, coef: np.ndarray, const: np.ndarray) -> np.ndarray:
     return q @ coef.T + const
 
@@ -208,6 +268,71 @@ def block_topk(query_blocks: DataFrame, item_blocks: DataFrame, keys: list[str],
     return left.cogroup(right).applyInArrow(cell, schema)
 
 
+def _packed(rows: DataFrame, vector: str, blocks: int) -> DataFrame:
+    """Rows as about ``blocks`` blocks, written once: other columns as arrays, the vectors as one run of doubles, a number.
+
+    Rows are dealt out evenly, so block sizes depend neither on ids nor on what the vectors hold.
+    """
+    others = [f for f in rows.schema if f.name != vector]
+    schema = T.StructType([T.StructField(f.name, T.ArrayType(f.dataType)) for f in others] + [T.StructField(vector, T.BinaryType())])
+    out = to_arrow_schema(schema)
+
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            vectors = matrix(batch.column(vector))
+            step = max(1, BLOCK_BYTES // max(1, 8 * vectors.shape[1]))
+            for lo in range(0, batch.num_rows, step):
+                part = batch.slice(lo, step)
+                ends = pa.array([0, part.num_rows], pa.int32())
+                columns = [pa.ListArray.from_arrays(ends, part.column(f.name)).cast(out.field(f.name).type) for f in others]
+                columns.append(pa.array([vectors[lo:lo + step].tobytes()], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, schema=out)
+
+    packed = rows.repartition(max(1, blocks)).mapInArrow(pack, schema)
+    return materialize(packed.withColumn(f"{vector}_block", F.monotonically_increasing_id()), "blocks")
+
+
+def crossed_blocks(queries: DataFrame, items: DataFrame, query_block: int | None = None, item_block: int | None = None) -> DataFrame:
+    """Every block of queries beside every block of items, one row per pair of blocks; the rows of a block of queries follow
+    each other. A task holds the blocks of items that one part of their file holds."""
+    rows = queries.count()
+    n_i = max(1, math.ceil(items.count() / (item_block or ITEM_BLOCK)))
+    n_q = math.ceil(rows / (query_block or ITEM_BLOCK))
+    n_q = max(n_q, min(math.ceil(rows / LEAST_QUERIES), math.ceil(GRID_CELLS / n_i)))
+    return _packed(queries, "qvec", n_q).crossJoin(_packed(items, "coef", n_i).hint("shuffle_replicate_nl"))
+
+
+def _unpacked(batches):
+    """Of each row of ``crossed_blocks``: its columns by name, arrays as Arrow arrays and vectors as matrices."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            cell = {name: batch.column(name)[row] for name in batch.schema.names}
+            for name, first in (("qvec", "qid"), ("coef", "item_id")):
+                cell[name] = np.frombuffer(cell[name].as_buffer(), np.float64).reshape(len(cell[first].values), -1)
+            yield {name: v.values if isinstance(v, pa.ListScalar) else v for name, v in cell.items()}
+
+
+def _grid(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    schema = _schema(queries, items)
+    out = to_arrow_schema(schema)
+
+    def scan(batches):
+        number = qids = best = None
+        for cell in _unpacked(batches):
+            if number != cell["qvec_block"].as_py():
+                if best is not None:
+                    yield from _emit(qids, *best, out).to_batches()
+                number, qids, best = cell["qvec_block"].as_py(), cell["qid"], None
+            best = _best_scores(cell["qvec"], ids_of(cell["item_id"]), cell["coef"],
+                                cell["const"].to_numpy(zero_copy_only=False), k, best)
+        if best is not None:
+            yield from _emit(qids, *best, out).to_batches()
+
+    return crossed_blocks(queries, items).mapInArrow(scan, schema)
+
+
 def grid_blocks(queries: DataFrame, items: DataFrame, query_block: int | None = None, item_block: int | None = None) -> tuple[DataFrame, DataFrame, list[str]]:
     """Both sides spread over a grid by hash of the ids, so block sizes do not depend on what the vectors hold."""
     rows = queries.count()
@@ -222,10 +347,6 @@ def grid_blocks(queries: DataFrame, items: DataFrame, query_block: int | None =
     return q, i, ["qb", "ib"]
 
 
-def _grid(queries: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    return block_topk(*grid_blocks(queries, items), k)
-
-
 def rank_of_target(queries: DataFrame, items: DataFrame) -> DataFrame:
     """queries(qid, qvec, target_id, target_score) -> (qid, rank, n_items): place of the target among all items.
 
@@ -233,29 +354,26 @@ def rank_of_target(queries: DataFrame, items: DataFrame) -> DataFrame:
     """
     if "const" not in items.columns:
         items = items.withColumn("const", F.lit(0.0))
-    q, i, keys = grid_blocks(queries, items)
-    schema = T.StructType([q.schema["qid"], T.StructField("ahead", T.LongType()), T.StructField("seen", T.LongType())])
+    queries = queries.select("qid", "qvec", "target_id", "target_score").withColumn("qvec", doubles("qvec"))
+    items = items.select("item_id", doubles("coef").alias("coef"), F.col("const").cast("double").alias("const"))
+    schema = T.StructType([queries.schema["qid"], T.StructField("ahead", T.LongType()), T.StructField("seen", T.LongType())])
     out = to_arrow_schema(schema)
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return out.empty_table()
-        q, coef, ids = matrix(left.column("qvec")), matrix(right.column("coef")), ids_of(right.column("item_id"))
-        const = right.column("const").combine_chunks().to_numpy(zero_copy_only=False)
-        want, at = ids_of(left.column("target_id")), np.round(ids_of(left.column("target_score")), SCORE_DECIMALS)
-        ahead = [
-            ((s := np.round(_block_scores(q[c], coef, const), SCORE_DECIMALS)) > at[c, None]).sum(axis=1)
-            + ((s == at[c, None]) & (ids[None, :] < want[c, None])).sum(axis=1)
-            for c in _chunks(len(q), len(ids))
-        ]
-        return pa.Table.from_arrays(
-            [left.column("qid"), pa.array(np.concatenate(ahead).astype(np.int64)),
-             pa.array(np.full(len(q), len(ids), dtype=np.int64))], schema=out)
-
-    parts = (
-        q.select(*keys, "qid", "qvec", "target_id", "target_score").groupBy(*keys)
-        .cogroup(i.select(*keys, "item_id", "coef", "const").groupBy(*keys)).applyInArrow(cell, schema)
-    )
+    def scan(batches):
+        for cell in _unpacked(batches):
+            q, coef, ids = cell["qvec"], cell["coef"], ids_of(cell["item_id"])
+            const = cell["const"].to_numpy(zero_copy_only=False)
+            want, at = ids_of(cell["target_id"]), np.round(ids_of(cell["target_score"]), SCORE_DECIMALS)
+            ahead = [
+                ((s := np.round(_block_scores(q[c], coef, const), SCORE_DECIMALS)) > at[c, None]).sum(axis=1)
+                + ((s == at[c, None]) & (ids[None, :] < want[c, None])).sum(axis=1)
+                for c in _chunks(len(q), len(ids))
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [cell["qid"], pa.array(np.concatenate(ahead).astype(np.int64)),
+                 pa.array(np.full(len(q), len(ids), dtype=np.int64))], schema=out)
+
+    parts = crossed_blocks(queries, items).mapInArrow(scan, schema)
     return parts.groupBy("qid").agg((F.sum("ahead") + 1).alias("rank"), F.sum("seen").alias("n_items"))
 
 
@@ -310,12 +428,10 @@ def log_sum_exp_scores(queries: DataFrame, items: DataFrame, temperature: float
             parts.append((top, np.exp(s - top[:, None]).sum(axis=1)))
         return tuple(np.concatenate(x) for x in zip(*parts))
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
-            return out.empty_table()
-        const = right.column("const").combine_chunks().to_numpy(zero_copy_only=False)
-        top, z = reduced(matrix(left.column("qvec")), matrix(right.column("coef")), const)
-        return pa.Table.from_arrays([left.column("qid"), pa.array(top), pa.array(z)], schema=out)
+    def meet(batches):
+        for cell in _unpacked(batches):
+            top, z = reduced(cell["qvec"], cell["coef"], cell["const"].to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([cell["qid"], pa.array(top), pa.array(z)], schema=out)
 
     probe = queries.limit(1).toArrow()
     width = len(probe.column("qvec")[0]) if probe.num_rows else 1
@@ -332,9 +448,7 @@ def log_sum_exp_scores(queries: DataFrame, items: DataFrame, temperature: float
 
         parts = items.mapInArrow(scan, schema)
     else:
-        q, i, keys = grid_blocks(queries, items)
-        parts = q.select(*keys, "qid", "qvec").groupBy(*keys).cogroup(
-            i.select(*keys, "item_id", "coef", "const").groupBy(*keys)).applyInArrow(cell, schema)
+        parts = crossed_blocks(queries, items).mapInArrow(meet, schema)
     most = F.max("top").over(Window.partitionBy("qid"))
     return parts.withColumn("m", most).groupBy("qid", "m").agg(
         F.sum(F.col("z") * F.exp(F.col("top") - F.col("m"))).alias("s")).select("qid", (F.log("s") + F.col("m")).alias("lse"))

@@ -191,3 +191,41 @@ def test_probed_cells_leave_in_bounded_parts():
     for n_cells, width, dims in ((320, 100, 64), (784, 784, 64), (100, 1, 1), (100, 20, 1)):
         assert ann._rows_at_once(n_cells, width, dims) * max(n_cells, width * dims) <= ann.CELLS_AT_ONCE
     assert ann._rows_at_once(2_000_000, 1, 1) == 1
+
+
+@pytest.mark.parametrize("way", ["topk", "rank", "sums"])
+def test_blocks_meet_without_moving_copies(spark, data, way, monkeypatch):
+    """Beyond a broadcast no row is shuffled once per block of the other side; ids may repeat."""
+    for name in ("ITEM_BLOCK", "PAIR_ITEMS"):
+        monkeypatch.setattr(tk, name, 50)
+    q, x = data
+    queries = frame(spark, [i // 2 for i in range(40)], q, "qid", "qvec")
+    items = frame(spark, list(range(300)), x, "item_id", "coef")
+    s = q @ x.T
+    if way == "topk":
+        got = tk.topk_linear(queries, items, 7, 1)
+    elif way == "rank":
+        asked = spark.createDataFrame([(i, q[i].tolist(), 3, float(s[i, 3])) for i in range(40)],
+                                      "qid bigint, qvec array<double>, target_id bigint, target_score double")
+        got = tk.rank_of_target(asked, items)
+    else:
+        got = tk.log_sum_exp_scores(queries, items, 1.0, 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Generate" not in plan
+
+
+def test_continued_search_agrees(monkeypatch):
+    """Blocks one after the other, filtered in single precision, give what one block gives: ties, constants, large numbers."""
+    rng = np.random.default_rng(8)
+    for scale, offset in ((1.0, 0.0), (1e-9, 0.0), (1.0, 1e6), (1e25, 0.0), (1e200, 0.0)):
+        q, x = rng.standard_normal((30, 12)) * scale, np.round(rng.standard_normal((900, 12)), 1)
+        x[300:600], const = x[:300], np.round(rng.standard_normal(900)) + offset
+        ids, best = rng.permutation(900), None
+        for lo in range(0, 900, 200):
+            t = slice(lo, lo + 200)
+            best = tk._best_scores(q, ids[t], x[t], const[t], 6, best)
+        s = np.einsum("ij,kj->ik", q, x) + const
+        want = np.array([np.lexsort((ids, -np.round(row, 9)))[:6] for row in s])
+        assert np.allclose(best[1], np.take_along_axis(s, want, axis=1), rtol=1e-12, atol=1e-12)
+        if scale == 1.0:
+            assert (best[0] == ids[want]).all()
