@@ -193,7 +193,7 @@ def test_probed_cells_leave_in_bounded_parts():
     assert ann._rows_at_once(2_000_000, 1, 1) == 1
 
 
-@pytest.mark.parametrize("way", ["topk", "rank", "sums"])
+@pytest.mark.parametrize("way", ["pairs", "topk", "rank", "sums"])
 def test_blocks_meet_without_moving_copies(spark, data, way, monkeypatch):
     """Beyond a broadcast no row is shuffled once per block of the other side; ids may repeat."""
     for name in ("ITEM_BLOCK", "PAIR_ITEMS"):
@@ -202,7 +202,11 @@ def test_blocks_meet_without_moving_copies(spark, data, way, monkeypatch):
     queries = frame(spark, [i // 2 for i in range(40)], q, "qid", "qvec")
     items = frame(spark, list(range(300)), x, "item_id", "coef")
     s = q @ x.T
-    if way == "topk":
+    if way == "pairs":
+        got = tk.pair_scores(queries, items, 1)
+        assert got.count() == 40 * 300
+        assert got.agg(F.sum("score")).first()[0] == pytest.approx(s.sum())
+    elif way == "topk":
         got = tk.topk_linear(queries, items, 7, 1)
     elif way == "rank":
         asked = spark.createDataFrame([(i, q[i].tolist(), 3, float(s[i, 3])) for i in range(40)],
