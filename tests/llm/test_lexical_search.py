@@ -120,3 +120,25 @@ def test_bounds_of_few_documents_are_held_at_a_time(monkeypatch):
     seen.clear()
     assert answers() == want
     assert max(seen) <= 37 * 16 and len(seen) > 300 // 16
+
+
+def test_blocks_reach_a_worker_one_at_a_time(spark, awkward, monkeypatch):
+    """Blocks are some MB each, so a batch holds one; the caller's session keeps its settings."""
+    made, batch_rows = ls._search, spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def watched_search(*args):
+        run, schema = made(*args)
+
+        def watched(batches):
+            def each():
+                for batch in batches:
+                    assert batch.num_rows <= 1
+                    yield batch
+
+            yield from run(each())
+
+        return watched, schema
+
+    monkeypatch.setattr(ls, "_search", watched_search)
+    assert ask(spark, awkward.coalesce(1), ITEMS) == brute_force(awkward_rows(), ITEMS)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch_rows
