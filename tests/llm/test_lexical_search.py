@@ -140,5 +140,5 @@ def test_blocks_reach_a_worker_one_at_a_time(spark, awkward, monkeypatch):
         return watched, schema
 
     monkeypatch.setattr(ls, "_search", watched_search)
-    assert ask(spark, awkward.coalesce(1), ITEMS) == brute_force(awkward_rows(), ITEMS)
+    assert ask(spark, awkward.coalesce(1), ITEMS) == brute_force([(r[0], r[1]) for r in awkward_rows()], ITEMS)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == batch_rows
