@@ -16,6 +16,7 @@ from arbora.functions import gauss as G
 from arbora.functions.vec import doubles, dot, let, total
 from arbora.operators.skew import hot_parts
 from arbora.operators.topk import (
+    BLOCK_BYTES,
     CELLS_AT_ONCE,
     GRID_CELLS,
     ITEM_BLOCK,
@@ -23,6 +24,8 @@ from arbora.operators.topk import (
     QUERY_BLOCK,
     SCORE_DECIMALS,
     _chunks,
+    _floor,
+    _packed,
     ids_of,
     log_sum_exp_scores,
     matrix,
@@ -31,9 +34,11 @@ from arbora.operators.topk import (
     topk_linear,
 )
 from arbora.operators.tree import ConceptTree, TreeParams, category_utility, label_shares, rounded
-from arbora.session import materialize, spread
+from arbora.session import SMALL_TABLE_BYTES, materialize, spread
 
 LEAF_BLOCK = 1024
+PATH_BLOCK = 4096  # leaves whose paths, and forms of the nodes on them, stand in one row
+TOP_NODES = 32  # nodes that bound a block of leaves from afar
 CHILD_BLOCK = 8192  # rows, and children, of one node that are compared in one place
 ROWS_OF_CELL = 1 << 20  # rows that one cell of siblings and queries gives back
 LAZY_LEVELS = 3  # deeper trees write each level out, so that no level is computed again
@@ -206,10 +211,12 @@ def expand_members(found: DataFrame, tree: ConceptTree) -> DataFrame:
 # ---- best-first search without a heap ---------------------------------------------------------------------------
 
 
-def _leaf_blocks(tree: ConceptTree) -> tuple[DataFrame, int]:
-    """(block, leaf_id, path) with blocks of about LEAF_BLOCK leaves that lie next to each other in the tree; how many."""
+def _leaf_blocks(tree: ConceptTree, leaves: int = LEAF_BLOCK) -> tuple[DataFrame, int]:
+    """(block, leaf_id, path) with blocks of about ``leaves`` leaves that lie next to each other in the tree; how many."""
     paths = leaf_paths(tree).select("leaf_id", F.slice("path", F.lit(2), F.greatest(F.size("path") - 1, F.lit(0))).alias("path"))
-    blocks = -(-paths.count() // LEAF_BLOCK)
+    if tree.depth <= LAZY_LEVELS:
+        paths = materialize(paths, "paths")
+    blocks = -(-paths.count() // leaves)
     if blocks <= 1:
         return paths.withColumn("block", F.lit(0)), 1
     key = F.concat_ws("/", F.transform("path", lambda p: F.lpad(p.cast("string"), 24, " ")))
@@ -217,85 +224,255 @@ def _leaf_blocks(tree: ConceptTree) -> tuple[DataFrame, int]:
     return materialize(ranged.select("leaf_id", "path", F.spark_partition_id().alias("block")), "leaf_blocks"), blocks
 
 
-def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFrame:
-    """(qid, leaf_id, key, rank): the first k leaves a best-first search by log-likelihood would reach.
-
-    A leaf's turn is decided by the suffix minima of the scores on its path (root left out): ordering leaves by
-    that list, descending, is the order in which a max-heap search pops them. Each block of leaves scores the
-    nodes above it once per query, and keeps k.
-    """
-    leaves, n_blocks = _leaf_blocks(tree)
+def _packed_leaves(tree: ConceptTree) -> tuple[DataFrame, int]:
+    """(block, leaf_id, steps, depth, coef, const): a row per block of leaves, with the linear forms of all nodes on their paths
+    and, per leaf, the places of its nodes there (-1 beyond its end); how many rows."""
+    first = tree.nodes.select(F.size("mean").alias("n")).where("n > 0").first()
+    per_block = min(PATH_BLOCK, max(LEAF_BLOCK // 4, BLOCK_BYTES // (16 * first[0]))) if first else PATH_BLOCK
+    leaves, blocks = _leaf_blocks(tree, per_block)
     stats = tree.nodes.withColumn("var", tree.params.var("m2", "count"))
     coef, const = linear_terms(F.col("mean"), F.col("var"), True)
-    above = leaves.select("block", F.explode("path").alias("node_id")).distinct().join(
+    above = leaves.select(F.col("block").alias("of"), F.explode("path").alias("node_id")).distinct().join(
         stats.select("node_id", coef.alias("coef"), const.alias("const")), "node_id")
-    q = gauss_features(queries.select("qid", "qvec"))
-    n_q = max(1, -(-q.count() // QUERY_BLOCK))
-    tile = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb")
-    side = leaves.select("block", tile, "leaf_id", "path").unionByName(
-        above.select("block", tile, "node_id", "coef", "const"), allowMissingColumns=True)
-    # Every block has to see every query; the copies are made where the queries lie.
-    asked = q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(n_q)).cast("int")).withColumn(
-        "to_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    id_type = tree.nodes.schema["node_id"].dataType
-    schema = T.StructType([q.schema["qid"], T.StructField("leaf_id", id_type),
-                           T.StructField("key", T.ArrayType(T.DoubleType()))])
+    schema = T.StructType([
+        T.StructField("block", T.IntegerType()), T.StructField("leaf_id", T.ArrayType(tree.nodes.schema["node_id"].dataType)),
+        T.StructField("steps", T.BinaryType()), T.StructField("depth", T.IntegerType()),
+        T.StructField("forms", T.BinaryType()), T.StructField("const", T.BinaryType())])
     out = to_arrow_schema(schema)
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        if left.num_rows == 0 or right.num_rows == 0:
+    def pack(leaf: pa.Table, node: pa.Table) -> pa.Table:
+        leaf = leaf.filter(leaf.column("leaf_id").is_valid()).combine_chunks()
+        if leaf.num_rows == 0 or node.num_rows == 0:
             return out.empty_table()
-        is_leaf = left.column("leaf_id").is_valid()
-        leaf, node = left.filter(is_leaf), left.filter(pa.compute.invert(is_leaf))
         node_ids = ids_of(node.column("node_id"))
         order = np.argsort(node_ids, kind="stable")
-        coef = matrix(node.column("coef"))[order]
-        const = node.column("const").combine_chunks().to_numpy(zero_copy_only=False)[order]
-        leaf_ids = ids_of(leaf.column("leaf_id"))
         paths = leaf.column("path").combine_chunks()
         lengths = np.diff(paths.offsets.to_numpy())
-        flat = np.searchsorted(node_ids[order], ids_of(paths.flatten()))
-        levels = np.arange(lengths.max())
-        inside = levels[None, :] < lengths[:, None]
-        steps = np.zeros(inside.shape, dtype=np.int64)
-        steps[inside] = flat
-        x = matrix(right.column("qvec"))
-        rows, found, keys = [], [], []
-        chunk = max(1, CELLS_AT_ONCE // steps.size)
-        for lo in range(0, len(x), chunk):
-            s = np.round(x[lo:lo + chunk] @ coef.T + const, SCORE_DECIMALS)
-            # Only leaves whose weakest step reaches the k-th best weakest step can be among the first k.
-            weakest = s[:, steps[:, 0]]
-            weakest[:, ~inside[:, 0]] = -np.inf  # a leaf without a path below the root
-            for d in range(1, steps.shape[1]):
-                deeper = inside[:, d]
-                weakest[:, deeper] = np.minimum(weakest[:, deeper], s[:, steps[deeper, d]])
-            at = max(0, len(leaf_ids) - k)
-            bar = np.partition(weakest, at, axis=1)[:, at]
-            row, near = np.nonzero(weakest >= bar[:, None])
-            path = np.where(inside[near], s[row[:, None], steps[near]], np.inf)
+        inside = np.arange(lengths.max())[None, :] < lengths[:, None]
+        steps = np.full(inside.shape, -1, dtype=np.int32)
+        steps[inside] = np.searchsorted(node_ids[order], ids_of(paths.flatten()))
+        ids = leaf.column("leaf_id").combine_chunks()
+        const = node.column("const").combine_chunks().to_numpy(zero_copy_only=False).astype(float)[order]
+        return pa.Table.from_arrays([
+            pa.array([leaf.column("block")[0].as_py()], pa.int32()),
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids).cast(out.field(1).type),
+            pa.array([steps.tobytes()], pa.binary()), pa.array([steps.shape[1]], pa.int32()),
+            pa.array([_rows_or_nan(node.column("coef"))[order].tobytes()], pa.binary()),
+            pa.array([const.tobytes()], pa.binary())], schema=out)
+
+    packed = leaves.select("block", "leaf_id", "path").groupBy("block").cogroup(above.groupBy("of")).applyInArrow(pack, schema)
+    return materialize(packed, "paths"), blocks
+
+
+class _Leaves:
+    """Leaves next to each other in the tree. ``bound`` and ``near`` tell for queries what a best-first search could find here."""
+
+    def __init__(self, ids: np.ndarray, steps: np.ndarray, coef: np.ndarray, const: np.ndarray):
+        """steps: the nodes of each leaf's path, the leaf itself last, then -1; leaves sorted by path."""
+        self.ids, self.length = ids, (steps >= 0).sum(axis=1)
+        last, at = self.length - 1, np.arange(len(ids))
+        leaf = steps[at, last]
+        up = steps[:, :-1].copy()
+        up[np.arange(up.shape[1])[None, :] >= last[:, None]] = -1
+        inner, local = np.unique(up, return_inverse=True)
+        local = local.reshape(up.shape)
+        if len(inner) and inner[0] < 0:
+            inner, local = inner[1:], local - 1
+        self.coef, self.const = coef[np.concatenate([inner, leaf])], const[np.concatenate([inner, leaf])]
+        self.n = len(inner)  # the nodes above; -1 stands for none of them, beyond which nothing is known
+        self.levels = []
+        for d in range(local.shape[1]):
+            nodes, where = np.unique(local[:, d], return_index=True)
+            nodes, where = nodes[nodes >= 0], where[nodes >= 0]
+            self.levels.append((nodes, local[where, d - 1] if d else np.full(len(nodes), self.n)))
+        self.parent = np.where(last > 0, local[at, np.maximum(last - 1, 0)], self.n) if local.shape[1] else np.full(len(ids), self.n)
+        # The last step is the leaf's own score, which stands behind those of the nodes above.
+        self.steps = np.full(steps.shape, -1)
+        self.steps[:, :-1] = np.where(up >= 0, local, -1)
+        self.steps[at, last] = self.n + at
+        self.parents = np.unique(self.parent)
+        starts = np.flatnonzero(np.concatenate([[True], self.parent[1:] != self.parent[:-1]]))
+        self.families = list(zip(starts, np.append(starts[1:], len(ids))))
+        # A few nodes that stand above all leaves bound them from afar.
+        self.tops, self.depth = np.array([self.n]), 0
+        for d in range(local.shape[1]):
+            reach = np.minimum(d, last - 1)
+            tops = np.unique(np.where(reach >= 0, local[at, np.maximum(reach, 0)], self.n))
+            if len(tops) > TOP_NODES:
+                break
+            self.tops, self.depth = tops, d + 1
+        self.seen = np.unique(np.concatenate([np.array([], dtype=int), *(n for n, _ in self.levels[:self.depth])])).astype(int)
+
+    def scores(self, x2: np.ndarray, which) -> np.ndarray:
+        s = np.round(x2 @ self.coef[which].T + self.const[which], SCORE_DECIMALS)
+        s[np.isnan(s)] = -np.inf
+        return s
+
+    def weakest(self, s: np.ndarray, depth: int | None = None) -> np.ndarray:
+        """s: scores of the nodes above -> the smallest on the way to each, and one more column that bounds nothing."""
+        w = np.full((len(s), self.n + 1), np.inf)
+        for nodes, above in self.levels[:depth]:
+            w[:, nodes] = np.minimum(w[:, above], s[:, nodes])
+        return w
+
+    def bound(self, x2: np.ndarray) -> np.ndarray:
+        """Per query: no leaf here has a larger weakest step."""
+        out = np.empty(len(x2))
+        for c in _chunks(len(x2), self.n + 1):
+            s = np.empty((c.stop - c.start, self.n))
+            s[:, self.seen] = self.scores(x2[c], self.seen)
+            out[c] = self.weakest(s, self.depth)[:, self.tops].max(axis=1)
+        return out
+
+    def near(self, x2: np.ndarray, best: np.ndarray, k: int):
+        """best: the k largest weakest steps known per query (-inf: none), brought up to date. -> rows, leaves, keys: those
+        that can be among the first k, at most k per query."""
+        for c in _chunks(len(x2), self.n + len(self.ids)):
+            above = self.scores(x2[c], slice(0, self.n))
+            way = self.weakest(above)
+            some = np.flatnonzero(way[:, self.parents].max(axis=1) >= _floor(best[c].min(axis=1)))
+            if not len(some):
+                continue
+            row = np.arange(c.start, c.stop)[some]
+            s = np.hstack([above[some], self.scores(x2[row], slice(self.n, None))])
+            own = s[:, self.n:]
+            weakest = np.minimum(way[some][:, self.parent], own)
+            top = weakest if weakest.shape[1] <= k else np.partition(weakest, weakest.shape[1] - k, axis=1)[:, -k:]
+            both = np.hstack([best[row], top])
+            best[row] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            mask = (weakest >= _floor(best[row].min(axis=1))[:, None]) & (weakest > -np.inf)
+            # Sisters come in the order of their own scores, so k of them are enough.
+            for lo, hi in self.families:
+                if hi - lo > k:
+                    hit = np.flatnonzero(mask[:, lo:hi].sum(axis=1) > k)
+                    if len(hit):
+                        first = np.argpartition(-own[hit, lo:hi], k - 1, axis=1)[:, :k]
+                        least = np.take_along_axis(own[hit, lo:hi], first, axis=1).min(axis=1, keepdims=True)
+                        part = own[hit, lo:hi] >= least
+                        tied = np.flatnonzero(part.sum(axis=1) > k)
+                        if len(tied):  # the smaller ids stand first
+                            first = np.argsort(-own[hit[tied], lo:hi], axis=1, kind="stable")[:, :k]
+                            part[tied] = False
+                            part[tied[:, None], first] = True
+                        mask[hit, lo:hi] &= part
+            at, leaf = np.nonzero(mask)
+            inside = self.steps[leaf] >= 0
+            path = np.where(inside, s[at[:, None], self.steps[leaf]], np.inf)
             after = np.full(path.shape, np.inf)
             after[:, :-1] = np.minimum.accumulate(path[:, :0:-1], axis=1)[:, ::-1]
-            kept = (path < after) & inside[near]
+            kept = (path < after) & inside
             packed = np.take_along_axis(np.where(kept, path, -np.inf), np.argsort(~kept, axis=1, kind="stable"), axis=1)
-            order = np.lexsort((leaf_ids[near], *(-packed[:, d] for d in range(packed.shape[1] - 1, -1, -1)), row))
-            # Rows come in turn, each with its leaves in order: the first k of each.
-            first = np.searchsorted(row, row)
-            order = order[np.arange(len(row)) - first < k]
-            rows.append(lo + row[order])
-            found.append(leaf_ids[near[order]])
-            keys.append(packed[order])
-        key = np.concatenate(keys)
-        real = np.isfinite(key)
-        offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32))
-        return pa.Table.from_arrays([
-            right.column("qid").combine_chunks().take(pa.array(np.concatenate(rows))),
-            pa.array(np.concatenate(found)).cast(out.field(1).type),
-            pa.ListArray.from_arrays(offsets, pa.array(key[real])).cast(out.field(2).type)], schema=out)
+            order = _first_keys(at, packed, self.ids[leaf], k)
+            yield row[at[order]], self.ids[leaf[order]], packed[order]
+
+
+def _first_keys(row: np.ndarray, keys: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """The places of the first k of each row by (key desc, id), rows in turn."""
+    order = np.lexsort((ids, *(-keys[:, d] for d in range(keys.shape[1] - 1, -1, -1)), row))
+    turn = row[order]
+    return order[np.arange(len(turn)) - np.searchsorted(turn, turn) < k]
+
+
+class _BestFirst:
+    """The first k leaves of a block of queries among the leaves shown so far."""
+
+    def __init__(self, qids: pa.Array, x: np.ndarray, k: int):
+        self.qids, self.x2, self.k = qids, np.hstack([x * x, x]), k
+        self.best = np.full((len(x), k), -np.inf)
+        self.found: list = []
+
+    def show(self, parts: list[_Leaves]) -> None:
+        """Each query looks first where a leaf may have the largest weakest step, then wherever one may beat what it has."""
+        bounds = np.stack([p.bound(self.x2) for p in parts], axis=1)
+        first = bounds.argmax(axis=1)
+        for turn in (0, 1):
+            for i, part in enumerate(parts):
+                rows = np.flatnonzero((first == i) if turn == 0 else (first != i) & (bounds[:, i] >= _floor(self.best.min(axis=1))))
+                if not len(rows):
+                    continue
+                best = self.best[rows]
+                for row, ids, keys in part.near(self.x2[rows], best, self.k):
+                    self.found.append((rows[row], ids, keys))
+                self.best[rows] = best
+                if sum(len(f[0]) for f in self.found) > max(CELLS_AT_ONCE, 4 * self.best.size):
+                    self.found = [self.first()]
+
+    def first(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        width = max(f[2].shape[1] for f in self.found)
+        row, ids = (np.concatenate([f[i] for f in self.found]) for i in (0, 1))
+        keys = np.concatenate([np.pad(f[2], ((0, 0), (0, width - f[2].shape[1])), constant_values=-np.inf) for f in self.found])
+        order = _first_keys(row, keys, ids, self.k)
+        return row[order], ids[order], keys[order]
 
-    parts = side.groupBy("block", "qb").cogroup(asked.groupBy("to_block", "qb")).applyInArrow(search, schema)
+
+def tree_topk_bestfirst(tree: ConceptTree, queries: DataFrame, k: int) -> DataFrame:
+    """(qid, leaf_id, key, rank): the first k leaves a best-first search by log-likelihood would reach.
+
+    A leaf's turn is decided by the suffix minima of the scores on its path (root left out): ordering leaves by
+    that list, descending, is the order in which a max-heap search pops them. No leaf comes before its weakest step, so
+    the nodes above a block of leaves bound them all, and a query looks only into blocks that can beat the k leaves it has.
+    Blocks of queries and leaves are written once and meet in Spark's nested loop.
+    """
+    leaves, blocks = _packed_leaves(tree)
+    q = queries.select("qid", doubles("qvec").alias("qvec")).where("qvec is not null")
+    rows = q.count()
+    n_q = max(math.ceil(rows / QUERY_BLOCK), min(math.ceil(rows / LEAST_QUERIES), math.ceil(GRID_CELLS / max(1, blocks))))
+    id_type = tree.nodes.schema["node_id"].dataType
+    schema = T.StructType([q.schema["qid"], T.StructField("leaf_id", id_type),
+                           T.StructField("key", T.ArrayType(T.DoubleType()))])
+    out = to_arrow_schema(schema)
+
+    def parts_of(cell: dict) -> list[_Leaves]:
+        ids = ids_of(cell["leaf_id"].values)
+        steps = np.frombuffer(cell["steps"].as_buffer(), np.int32).reshape(len(ids), cell["depth"].as_py())
+        const = np.frombuffer(cell["const"].as_buffer(), np.float64)
+        coef = np.frombuffer(cell["forms"].as_buffer(), np.float64).reshape(len(const), -1)
+        order = np.lexsort((ids, *(steps[:, d] for d in range(steps.shape[1] - 1, -1, -1))))
+        ids, steps = ids[order], steps[order]
+        return [_Leaves(ids[lo:lo + LEAF_BLOCK], steps[lo:lo + LEAF_BLOCK], coef, const) for lo in range(0, len(ids), LEAF_BLOCK)]
+
+    def rows_of(search: _BestFirst):
+        if not search.found:
+            return
+        row, ids, keys = search.first()
+        real = np.isfinite(keys)
+        offsets = pa.array(np.concatenate([[0], np.cumsum(real.sum(axis=1))]).astype(np.int32))
+        yield from pa.Table.from_arrays([
+            search.qids.take(pa.array(row)), pa.array(ids).cast(out.field(1).type),
+            pa.ListArray.from_arrays(offsets, pa.array(keys[real])).cast(out.field(2).type)], schema=out).to_batches()
+
+    def scan(batches):
+        number = search = None
+        known: dict = {}
+        waiting, held = [], 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = {name: batch.column(name)[i] for name in batch.schema.names}
+                if number != cell["qvec_block"].as_py():
+                    if search is not None:
+                        if waiting:
+                            search.show(waiting)
+                        yield from rows_of(search)
+                    qids = cell["qid"].values
+                    x = np.frombuffer(cell["qvec"].as_buffer(), np.float64).reshape(len(qids), -1)
+                    number, search, waiting, held = cell["qvec_block"].as_py(), _BestFirst(qids, x, k), [], 0
+                block = cell["block"].as_py()
+                parts = known.get(block) or parts_of(cell)
+                size = sum(p.coef.nbytes for p in parts)
+                if block not in known and size + sum(p.coef.nbytes for v in known.values() for p in v) <= SMALL_TABLE_BYTES:
+                    known[block] = parts
+                if waiting and held + size > SMALL_TABLE_BYTES:
+                    search.show(waiting)
+                    waiting, held = [], 0
+                waiting, held = waiting + parts, held + size
+        if search is not None:
+            if waiting:
+                search.show(waiting)
+            yield from rows_of(search)
+
+    pairs = _packed(q, "qvec", max(1, n_q)).crossJoin(leaves.hint("shuffle_replicate_nl"))
     w = Window.partitionBy("qid").orderBy(F.col("key").desc(), F.col("leaf_id").asc())
-    return parts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
+    return pairs.mapInArrow(scan, schema).withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 # ---- categorisation ------------------------------------------------------------------------------------------

@@ -137,6 +137,31 @@ def test_bestfirst_equals_heap_search(spark, built, blocks, monkeypatch):
         assert got[i] == heap_order(nodes, q[i], 15)
 
 
+def test_bestfirst_looks_only_where_a_leaf_can_win(spark, built, monkeypatch):
+    """Queries are not copied to every block of leaves, most blocks are not scored, and the order is the heap's."""
+    x, tree = built
+    monkeypatch.setattr(tq, "LEAF_BLOCK", 8)
+    monkeypatch.setattr(tq, "PATH_BLOCK", 40)
+    queries = vectors(spark, x[:10] + 0.02).select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
+    found = tq.tree_topk_bestfirst(tree, queries, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "CoGroup" not in plan and "Generate" not in plan
+    nodes = tree.nodes.collect()
+    got = {}
+    for r in found.orderBy("qid", "rank").collect():
+        got.setdefault(r["qid"], []).append(r["leaf_id"])
+    assert all(got[i] == heap_order(nodes, x[i] + 0.02, 4) for i in range(10))
+
+    # Two far clusters below the root: a query beside one never scores the leaves of the other.
+    coef, const = np.repeat([[-8.0, 0.0], [-8.0, 160.0], [-9.0, 0.0], [-9.0, 180.0]], [1, 1, 5, 5], axis=0), np.repeat([0.0, -800, 0, -900], [1, 1, 5, 5])
+    parts = [tq._Leaves(np.arange(5) + 5 * i, np.array([[i, 2 + 5 * i + j] for j in range(5)]), coef, const) for i in (0, 1)]
+    search, scored = tq._BestFirst(None, np.array([[0.1], [9.9], [0.2]]), 2), []
+    monkeypatch.setattr(tq._Leaves, "near", lambda self, x2, *a, near=tq._Leaves.near: scored.append(len(x2)) or near(self, x2, *a))
+    search.show(parts)
+    assert scored == [2, 1]
+    assert search.first()[0].tolist() == [0, 0, 1, 1, 2, 2] and search.first()[1].tolist() == [0, 1, 5, 6, 0, 1]
+
+
 def test_path_scores_equal_sums_over_the_path(spark, built):
     x, tree = built
     queries = vectors(spark, x[:3] + 0.1).select(F.col("doc_id").alias("qid"), F.col("vec").alias("qvec"))
