@@ -12,6 +12,7 @@ from arbora.functions.gauss import PRIOR_VAR
 from arbora.operators import tree_analytics as ta
 from arbora.operators import tree_query as tq
 from arbora.operators import subtree
+from arbora.operators import tree_build as tb
 from arbora.operators.restructure import improvable, restructure
 from arbora.operators.tree import ConceptTree, TreeParams, partition_utility
 from arbora.operators.tree_build import append_rows, build_tree
@@ -205,6 +206,45 @@ def test_append_in_batches(spark, built):
     assert all(same[1000 + i] == same[i] for i in range(20))  # copies join the leaf they equal
 
 
+@pytest.mark.parametrize("score, cutoff", [("kl", False), ("info", True)])
+def test_descent_of_subtrees_equals_that_by_levels(spark, score, cutoff, monkeypatch):
+    """Upper nodes at hand and whole subtrees below them, crowded ones in parts: the places that a join per level finds."""
+    monkeypatch.setattr(subtree, "SUBTREE", 25)
+    monkeypatch.setattr(tb, "ROWS_AT_TOP", 5)
+    tree = build_tree(vectors(spark, clusters(120, seed=21)), TreeParams(score=score, acuity_cutoff=cutoff))
+    rows = vectors(spark, np.concatenate([clusters(60, seed=22), clusters(20, seed=21)])).select(
+        F.col("doc_id").alias("row_id"), F.col("vec").alias("x"))
+    places = lambda df: sorted(map(tuple, df.select("row_id", "at", "action").collect()))
+    got = places(tb.descend(tree, rows))
+    assert len(got) == 80 and got == places(tb._descend_levels(tree, rows))
+    assert {action for *_, action in got} == {"new", "fringe"}
+    if score == "kl":
+        monkeypatch.setattr(tb, "SMALL_TABLE_BYTES", 0)  # too many upper nodes for every task
+        monkeypatch.setattr(tb, "_descend_levels", lambda tree, rows: "by levels")
+        assert tb.descend(tree, rows) == "by levels"
+
+
+def test_append_takes_no_tables_per_level_or_round(spark, monkeypatch):
+    """Rows walk down, and subtrees are improved, inside tasks; the tree is settled and does not depend on the order of rows."""
+    from arbora.operators import restructure as rs
+
+    monkeypatch.setattr(subtree, "SUBTREE", 60)
+    tree = build_tree(vectors(spark, clusters(120, seed=31)))
+    written = []
+    for module in (tb, rs):
+        monkeypatch.setattr(module, "materialize", lambda df, name="t", write=module.materialize: written.append(name) or write(df, name))
+    monkeypatch.setattr(rs, "FEW", 0)
+    new = vectors(spark, clusters(90, seed=32), 1000)
+    grown = append_rows(tree, new, "1")
+    grown = replace(grown, nodes=materialize(grown.nodes), members=materialize(grown.members))
+    check(grown, 210)
+    assert improvable(grown.nodes, grown.params).count() == 0
+    assert written.count("edits") <= 6 and sum(n.startswith("walk") and n != "walked" for n in written) == 1
+    again = append_rows(tree, new.orderBy(F.col("doc_id").desc()), "1")
+    shape = lambda t: sorted(map(tuple, t.nodes.select("node_id", "parent_id").collect()), key=str)
+    assert shape(again) == shape(grown)
+
+
 @pytest.mark.parametrize("shape", ["line", "outlier", "near copies", "two"])
 def test_odd_data(spark, shape):
     x = {
